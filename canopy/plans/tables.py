@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopy.session import fan_out
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -12,7 +14,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def comments(spark, sf) -> DataFrame:
     """documents as flat comments: source is the event, lang the domain."""
-    return table(spark, sf, "documents").select(
+    return fan_out(table(spark, sf, "documents"), "doc_id").select(
         F.col("source").alias("id_content"), F.col("lang").alias("domain"),
         F.concat(F.lit("c"), F.col("doc_id")).alias("comment_id"), F.col("doc_id").alias("seq"), "text")
 

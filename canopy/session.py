@@ -47,3 +47,10 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     path = run_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan with fewer splits than cores over all cores before per-row work; a large scan already
+    has more splits than cores and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
