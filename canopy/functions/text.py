@@ -104,6 +104,21 @@ def record_key(post_url: Column, author: Column, text: Column) -> Column:
     return hash16(F.concat_ws("|", part(post_url), part(author), F.substring(part(text), 1, 80)))
 
 
+def round_exact(c: Column, digits: int) -> Column:
+    """A value in [0, 128) rounded as its binary value demands, ties to even, times 10^digits. Spark's round works
+    on the decimal text of a double, half up: 31.25 and 0.35 would come out as 31.3 and 0.4, not 31.2 and 0.3."""
+    big = "decimal(20,0)"
+    unit = F.when(c < 1, F.lit(2 ** 62)).otherwise(F.lit(2 ** 52))
+    x = (c * unit.cast("double")).cast("bigint").cast(big)
+    u = unit.cast(big)
+    whole = F.floor(x * F.lit(10 ** digits).cast("decimal(5,0)") / u).cast(big)
+    twice = F.lit(2 * 10 ** digits).cast("decimal(6,0)") * x - (whole * 2 + 1) * u
+    up = (twice > 0) | ((twice == 0) & (whole % 2 == 1))
+    return (whole + F.when(up, 1).otherwise(0)).cast("bigint")
+
+
 def percent(part: Column, whole: Column) -> Column:
     """'12.0%' for display; '0%' when there is nothing to divide by."""
-    return F.when(whole > 0, F.format_string("%.1f%%", part * 100.0 / whole)).otherwise("0%")
+    tenths = round_exact(part / whole * 100.0, 1)
+    shown = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))
+    return F.when(whole > 0, shown).otherwise("0%")
