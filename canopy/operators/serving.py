@@ -13,3 +13,16 @@ def domain_of(event_id: Column, override: Column | None = None) -> Column:
     """Domain by id prefix; null when neither prefix nor override tells."""
     d = F.when(event_id.startswith("showbiz"), "showbiz").when(event_id.startswith("education"), "education")
     return F.coalesce(override, d) if override is not None else d
+
+
+def display_name(post: Column, url: Column, chars: int = 80) -> Column:
+    """First non-blank line of a post, clipped; else its link."""
+    lines = F.filter(F.transform(F.split(F.coalesce(post, F.lit("")), r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"), strip), lambda x: x != "")
+    first = F.get(lines, F.lit(0))
+    cut = F.concat(F.regexp_replace(F.substring(first, 1, chars), r"\s+$", ""), F.lit("…"))
+    return F.when(first.isNull(), url).when(F.length(first) <= chars, first).otherwise(cut)
+
+
+def event_of_comment(comment_id: Column) -> Column:
+    """Event id inside a comment id: its first two parts after the cmt_ prefix."""
+    return F.substring_index(F.regexp_replace(comment_id, "^cmt_", ""), "_", 2)
