@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy import vocab
@@ -60,13 +60,13 @@ def search_words(c: Column) -> Column:
     return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
 
 
-def search_terms(c: Column) -> Column:
-    """Distinct search terms: content words, and word pairs unless both are stopwords."""
-    w = search_words(c)
+def explode_terms(df: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """(keep..., term): distinct search terms of a text - content words, and word pairs unless both words are
+    stopwords. The word list is a column of its own: a lambda would rebuild it for every element."""
+    rows = df.select(*keep, search_words(text).alias("_w"))
     stop = lambda x: x.isin(vocab.SEARCH_STOPWORDS)
-    pairs = F.when(F.size(w) >= 2, F.transform(
-        F.filter(F.sequence(F.lit(1), F.size(w) - 1),
-                 lambda i: ~(stop(F.element_at(w, i)) & stop(F.element_at(w, i + 1)))),
-        lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)),
-    )).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.filter(w, lambda x: ~stop(x)), pairs))
+    w, n = F.col("_w"), F.greatest(F.size("_w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n),
+                       lambda a, b: F.when(~(stop(a) & stop(b)), F.concat(a, F.lit(" "), b)))
+    single = F.filter(w, lambda x: ~stop(x))
+    return rows.select(*keep, F.explode(F.array_distinct(F.array_compact(F.concat(single, pairs)))).alias("term"))
