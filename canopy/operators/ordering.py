@@ -45,8 +45,8 @@ def number_rows(df: DataFrame, groups: list[str], order: list, bucket: Column, n
     sizes = tagged.groupBy(*groups, _BUCKET).agg(F.count("*").alias("_n"))
     carry = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(_before(groups)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy(*groups, _BUCKET).orderBy(*order))
-    out = _attach(tagged.withColumn("_rn", inside), carry, groups, ["_offset"])
-    return out.withColumn(name, F.col("_offset") + F.col("_rn")).drop("_offset", "_rn", _BUCKET)
+    out = _attach(tagged.withColumn("_inside", inside), carry, groups, ["_offset"])
+    return out.withColumn(name, F.col("_offset") + F.col("_inside")).drop("_offset", "_inside", _BUCKET)
 
 
 def running_sum(df: DataFrame, groups: list[str], order: list, bucket: Column, value: Column, name: str) -> DataFrame:
