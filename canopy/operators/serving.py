@@ -68,19 +68,18 @@ IMAGE_TAGS = [("meta", "property", "og:image"), ("meta", "name", "og:image"), ("
               ("meta", "property", "twitter:image"), ("link", "rel", "image_src")]  # fixed values, in order of trust
 
 
-def share_image(html: Column, base: Column) -> Column:
-    """Image a page offers for sharing, as an absolute link; attributes may come in any order."""
-    found = []
-    for tag, attr, value in IMAGE_TAGS:
-        whole = F.regexp_extract(html, rf"""(?is)<{tag}\b(?=[^>]*\b{attr}\s*=\s*["']?{value}["'\s>/])[^>]*>""", 0)
-        link = F.coalesce(F.nullif(F.regexp_extract(whole, r"""(?is)\bcontent\s*=\s*["']([^"']+)""", 1), F.lit("")),
-                          F.nullif(F.regexp_extract(whole, r"""(?is)\bhref\s*=\s*["']([^"']+)""", 1), F.lit("")))
-        found.append(F.nullif(strip(link), F.lit("")))
-    url = F.coalesce(*found)
-    root = F.regexp_extract(base, r"^[a-z]+://[^/?#]*", 0)
-    folder = F.regexp_replace(F.regexp_extract(base, r"^[^?#]*", 0), r"(?<=[^/:]/|^[a-z]{1,9}://[^/]{1,300}/)[^/]*$", "")
-    return (F.when(url.startswith("//"), F.concat(F.lit("https:"), url)).when(url.startswith("http"), url)
-            .when(url.startswith("/"), F.concat(root, url)).when(url.isNotNull(), F.concat(folder, url)))
+def with_share_image(df: DataFrame, html: str, base: str, name: str = "image") -> DataFrame:
+    """Adds the image a page offers for sharing, as an absolute link; attributes may come in any order."""
+    from canopy.functions.links import first_match
+
+    value_of = r"""(?is)\b(?:content|href)\s*=\s*["']\s*([^"']*?[^"'\s])\s*["']"""
+    tags = [first_match(F.col(html), rf"""(?is)<{tag}\b(?=[^>]*\b{attr}\s*=\s*["']?{value}["'\s>/])[^>]*>""", 0) for tag, attr, value in IMAGE_TAGS]
+    df = df.withColumn("_url", F.coalesce(*[first_match(t, value_of) for t in tags]))
+    df = df.withColumns({"_root": F.regexp_extract(base, r"^[a-z]+://[^/?#]*", 0), "_page": F.regexp_extract(base, r"^[^?#]*", 0)})
+    folder = F.when(F.col("_page") == F.col("_root"), F.concat("_page", F.lit("/"))).otherwise(F.regexp_replace("_page", "[^/]*$", ""))
+    u = F.col("_url")
+    return df.withColumn(name, F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).when(u.startswith("http"), u)
+                         .when(u.startswith("/"), F.concat("_root", u)).when(u.isNotNull(), F.concat(folder, u))).drop("_url", "_root", "_page")
 
 
 # --- serving tables ------------------------------------------------------------------------------

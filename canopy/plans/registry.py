@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["keyword_queries", "cleaning_queries", "tree_queries", "request_queries", "summary_queries", "crawl_queries", "search_queries", "curation_queries"]
+MODULES = ["keyword_queries", "cleaning_queries", "tree_queries", "request_queries", "summary_queries", "crawl_queries", "search_queries", "curation_queries", "serving_queries"]
 
 
 def load():
