@@ -119,7 +119,8 @@ def approximate_time(shown: Column, scraped_at: Column) -> Column:
     n = F.when(number.isin("a", "an", "một"), F.lit(1).cast("long")).otherwise(number.try_cast("long"))
     delta = F.when(t.rlike(NOW_PATTERN), F.lit(0).cast("long")).when(t.rlike(YESTERDAY_PATTERN), F.lit(86400).cast("long")).when(
         unit != "", n * size)
-    base = scraped_at.try_cast("timestamp")
+    zoned = scraped_at.rlike(r"(Z|[+-]\d{2}:?\d{2})$")  # a time without zone is UTC
+    base = F.when(zoned, scraped_at).otherwise(F.concat(scraped_at, F.lit("Z"))).try_cast("timestamp")
     return F.timestamp_micros(F.unix_micros(base) - delta * 1_000_000)
 
 

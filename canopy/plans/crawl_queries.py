@@ -41,7 +41,7 @@ def raw(spark, sf):
         F.col("event_id").alias("seq"), F.concat(F.lit("b"), page).alias("batch"),
         F.concat(F.lit("u"), F.col("user_id") % 3).alias("author"), profile.alias("profile_href"), href.alias("comment_href"),
         F.when(F.col("event_id") % 4 >= 2, F.concat(F.lit("u"), F.col("event_id") % 3)).alias("reply_to_author"),
-        F.col("props").alias("text"), shown.alias("time"), s(F.col("ts")).alias("scraped_at"),
+        F.col("props").alias("text"), shown.alias("time"), F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("scraped_at"),
         F.concat(F.lit("https://www.facebook.com/page"), page, F.lit("/posts/pfbid02")).alias("post_url"))
 
 

@@ -11,7 +11,7 @@ from canopy.operators.ordering import top_rows
 from canopy.plans import tree_queries
 from canopy.plans.cleaning_queries import q
 from canopy.plans.summary_queries import EVENTS_SQL, events, labelled
-from canopy.plans.tables import COMMENTS_SQL, LABELLED_SQL, THREADS_SQL, Catalog, comments, table, threads, with_
+from canopy.plans.tables import COMMENTS_SQL, LABELLED_SQL, THREADS_SQL, Catalog, comments, table, threads, utc, with_
 from canopy.session import cut, run_dir
 from canopy.sources import posts, sinks
 from canopy.streaming import jobs
@@ -161,12 +161,12 @@ def a25_by_status(spark, sf):
 @catalog.add("a25_recent_failures", with_(RUNS_SQL) + f"""
 SELECT run_id FROM runs WHERE status = 'failed' AND floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(started_at)) / 86400000000) <= 7""")
 def a25_recent_failures(spark, sf):
-    return audit.recent_failures(runs(spark, sf), F.lit(NOW).cast("timestamp")).select("run_id")
+    return audit.recent_failures(runs(spark, sf), F.lit(NOW + "Z").cast("timestamp")).select("run_id")
 
 
 @catalog.add("f13_recent_runs", with_(RUNS_SQL) + f"SELECT run_id FROM runs WHERE script LIKE '%ic%' AND started_at >= TIMESTAMP '{NOW}' - INTERVAL 12 DAY")
 def f13_recent_runs(spark, sf):
-    return audit.recent(runs(spark, sf), F.lit(NOW).cast("timestamp"), "12d", "ic").select("run_id")
+    return audit.recent(runs(spark, sf), F.lit(NOW + "Z").cast("timestamp"), "12d", "ic").select("run_id")
 
 
 @catalog.add("a26_sessions", """
@@ -310,8 +310,8 @@ def s5_web_events(spark, sf):
     side = lambda k: table(spark, sf, "pages").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("page_id") % 2 == k, F.struct("page_id", r.alias("r"))))), lambda x: x["r"]).alias("l"))
     a = side(0).select(F.concat(F.lit('{"Giáo dục":'), F.to_json("l"), F.lit("}")).alias("value"))
     b = side(1).select(F.concat(F.lit('{"showbiz":'), F.to_json("l"), F.lit("}")).alias("value"))
-    a.unionByName(b).write.text(path)
-    return posts.web_events(spark, [path]).select("domain", "id_content", "ten_su_kien")
+    a.withColumn("k", F.lit(0)).unionByName(b.withColumn("k", F.lit(1))).write.partitionBy("k").text(path)
+    return posts.web_events(spark, [path + "/*"]).select("domain", "id_content", "ten_su_kien")
 
 
 @catalog.add("s6_annotations", "SELECT 'c' || doc_id AS comment_id, quality::VARCHAR AS verified_label FROM labels WHERE doc_id % 9 <> 0")
@@ -399,7 +399,8 @@ def f15_three_fields(spark, sf):
 
 # --- streams -------------------------------------------------------------------------------------
 def event_stream(spark, sf):
-    return jobs.source(spark, sf, "events.parquet", table(spark, sf, "events").schema)
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return utc(jobs.source(spark, sf, "events.parquet", schema))
 
 
 @catalog.add("st1_unseen_records", "SELECT DISTINCT substr(sha256(event_type || '|' || props), 1, 16) AS key FROM events")

@@ -9,7 +9,15 @@ from canopy.session import fan_out
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return utc(spark.read.parquet(f"{sf}/{name}.parquet"))
+
+
+def utc(df: DataFrame) -> DataFrame:
+    """Zone-less timestamps of the tables as UTC instants, whatever the session's zone."""
+    for name, kind in df.dtypes:
+        if kind == "timestamp_ntz":
+            df = df.withColumn(name, F.expr(f"cast(convert_timezone('UTC', current_timezone(), {name}) as timestamp)"))
+    return df
 
 
 def comments(spark, sf) -> DataFrame:
