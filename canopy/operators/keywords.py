@@ -110,10 +110,32 @@ def trigram_pmi(stats: DataFrame, pairs: DataFrame, keys: list[str], min_count:
         *keys, "gram", "n", "articles", ((F.col("pmi1") + F.col("pmi2")) / 2).alias("pmi"))
 
 
+def keyword_counts(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """gram_stats without the document counts: one shuffle of distinct grams instead of gram-document pairs."""
+    rows = candidate_grams(docs.withColumn("_doc", F.lit(0)), keys, "_doc")
+    return rows.groupBy(*keys, "size", "gram").agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("articles"))
+
+
+def best_keywords(docs: DataFrame, keys: list[str], doc: str, n: int = 10, digits: int = 6, **limits) -> dict[str, DataFrame]:
+    """{top, details}: the n best keywords per key and their occurrences per document. Documents are counted only
+    for the chosen keywords, in a second pass over the tokens."""
+    docs = cut(docs.select(*keys, doc, "tokens"), "tokens")
+    scored = _scores(keyword_counts(docs, keys), docs, keys, **limits).withColumn("score", F.round("score", digits))
+    top = cut(top_keywords(scored, keys, n).drop("total_articles"), "top")
+    details = cut(keyword_details(docs, top, keys, doc), "details")
+    articles = details.groupBy(*keys, "keyword").agg(F.count("*").alias("total_articles"))
+    return {"top": top.join(articles, [*keys, "keyword"]), "details": details}
+
+
 def keyword_scores(docs: DataFrame, keys: list[str], doc: str, min_count: int = MIN_COUNT,
                    min_pmi: float = MIN_PMI) -> DataFrame:
     """Every scored keyword: phrases with their PMI, and the valid words of no phrase with PMI 0."""
-    stats = cut(gram_stats(docs, keys, doc), "grams")
+    return _scores(gram_stats(docs, keys, doc), docs, keys, min_count, min_pmi)
+
+
+def _scores(stats: DataFrame, docs: DataFrame, keys: list[str], min_count: int = MIN_COUNT, min_pmi: float = MIN_PMI) -> DataFrame:
+    # Rare phrases can be no keyword; only words are needed at any count.
+    stats = cut(stats.filter((F.col("size") == 1) | (F.col("n") >= min_count)), "grams")
     total = cut(totals(docs, keys), "totals")
     pairs = cut(bigram_pmi(stats, total, keys, min_count, min_pmi), "pairs")
     triples = trigram_pmi(stats, pairs, keys, min_count)

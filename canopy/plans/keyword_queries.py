@@ -150,9 +150,8 @@ _TOP = """ranked AS (
 SELECT domain, keyword, ngram_type, total_frequency, total_articles, round(pmi, 6) AS pmi, round(score, 6) AS score,
        rank FROM ranked WHERE rank <= 10""")
 def k1_top_keywords(spark, sf):
-    s = kw.keyword_scores(docs(spark, sf), ["domain"], "id_content").withColumn("score", F.round("score", 6))
-    return kw.top_keywords(s, ["domain"], 10).withColumn("pmi", F.round("pmi", 6)).withColumn(
-        "rank", F.col("rank").cast("long"))
+    top = kw.best_keywords(docs(spark, sf), ["domain"], "id_content", 10)["top"]
+    return top.withColumn("pmi", F.round("pmi", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @catalog.add("a7_keyword_details", _ALL + ",\n" + _TOP + """
@@ -160,9 +159,7 @@ SELECT p.domain, r.keyword, p.id_content, sum(p.n)::BIGINT AS n FROM ranked r
 JOIN per_id p ON p.domain = r.domain AND replace(p.gram, '_', ' ') = r.keyword
 WHERE r.rank <= 10 GROUP BY ALL""")
 def a7_keyword_details(spark, sf):
-    d = docs(spark, sf)
-    s = kw.keyword_scores(d, ["domain"], "id_content").withColumn("score", F.round("score", 6))
-    return kw.keyword_details(d, kw.top_keywords(s, ["domain"], 10), ["domain"], "id_content")
+    return kw.best_keywords(docs(spark, sf), ["domain"], "id_content", 10)["details"]
 
 
 @catalog.add("k12_keywords_by_frequency", _ALL + """

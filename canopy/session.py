@@ -21,6 +21,8 @@ def build_session(app: str = "canopy", master: str | None = None, shuffle_partit
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):  # one process does all the work
+            builder = builder.config("spark.driver.memory", os.environ.get("CANOPY_LOCAL_MEMORY", "16g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
