@@ -93,7 +93,7 @@ def row_split(df: DataFrame, label: str, key: str, val: float = 0.15, test: floa
     else:
         sizes, rows = sizes.withColumnRenamed(label, "_g"), rows.withColumn("_g", F.col(label))
     ranked = number_rows(rows, ["_g"], ["_draw", key], hash_buckets("_draw"), "_rn").join(sizes, "_g")
-    n_test, n_val = F.round(F.col("_n") * test), F.round(F.col("_n") * val)
+    n_test, n_val = (F.round(F.round(F.col("_n") * share, 9)) for share in (test, val))
     split = F.when(F.col("_rn") <= n_test, "test").when(F.col("_rn") <= n_test + n_val, "val").otherwise("train")
     return ranked.withColumn("split", split).drop("_draw", "_g", "_rn", "_n")
 
