@@ -77,9 +77,10 @@ def build_threads(rows: DataFrame) -> DataFrame:
     """root_id, level and orphan per comment, for trees of any depth and for parent cycles.
 
     Each round doubles how far a row sees up its parent chain, so depth d takes log2(d) joins. A row carries the
-    2^k-th ancestor (ptr), the steps to it (dist), and the earliest row on the way (low). Rows still open after
-    2^k exceeds their number sit on or below a cycle: there the earliest row in sight becomes an orphan root,
-    which is where a walk in source order would have entered.
+    2^k-th ancestor (ptr), the steps to it (dist), and the earliest row on the way (low). While a row that has a
+    root is open, every round closes some rows; so once a round closes none, all open rows sit on or below a
+    cycle. When 2^k has reached their number they have seen their whole cycle: the earliest row in sight becomes an
+    orphan root, which is where a walk in source order would have entered.
     """
     first = valid_parents(keep_first(rows, ["event_id", "comment_id"]))
     base = cut(first.select("event_id", "comment_id", "parent", "orphan", "seq"), "parents")
@@ -90,11 +91,12 @@ def build_threads(rows: DataFrame) -> DataFrame:
     open_ = base.filter("parent is not null").select(
         "event_id", "comment_id", F.col("parent").alias("ptr"), F.lit(None).cast("string").alias("root_id"),
         F.lit(1).alias("dist"), low(F.col("seq"), F.col("comment_id"), F.lit(0)).alias("low"))
-    done, seen = [closed], 1
+    done, seen, before = [closed], 1, None
     while True:
         n_open = open_.count()
-        if n_open == 0 or seen > n_open:
+        if n_open == 0 or (n_open == before and seen >= n_open):
             break
+        before = n_open
         state = open_
         for part in done:
             state = state.unionByName(part)

@@ -43,6 +43,7 @@ def test_threads_match_a_walk_with_orphans_duplicates_and_cycles(spark):
     for seq in range(120):
         pid = rng.choice([None, "None", "gone", f"n{rng.randrange(100)}", f"n{rng.randrange(100)}", f"n{rng.randrange(100)}"])
         rows.append((seq, f"n{rng.randrange(100)}", pid))
+    rows += [(1000 + i, f"deep{i}", f"deep{i - 1}" if i else None) for i in range(21)]  # deeper than the open rows are many
     df = spark.createDataFrame([("e", c, p, s) for s, c, p in rows], "event_id string, comment_id string, parent_id string, seq long")
     got = {r["comment_id"]: (r["root_id"], r["level"], r["orphan"]) for r in tree.build_threads(df).collect()}
     assert got == walk_in_order(rows)
