@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy import vocab
@@ -114,7 +114,7 @@ def fitted_group_split(df: DataFrame, group: str, label: str, val: float = 0.15,
     counts; the orders are independent rows."""
     per = cut(df.groupBy(group, label).agg(F.count("*").alias("n")), "counts")
     size = per.groupBy(group).agg(F.sum("n").alias("size"))
-    total = per.groupBy(label).agg(F.sum("n").alias("all_n"))
+    classes = per.groupBy(label).agg(F.sum("n").alias("all_n")).collect()  # one row per class
     n_rows = per.agg(F.sum("n").alias("n")).first()["n"]
     t_test, t_val = test * n_rows, val * n_rows
     orders = size.select(group, "size", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try")).withColumn(
@@ -122,12 +122,14 @@ def fitted_group_split(df: DataFrame, group: str, label: str, val: float = 0.15,
     # Filling "the first split still short" in order takes a prefix: test until its target, then val.
     done = _running(orders, "size")
     before = F.col("upto") - F.col("size")
-    placed = done.withColumn("split", F.when(before < t_test, "test")).withColumn("_t", F.max(F.when(F.col("split") == "test", F.col("upto"))).over(
-        Window.partitionBy("try"))).withColumn("split", F.coalesce("split", F.when(before - F.coalesce("_t", F.lit(0)) < t_val, "val"), F.lit("train")))
+    tests = cut(done.filter(before < t_test).groupBy("try").agg(F.max("upto").alias("_t")), "tests")
+    placed = done.join(tests, "try", "left").withColumn("split", F.when(before < t_test, "test").when(
+        before - F.coalesce("_t", F.lit(0)) < t_val, "val").otherwise("train"))
     placed = cut(placed.select("try", group, "size", "split"), "orders")
     shares = placed.filter("split <> 'train'").join(per, group).groupBy("try", "split", label).agg(F.sum("n").alias("n"))
     sums = placed.filter("split <> 'train'").groupBy("try", "split").agg(F.sum("size").alias("s"), F.count("*").alias("groups"))
-    grid = sums.crossJoin(F.broadcast(total)).join(shares, ["try", "split", label], "left").na.fill(0, ["n"])
+    every = F.array(*[F.struct(F.lit(r[label]).alias(label), F.lit(r["all_n"]).alias("all_n")) for r in classes])
+    grid = sums.withColumn("c", F.explode(every)).select("try", "split", "s", "groups", "c.*").join(shares, ["try", "split", label], "left").na.fill(0, ["n"])
     cost = grid.groupBy("try", "split").agg(
         F.first("s").alias("s"), F.first("groups").alias("groups"),
         F.sum(F.abs(F.col("n") / F.col("s") - F.col("all_n") / n_rows)).alias("apart"), F.sum(F.when(F.col("n") == 0, 0.3).otherwise(0.0)).alias("missing"))
@@ -170,8 +172,9 @@ def augmentation_jobs(df: DataFrame, have: DataFrame, targets: dict[str, int], b
     share = per.join(need, "label").join(whole, "label").withColumn("exact", F.col("batches") * F.col("n") / F.col("all_n")).withColumn(
         "base", F.floor("exact"))
     left = share.groupBy("label").agg((F.first("batches") - F.sum("base")).alias("left"))
-    w = Window.partitionBy("label").orderBy((F.col("exact") - F.col("base")).desc(), draw(F.col("event_id"), seed))
-    out = share.join(left, "label").withColumn("jobs", F.col("base") + F.when(F.row_number().over(w) <= F.col("left"), 1).otherwise(0))
+    share = share.withColumn("over", F.col("exact") - F.col("base")).withColumn("_d", draw(F.col("event_id"), seed))
+    ranked = number_rows(share, ["label"], [F.col("over").desc(), "_d"], F.floor((1 - F.col("over")) * 4096), "place")
+    out = ranked.join(left, "label").withColumn("jobs", F.col("base") + F.when(F.col("place") <= F.col("left"), 1).otherwise(0))
     return out.filter("jobs > 0").select("event_id", "label", "n", "jobs")
 
 
@@ -187,8 +190,8 @@ def class_weights(df: DataFrame, label: str, labels: list[str]) -> DataFrame:
     every = df.sparkSession.createDataFrame([(x,) for x in labels], f"{label} string")
     n = df.groupBy(label).agg(F.count("*").alias("n"))
     c = every.join(n, label, "left").na.fill(0, ["n"])
-    w = c.agg(F.sum(F.greatest("n", F.lit(1))).alias("t"), F.sum("n").alias("rows"), F.count_if(F.col("n") > 0).alias("present"))
-    c = c.crossJoin(F.broadcast(w)).withColumn("m", F.greatest("n", F.lit(1)))
+    w = c.agg(F.sum(F.greatest("n", F.lit(1))).alias("t"), F.sum("n").alias("rows"), F.count_if(F.col("n") > 0).alias("present")).first()
+    c = c.withColumns({"m": F.greatest("n", F.lit(1)), "t": F.lit(w["t"]), "rows": F.lit(w["rows"]), "present": F.lit(w["present"])})
     k = len(labels)
     return c.select(
         label, "n", (F.col("t") / (k * F.col("m"))).alias("inverse"), F.log(F.col("t") / F.col("m")).alias("log_inverse"),

@@ -334,23 +334,14 @@ def s7_link_table(spark, sf):
 
 @catalog.add("s8_manifests", "SELECT 'r' || user_id AS run_id, min(event_type) AS script, max(event_id)::DOUBLE AS duration_s FROM events GROUP BY user_id")
 def s8_manifests(spark, sf):
-    """One manifest.json per run in nested folders."""
+    """One manifest per run in nested folders."""
     path = run_dir(spark, "runs")
     e = table(spark, sf, "events").groupBy("user_id").agg(F.min("event_type").alias("script"), F.max("event_id").alias("last"))
     start = F.timestamp_seconds(F.lit(1704067200))
     m = e.select("user_id", F.to_json(F.struct(F.concat(F.lit("r"), "user_id").alias("run_id"), "script", F.lit("success").alias("status"), start.cast("string").alias("started_at"),
                                                F.timestamp_seconds(F.lit(1704067200) + F.col("last")).cast("string").alias("ended_at"))).alias("value"))
     m.repartition("user_id").write.partitionBy("user_id").text(path)
-    _rename_parts(spark, path)
-    return posts.read_manifests(spark, path).select("run_id", "script", "duration_s")
-
-
-def _rename_parts(spark, path):
-    """Give the derived run files the name the reader looks for."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    for run in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").toLocalIterator():
-        p = fs_path(run["path"])
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).rename(p, fs_path(p.getParent(), "manifest.json"))
+    return posts.read_manifests(spark, path, "*.txt").select("run_id", "script", "duration_s")
 
 
 @catalog.add("s9_s10_table_round_trip", "SELECT source AS id_content, count(*) AS n FROM documents WHERE source LIKE '%src1%' GROUP BY ALL")

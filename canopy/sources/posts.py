@@ -115,10 +115,10 @@ def read_link_table(spark: SparkSession, path: str, sep: str = "\t") -> DataFram
 MANIFEST = "run_id string, script string, status string, started_at string, ended_at string, counts map<string,bigint>, errors array<string>, input_url string, _bad string"
 
 
-def read_manifests(spark: SparkSession, root: str) -> DataFrame:
-    """All manifest.json below a folder; duration where both times are known."""
+def read_manifests(spark: SparkSession, root: str, pattern: str = "manifest.json") -> DataFrame:
+    """All run manifests below a folder; duration where both times are known."""
     rows = (spark.read.schema(MANIFEST).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad")
-            .option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.json").json(root))
+            .option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(root))
     start, end = F.col("started_at").try_cast("timestamp"), F.col("ended_at").try_cast("timestamp")
     return rows.filter("_bad is null").drop("_bad").withColumns({"started_at": start, "ended_at": end}).withColumn(
         "duration_s", (F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1e6)
