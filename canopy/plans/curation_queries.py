@@ -64,8 +64,9 @@ def l4_final_labels(spark, sf):
     return cu.final_labels(d, "showbiz").select("doc_id", "final_label", "drop_reason")
 
 
-_SPLIT = """r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || comment_id), comment_id) AS rn,
-                     count(*) OVER (PARTITION BY label) AS n FROM labelled WHERE label IS NOT NULL),
+_SPLIT = """k AS (SELECT label, count(*) AS m FROM labelled WHERE label IS NOT NULL GROUP BY label),
+h AS (SELECT *, CASE WHEN (SELECT min(m) FROM k) < 3 THEN 'all' ELSE label END AS g FROM labelled WHERE label IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY md5('42:' || comment_id), comment_id) AS rn, count(*) OVER (PARTITION BY g) AS n FROM h),
 s AS (SELECT comment_id, event_id, label, CASE WHEN rn <= round(n * 0.15) THEN 'test' WHEN rn <= round(n * 0.15) + round(n * 0.15) THEN 'val' ELSE 'train' END AS split FROM r)"""
 
 
