@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm import bpe, simhash, token_counts
+from canopy.llm import bpe, mixing, simhash, token_counts, top_k, warc
+from canopy.session import run_dir
 
 QUERIES, SQL = {}, {}
 
@@ -46,3 +47,70 @@ def op10(spark, sf):
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(concat_ws(':', '42', doc_id::VARCHAR)) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM d GROUP BY source),
+w AS (SELECT *, ([3, 1, 2])[(no % 3 + 1)::INT]::DOUBLE AS w, (2 * source_size)::DOUBLE AS cap FROM s),
+l AS (
+  SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS total, sum(w) OVER () AS w_all,
+         coalesce(sum(cap) OVER o, 0) AS cap_before, coalesce(sum(w) OVER o, 0) AS w_before
+  FROM w WINDOW o AS (ORDER BY cap / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, cap / w <= (total - cap_before) / (w_all - w_before) AS is_full FROM l),
+r AS (
+  SELECT *, total - coalesce(sum(cap) FILTER (is_full) OVER (), 0) AS rest, sum(w) FILTER (NOT is_full) OVER () AS w_rest FROM f),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE rest * w / w_rest END AS target FROM r),
+p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS due,
+         (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS a
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (greatest(least(a + size, due) - a, 0) + greatest(least(a + source_size + size, due) - a - source_size, 0))::BIGINT AS taken
+FROM p"""
+
+
+@query("op2_source_mix", OP2_SQL)
+def op2(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
+    _, mixed = mixing.mix(docs, ["doc_id"], [3, 1, 2], share=1.5, limit=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+b AS (SELECT page_id, octet_length(encode(body))::BIGINT AS n, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS first FROM p),
+bits AS (SELECT *, list_reduce(list_transform(range(1, 41), lambda i: lpad(bin(('0x' || h[i:i])::INT), 4, '0')), lambda x, y: x || y) AS s FROM b)
+SELECT page_id, n AS payload_bytes,
+       list_reduce(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+         (16 * s[5*i+1:5*i+1]::INT + 8 * s[5*i+2:5*i+2]::INT + 4 * s[5*i+3:5*i+3]::INT + 2 * s[5*i+4:5*i+4]::INT + s[5*i+5:5*i+5]::INT + 1)::INT]),
+         lambda x, y: x || y) AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM bits"""
+
+
+@query("op6_warc_revisits", OP6_SQL)
+def op6(spark, sf):
+    path = run_dir(spark, "warc")
+    warc.deduplicate(read(spark, sf, "pages"), path)
+    found = warc.restore(warc.read_archives(spark, path))
+    return found.select(warc.key_of().alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.key_of("refers_to_id").alias("refers_to"))
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query("op9_exact_top_k", OP9_SQL)
+def op9(spark, sf):
+    return top_k.exact_top_k(read(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
