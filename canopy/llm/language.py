@@ -191,8 +191,8 @@ def training_rows(docs: DataFrame, learn: Column, per_language: int = TRAIN_ROWS
     return sorted(((r["text"], r["lang"]) for r in picked.select("text", "lang").collect()), key=lambda x: (x[1], x[0]))
 
 
-def identify(docs: DataFrame, learn: Column, **bounds) -> DataFrame:
-    """docs with lang_pred, score, n_words and n_switches, from a model learned on the rows where learn holds.
+def identify(docs: DataFrame, learn: Column, keep: list[str] | None = None, **bounds) -> DataFrame:
+    """docs (columns keep) with lang_pred, score, n_words and n_switches, from a model learned on the rows where learn holds.
 
     Every word of a text is labelled by forward-backward; lang_pred is the language with the largest mean posterior and
     score that mean; n_switches counts neighbours whose likeliest labels differ. A text without letters (null, empty) is
@@ -235,4 +235,4 @@ def identify(docs: DataFrame, learn: Column, **bounds) -> DataFrame:
         return [pa.array(pred, pa.string()), pa.array(best), pa.array(counts.astype(np.int64)), pa.array(switches)]
 
     plain = docs.drop("lang_pred", "score", "n_words", "n_switches")
-    return map_texts(plain, "text", score, "lang_pred string, score double, n_words long, n_switches long")
+    return map_texts(plain, "text", score, "lang_pred string, score double, n_words long, n_switches long", keep)

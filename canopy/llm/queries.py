@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm import bpe, mixing, simhash, token_counts, top_k, warc
+from canopy.llm import bpe, language, mixing, perplexity, simhash, token_counts, top_k, toxicity, warc
 from canopy.session import run_dir
 
 QUERIES, SQL = {}, {}
@@ -33,6 +33,32 @@ def op1(spark, sf):
                           (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def held_out(parts: int, rest: int):
+    """Whether crc32 of the id as text leaves rest; false for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == rest, F.lit(False))
+
+
+@query("op4_toxicity")
+def op4(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    learn = F.col("doc_id").isNotNull() & ~held_out(3, 1)
+    scored = toxicity.score_toxicity(docs, read(spark, sf, "labels"), learn, keep=["doc_id"])
+    return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
+@query("op5_language_id")
+def op5(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs, F.col("doc_id").isNotNull() & ~held_out(5, 0), keep=["doc_id"])
+    return found.select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
+
+
+@query("op7_quality_rules")
+def op7(spark, sf):
+    judged = perplexity.judge(read(spark, sf, "documents").select("doc_id", "text", "lang"), ["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
 @query("op8_simhash_near_dedup")
 def op8(spark, sf):
     found = simhash.near_duplicates(read(spark, sf, "documents").select("doc_id", "text"))
