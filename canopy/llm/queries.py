@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm import bpe, language, mixing, perplexity, simhash, token_counts, top_k, toxicity, warc
+from canopy.llm import bpe, language, line_dedup, mixing, perplexity, simhash, token_counts, top_k, toxicity, warc
 from canopy.session import run_dir
 
 QUERIES, SQL = {}, {}
@@ -33,6 +33,34 @@ def op1(spark, sf):
                           (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+OP3_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM documents),
+w AS (
+  SELECT doc_id, line_no, list_sort(list_distinct(list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS s FROM l),
+c AS (SELECT s, len(s) AS n, min((doc_id, line_no)) AS spot, row_number() OVER () AS id FROM w WHERE len(s) >= 4 GROUP BY s),
+t AS (SELECT id, n, spot, unnest(s) AS tok FROM c),
+f AS (SELECT tok, count(*) AS df FROM t GROUP BY tok),
+r AS (SELECT id, n, spot, tok, row_number() OVER (PARTITION BY id ORDER BY df, tok) AS pos FROM t JOIN f USING (tok)),
+p AS (SELECT * FROM r WHERE pos <= n - (4 * n + 4) // 5 + 1),
+k AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.tok = b.tok AND a.spot < b.spot AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+v AS (
+  SELECT DISTINCT y.id FROM k JOIN c x ON x.id = k.a JOIN c y ON y.id = k.b
+  WHERE 5 * len(list_intersect(x.s, y.s)) >= 4 * (x.n + y.n - len(list_intersect(x.s, y.s)))),
+g AS (
+  SELECT w.doc_id, w.line_no FROM w JOIN c ON w.s = c.s LEFT JOIN v ON v.id = c.id WHERE v.id IS NOT NULL OR (w.doc_id, w.line_no) <> c.spot)
+SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, count(g.line_no)::BIGINT AS n_removed,
+       coalesce(string_agg(g.line_no::VARCHAR, ',' ORDER BY g.line_no), '') AS removed
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id, d.text"""
+
+
+@query("op3_line_dedup", OP3_SQL)
+def op3(spark, sf):
+    cleaned = line_dedup.dedup_lines(read(spark, sf, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
 def held_out(parts: int, rest: int):
     """Whether crc32 of the id as text leaves rest; false for a null id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == rest, F.lit(False))
