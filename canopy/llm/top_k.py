@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ LONG = (-(2 ** 63), 2 ** 63 - 1)
 
 def _by_length(ids: np.ndarray, vectors: pa.Array, scale: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """(ids, integer components) of the valid vectors, by vector length; sorted by id."""
-    lengths = np.asarray([-1 if n is None else n for n in pa.compute.list_value_length(vectors).to_pylist()])
-    flat = pa.compute.fill_null(vectors.flatten().cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+    lengths = np.asarray([-1 if n is None else n for n in pc.list_value_length(vectors).to_pylist()])
+    flat = pc.fill_null(vectors.flatten().cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
     starts = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))])
     out = {}
     for n in np.unique(lengths[lengths >= 0]).tolist():
@@ -68,7 +69,7 @@ class Block:
                 q_ids, q = self.groups[n]
                 if self.big:
                     exact = lambda x: np.array([[int(v) for v in r] for r in x.tolist()], dtype=object).reshape(x.shape)
-                    s = exact(m).dot(exact(q).T) if n else np.zeros((len(m), len(q)), object)
+                    s = np.clip(exact(m).dot(exact(q).T), *LONG) if n else np.zeros((len(m), len(q)), object)
                 else:
                     s = (m @ q.T).astype(np.int64)
                 yield self.first[n], own, s, own[:, None] != q_ids[None, :]
@@ -78,7 +79,7 @@ def _batches(batches: Iterator[pa.RecordBatch]):
     for b in batches:
         for i in range(0, b.num_rows, ROWS):
             part = b.slice(i, ROWS)
-            fine = part.filter(pa.compute.is_valid(part.column(0)))
+            fine = part.filter(pc.is_valid(part.column(0)))
             yield fine.column(0).to_numpy(zero_copy_only=False).astype(np.int64), fine.column(1)
 
 
@@ -110,8 +111,8 @@ def _select(shared):
                 tie = fine & ~over & (s == b.hi[q]).astype(bool)
                 tie &= tie.cumsum(axis=0) <= b.k - b.above[q]  # ids ascend: a batch needs no later ties
                 r, c = np.nonzero(over | tie)
-                score = np.asarray([min(max(int(x), LONG[0]), LONG[1]) for x in s[r, c]], np.int64) if b.big else s[r, c]
-                yield pa.RecordBatch.from_arrays([pa.array(b.ids[c + first]), pa.array(own[r]), pa.array(score)], ["query_id", "vec_id", "score"])
+                found = [pa.array(b.ids[c + first]), pa.array(own[r]), pa.array(s[r, c].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(found, ["query_id", "vec_id", "score"])
     return run
 
 
@@ -133,7 +134,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
     Components become floor(scale * x). Ties go to the smaller id; a query with fewer than k candidates gets them all.
     Rows whose vector is null or has null or non-finite components, and rows without id, take no part; a pair of
     different lengths has no product. Components may reach 1e100. Rows with the query's id are its own; a candidate row that is repeated counts as
-    often, a repeated query row once (the first by content). Scores beyond a long are ranked exactly and shown clamped.
+    often, a repeated query row once (the first by content). Scores beyond a long count as its bounds.
 
     Queries come in blocks of bounded size, broadcast in turn. Passes over all candidates count each query's scores in
     bins of the range that holds its k-th score, the driver narrows the ranges by the summed counts (at most k bins per
