@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from canopy.llm.words import flat, letter_words, map_texts
 from canopy.operators.ordering import top_rows
+from canopy.session import cut
 
 SLOTS = 1 << 18
 FACTORS = 4
@@ -139,13 +142,14 @@ def fit(rows: list[tuple[str, int]]) -> Machine:
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, rows: dict[int, int], chars: int) -> list[tuple[str, int]]:
     """At most rows[label] texts of at most chars characters of each label, in the order of their ids' hashes."""
     marks = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("_toxic")).withColumnRenamed("doc_id", "_id")
-    usable = docs.filter(learn & F.col("text").isNotNull() & (F.length("text") <= chars)).select("doc_id", "text")
-    known = usable.join(marks, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic")
-    out = []
-    for label, most in sorted(rows.items()):
-        chosen = top_rows(known.filter(F.col("_toxic") == label).withColumn("_all", F.lit(0)), ["_all"], [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")], most)
-        out += sorted((r["text"], r["_toxic"]) for r in chosen.select("text", "_toxic").collect())
-    return out
+    fit_for = F.col("text").isNotNull() & (F.length("text") <= chars)
+    known = docs.filter(learn & fit_for).select("doc_id").join(marks, F.col("doc_id") == F.col("_id")).select("doc_id", "_toxic")
+    picked = [known.filter(F.col("_toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for label, most in sorted(rows.items())]
+    ids = cut(reduce(DataFrame.unionByName, picked).select(F.col("doc_id").alias("_id"), "_toxic").distinct(), "training")
+    # At most the sum of rows ids: a bound small enough to send to every task, so that no text is shuffled.
+    found = docs.filter(fit_for).select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    best = top_rows(found, ["doc_id"], ["text"], 1)
+    return sorted((r["text"], r["_toxic"]) for r in best.select("text", "_toxic").collect())
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, rows: dict[int, int] = TRAIN_ROWS, chars: int = TRAIN_CHARS,
