@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopy.session import cut
+
 FILE_BYTES = 32_000_000  # payload bytes of an archive file, about
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -56,10 +58,9 @@ def write_archives(records: DataFrame, path: str, key: str, url: str) -> None:
     """One record per row with the columns of resolve_revisits and with_payload_headers, in gzip files under path.
 
     A response carries its payload; a revisit has fresh headers that name the response and no payload. Records end with
-    two line breaks, which is how Spark's text writer separates rows, so its committer makes lost tasks harmless. Files
-    get about FILE_BYTES of payload each.
+    two line breaks, which is how Spark's text writer separates rows, so its committer makes lost tasks harmless. Every
+    partition of records is a file.
     """
-    total = records.agg(F.sum(F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0))).first()[0] or 0
     revisit = F.col("record_type") == "revisit"
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     clean = F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), "[\\r\\n]+", " ")
@@ -70,9 +71,7 @@ def write_archives(records: DataFrame, path: str, key: str, url: str) -> None:
         F.when(revisit, F.concat(line("WARC-Refers-To", _record_id(F.col("refers_to"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
         line("Content-Length", F.when(revisit, "0").otherwise(F.col("payload_bytes").cast("string"))),
         F.lit("\r\n"), F.when(revisit, "").otherwise(F.col("_payload")))
-    files = max(1, math.ceil(total / FILE_BYTES))
-    spread = records.select(record.alias("value")).repartition(max(files, 2))
-    spread.write.option("lineSep", END).option("compression", "gzip").text(path)
+    records.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def _unzipped(data: bytes) -> io.BufferedIOBase:
@@ -142,8 +141,15 @@ def key_of(record_id: str = "record_id") -> Column:
 def deduplicate(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> None:
     """Write pages as archives under path in which every repeated payload is stored once (see resolve_revisits).
 
-    Null payloads are empty, null urls too. Headers alone are shuffled by digest; payloads follow once, by key, and go
-    to the archives. Repeated rows give a record each; an empty table gives empty archives. Other columns play no part.
+    Null payloads are empty, null urls too. Headers alone are shuffled by digest; payloads are shuffled once, by key and
+    digest, and meet there what their headers were resolved to. Files get about FILE_BYTES of payload each. Repeated rows
+    give a record each; an empty table gives empty archives. Other columns play no part.
     """
     full = with_payload_headers(pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(payload).alias("payload")), "payload")
-    write_archives(resolve_revisits(full, "key", least), path, "key", "url")
+    headers = cut(full.select("key", "payload_bytes", "payload_digest"), "headers")
+    files = max(2, math.ceil((headers.agg(F.sum("payload_bytes")).first()[0] or 0) / FILE_BYTES))
+    place = F.concat_ws("|", F.col("payload_digest"), F.col("key").cast("string"))
+    again = resolve_revisits(headers, "key", least).filter("record_type = 'revisit'").select(place.alias("place"), "refers_to").distinct()
+    rows = full.withColumn("place", place).repartition(files, "place").join(again.repartition(files, "place"), "place", "left")
+    kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
+    write_archives(rows.withColumn("record_type", kind), path, "key", "url")
