@@ -43,16 +43,16 @@ def both_ways(edges: DataFrame) -> DataFrame:
         edges.select("event_id", F.col("parent").alias("src"), F.col("child").alias("dst")))
 
 
-def neighbour_mean(nodes: DataFrame, edges: DataFrame, dim: int, vector: str = "x") -> DataFrame:
-    """Mean of the neighbour vectors per node (zeros without neighbours). One avg per dimension keeps the
-    aggregation a partial one: a node with very many neighbours ships one partial row per task."""
+def neighbour_mean(nodes: DataFrame, edges: DataFrame, vector: str = "x") -> DataFrame:
+    """Mean of the neighbour vectors per node (zeros without neighbours), of vectors of any length: components are
+    averaged as rows, with partial sums before the shuffle, and put together per node."""
     src = nodes.select("event_id", F.col("comment_id").alias("src"), F.col(vector).alias("_v"))
-    sent = both_ways(edges).join(src, ["event_id", "src"])
-    means = sent.groupBy("event_id", F.col("dst").alias("comment_id")).agg(
-        *[F.avg(F.col("_v")[i]).alias(f"_m{i}") for i in range(dim)])
-    cells = F.array(*[F.coalesce(F.col(f"_m{i}"), F.lit(0.0)) for i in range(dim)])
-    return nodes.join(means, ["event_id", "comment_id"], "left").withColumn("mean", cells).drop(
-        *[f"_m{i}" for i in range(dim)])
+    sent = both_ways(edges).join(src, ["event_id", "src"]).select("event_id", F.col("dst").alias("comment_id"), F.posexplode("_v").alias("_i", "_c"))
+    cells = sent.groupBy("event_id", "comment_id", "_i").agg(F.avg("_c").alias("_c"))
+    means = cells.groupBy("event_id", "comment_id").agg(F.array_sort(F.collect_list(F.struct("_i", "_c"))).alias("_m"))
+    zeros = F.transform(vector, lambda _: F.lit(0.0))
+    mean = F.coalesce(F.transform("_m", lambda x: x["_c"]), zeros)
+    return nodes.join(means, ["event_id", "comment_id"], "left").withColumn("mean", mean).drop("_m")
 
 
 def products(x: Column, weights: list[np.ndarray]) -> Column:
@@ -75,7 +75,7 @@ def encode(nodes: DataFrame, edges: DataFrame, layers: list[dict], head: dict) -
         x = x.withColumn("_p", products(F.col("x"), [layer["l"], layer["r"]]))
         x = x.withColumn("_n", F.slice("_p", 1, dim)).withColumn("_own", F.slice("_p", dim + 1, dim))
         bias = F.array(*[F.lit(float(v)) for v in layer["b"]])
-        m = neighbour_mean(x, edges, dim, "_n")
+        m = neighbour_mean(x, edges, "_n")
         total = F.zip_with(F.zip_with("mean", "_own", lambda a, b: a + b), bias, lambda a, b: F.greatest(a + b, F.lit(0.0)))
         x = m.withColumn("x", total).drop("mean", "_p", "_n", "_own")
     shift = F.array(*[F.lit(float(v)) for v in head["b"]])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions.text import null_parent, strip, to_int
-from canopy.operators.ordering import buckets, first_row, number_rows, spread_rows
+from canopy.operators.ordering import buckets, first_row, last_before, number_rows, running_sum, spread_rows
 from canopy.session import cut
 
 NODE = """array<struct<comment_id:string,`order`:string,reply_to_id:string,text:string,likes:string,
@@ -192,6 +192,36 @@ def nest(threads: DataFrame, chunk: int = CHUNK) -> DataFrame:
         .alias("json"))
 
 
+BODY = "struct<comment_id:string,`order`:string,reply_to_id:string,text:string,likes:string,reply_count:string>"
+
+
+def flatten_chunks(chunks: DataFrame) -> DataFrame:
+    """Nodes of the documents that nest writes, of any size and depth, in depth-first order (pos): event_id, comment_id,
+    parent_id, reply_to_id, level, text, likes, reply_count. chunks: event_id, chunk, json.
+
+    A raw `,"replies":[` never occurs inside a JSON string (its quotes would be escaped), so it separates the nodes. What
+    closes before a node and what opens with it gives its level by a running sum over the chunks; its parent is the last
+    earlier node one level up. A chunk is the unit of work, whatever the size of its document.
+    """
+    parts = chunks.select("event_id", "chunk", F.posexplode(F.split("json", r',"replies":\[')).alias("i", "piece"))
+    closes = (F.length(F.regexp_extract("piece", r"^((?:\]\})*)", 1)) / 2).cast("int")
+    body = F.regexp_extract("piece", r"(?s)^(?:\]\})*[\[,]?(\{.*)$", 1)
+    parts = parts.select("event_id", "chunk", "i", closes.alias("closes"), body.alias("body"))
+    opens = (F.col("body") != "").cast("int")
+    order, bucket = ["chunk", "i"], F.col("chunk")
+    rows = cut(running_sum(parts, ["event_id"], order, bucket, opens - F.col("closes"), "level").filter("body <> ''"), "nodes")
+    n = F.from_json(F.concat("body", F.lit("}")), BODY)
+    nodes = rows.select("event_id", "chunk", "i", F.col("level").cast("int").alias("level"), n.alias("n"))
+    nodes = nodes.select("event_id", "chunk", "i", "level", "n.*")
+    # Every node offers its id to the level below it and asks the level above.
+    offers = nodes.select("event_id", "chunk", "i", F.col("level").alias("at"), F.col("comment_id").alias("offer"), F.lit(False).alias("asks"))
+    asks = nodes.select("event_id", "chunk", "i", (F.col("level") - 1).alias("at"), F.lit(None).cast("string").alias("offer"), F.lit(True).alias("asks"))
+    found = last_before(offers.unionByName(asks), ["event_id", "at"], order, bucket, F.col("offer"), "parent_id").filter("asks")
+    both = nodes.join(found.select("event_id", "chunk", "i", "parent_id"), ["event_id", "chunk", "i"])
+    return both.select("event_id", "comment_id", "parent_id", "reply_to_id", "level", "text", to_int(F.col("likes")).alias("likes"),
+                       to_int(F.col("reply_count")).alias("reply_count"), F.struct("chunk", "i").alias("pos"))
+
+
 # --- links to documents --------------------------------------------------------------------------
 def event_heads(links: DataFrame) -> DataFrame:
     """Event row from its links with status done: name of the first link, post texts joined by blank lines.

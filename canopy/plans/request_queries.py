@@ -126,10 +126,10 @@ def j3_attached_labels(spark, sf):
 
 
 @catalog.add("t15_array_answers", with_(THREADS_SQL) + """
-SELECT event_id, comment_id AS id, length(text) AS n FROM threads WHERE turn % 2 = 0 AND text IS NOT NULL""")
+SELECT event_id, comment_id AS id, length(text) AS n FROM threads WHERE text IS NOT NULL""")
 def t15_array_answers(spark, sf):
     """One cut-off array response per comment: its first object is complete, the second is not."""
-    t = threads(spark, sf).filter("turn % 2 = 0")
+    t = threads(spark, sf)
     obj = F.to_json(F.struct(F.col("comment_id").alias("id"), F.length("text").cast("long").alias("n")))
     response = F.concat(F.lit("```json\n["), obj, F.lit(',{"id":"cut'))
     rows = t.select("event_id", F.explode(rq.array_answers(response, "struct<id:string,n:bigint>")).alias("a"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from canopy.functions.noise import is_light_noise
@@ -25,8 +27,8 @@ def served(spark, sf):
     p = table(spark, sf, "pages")
     web = p.select(F.concat(F.lit("p"), "page_id").alias("id_content"), F.concat(F.lit("Page "), "page_id").alias("ten_su_kien"),
                    F.when(F.col("page_id") % 3 == 0, "Giáo dục").otherwise("Showbiz").alias("danh_muc"),
-                   F.when(F.col("page_id") % 2 == 0, F.to_json(F.struct(F.substring("html", 100, 700).alias("content"), F.lit("").alias("x"))))
-                   .otherwise(F.regexp_replace(F.substring("html", 100, 700), r"^[\s{]+", "")).alias("content"),
+                   F.when(F.col("page_id") % 2 == 0, F.to_json(F.struct(F.col("html").alias("content"), F.lit("").alias("x"))))
+                   .otherwise(F.regexp_replace(F.col("html"), r"^[\s{]+", "")).alias("content"),
                    F.col("url").alias("source_url"), F.lit(None).cast("string").alias("platform"))
     n = F.col("page_id") * 7919 % 1009
     hot = top_rows(p.select(F.concat(F.lit("p"), "page_id").alias("id_content"), (F.col("page_id") % 3 == 0).alias("g"), n.alias("total"),
@@ -37,7 +39,7 @@ def served(spark, sf):
 
 SERVED_SQL = f"""pg AS (
   SELECT 'p' || page_id AS id_content, 'Page ' || page_id AS ten_su_kien, CASE WHEN page_id % 3 = 0 THEN 'Giáo dục' ELSE 'Showbiz' END AS danh_muc,
-         regexp_replace(CASE WHEN page_id % 2 = 0 THEN substr(html, 100, 700) ELSE regexp_replace(substr(html, 100, 700), '^[ \\t\\n\\f\\r{{]+', '') END,
+         regexp_replace(CASE WHEN page_id % 2 = 0 THEN html ELSE regexp_replace(html, '^[ \\t\\n\\f\\r{{]+', '') END,
                         '^[{WS}]+|[{WS}]+$', '', 'g') AS content_full, page_id * 7919 % 1009 AS n, page_id FROM pages),
 hot AS (SELECT id_content, row_number() OVER (PARTITION BY page_id % 3 = 0 ORDER BY n - n % 10 DESC, id_content) AS rank, n FROM pg),
 ev AS (SELECT pg.id_content, ten_su_kien, danh_muc, content_full, CASE WHEN rank <= 10 THEN hot.n ELSE 0 END AS total_comments,
@@ -95,10 +97,10 @@ def k12_top_by_metric(spark, sf):
 
 
 @catalog.add("t12_context_text", f"""
-WITH d AS (SELECT doc_id, source || '. ' || trim(regexp_replace(text, '[{WS}]+', ' ', 'g')) AS t FROM documents WHERE text NOT LIKE '{{%')
+WITH d AS (SELECT doc_id, source || '. ' || trim(regexp_replace(text, '[{WS}]+', ' ', 'g')) AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t) <= 400 THEN t ELSE regexp_replace(substr(t, 1, 400), ' [^ ]*$', '') END AS context FROM d""")
 def t12_context_text(spark, sf):
-    d = table(spark, sf, "documents").filter("not startswith(text, '{')")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", serving.context_text(F.col("source"), F.col("text")).alias("context"))
 
 
@@ -389,9 +391,18 @@ def f15_three_fields(spark, sf):
 
 
 # --- streams -------------------------------------------------------------------------------------
+SLICES, SLICE_ROWS = 4, 100_000
+
+
 def event_stream(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return utc(jobs.source(spark, sf, "events.parquet", schema))
+    """The events as files by time, one micro-batch each, so that state, watermark and expiry are reached."""
+    path, e = run_dir(spark, "events"), table(spark, sf, "events")
+    slices = max(SLICES, -(-e.count() // SLICE_ROWS))
+    edges = e.select(F.unix_micros("ts").cast("double").alias("t")).approxQuantile("t", [i / slices for i in range(1, slices)], 0.01)
+    place = reduce(lambda a, x: a + (F.unix_micros("ts") > x).cast("int"), edges, F.lit(0))
+    for i in range(slices):
+        e.filter(place == i).coalesce(1).write.parquet(f"{path}/slice-{i:06d}")
+    return jobs.source(spark, path, "*.parquet", e.schema, files=1)
 
 
 @catalog.add("st1_unseen_records", "SELECT DISTINCT substr(sha256(event_type || '|' || props), 1, 16) AS key FROM events")
@@ -423,9 +434,15 @@ def w10_last_turns(spark, sf):
     return top_rows(s, ["user_id", "session"], [F.col("ts").desc(), F.col("event_id").desc()], 3).select("user_id", F.col("session").cast("long").alias("session"), "event_id")
 
 
-@catalog.add("st3_fresh_queries", "SELECT DISTINCT CASE WHEN value > 50 THEN 'week' ELSE 'year' END || '|' || lower(trim(props)) AS key FROM events")
+@catalog.add("st3_fresh_queries", """
+WITH RECURSIVE q AS (SELECT CASE WHEN value > 50 THEN 'week' ELSE 'year' END || '|' || lower(substr(trim(props), 1, 200)) AS key, epoch_us(ts) AS t FROM events),
+f AS (
+  SELECT key, min(t) AS t FROM q GROUP BY key
+  UNION ALL SELECT f.key, min(q.t) AS t FROM f JOIN q ON q.key = f.key AND q.t > f.t + 1800000000 GROUP BY f.key, f.t)
+SELECT key, t::BIGINT AS fetched_at FROM f""")
 def st3_fresh_queries(spark, sf):
-    return jobs.appended(jobs.fresh_queries(event_stream(spark, sf), F.col("props"), F.col("value") > 50), "queries").select("key")
+    found = jobs.appended(jobs.fresh_queries(event_stream(spark, sf), F.col("props"), F.col("value") > 50), "queries")
+    return found.select("key", F.unix_micros("ts").alias("fetched_at"))
 
 
 @catalog.add("st4_incremental", "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL")

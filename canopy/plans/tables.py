@@ -39,14 +39,14 @@ def threads(spark, sf) -> DataFrame:
         F.concat(F.lit("e"), F.expr("conv_id div 16")).alias("event_id"),
         node(F.col("turn")).alias("comment_id"),
         F.when(F.col("turn") > 0, node(F.expr("(turn - 1) div 2"))).alias("parent_id"),
-        (F.col("conv_id") * 64 + F.col("turn")).alias("seq"),
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("seq"),
         "conv_id", "turn", "role", "text")
 
 
 THREADS_SQL = """threads AS (
   SELECT 'e' || (conv_id // 16) AS event_id, 'k' || conv_id || 't' || turn AS comment_id,
          CASE WHEN turn > 0 THEN 'k' || conv_id || 't' || ((turn - 1) // 2) END AS parent_id,
-         conv_id * 64 + turn AS seq, conv_id, turn, role, text FROM conversations)"""
+         conv_id * 1000000 + turn AS seq, conv_id, turn, role, text FROM conversations)"""
 
 
 def labelled(spark, sf) -> DataFrame:

@@ -17,10 +17,10 @@ ROOTS_SQL = """walk AS (
   JOIN walk w ON w.event_id = t.event_id AND w.comment_id = t.parent_id)"""
 _REC = "WITH RECURSIVE " + THREADS_SQL + ",\n" + ROOTS_SQL
 
-# Nodes that have a vector: labels and features come from embeddings, edges need both ends.
+# Labels and features come from embeddings, where a node has any; nodes without a label are not usable. Edges need both ends.
 NODES_SQL = """nodes AS (
   SELECT t.event_id, t.comment_id, t.parent_id, t.seq, t.turn, e.label, e.embedding AS x,
-         t.role = 'system' AS is_trash FROM threads t JOIN embeddings e ON e.vec_id = t.conv_id * 8 + t.turn),
+         t.role = 'system' AS is_trash FROM threads t LEFT JOIN embeddings e ON e.vec_id = t.conv_id * 8 + t.turn),
 good AS (SELECT * FROM nodes WHERE NOT is_trash AND label IN (0, 1, 2, 3)),
 edges AS (SELECT c.event_id, c.comment_id AS child, p.comment_id AS parent FROM good c
           JOIN good p ON p.event_id = c.event_id AND p.comment_id = c.parent_id)"""
@@ -28,7 +28,7 @@ edges AS (SELECT c.event_id, c.comment_id AS child, p.comment_id AS parent FROM
 
 def nodes(spark, sf):
     t = threads(spark, sf).withColumn("vec_id", F.col("conv_id") * 8 + F.col("turn"))
-    return t.join(table(spark, sf, "embeddings"), "vec_id").select(
+    return t.join(table(spark, sf, "embeddings"), "vec_id", "left").select(
         "event_id", "comment_id", "parent_id", "seq", "turn", "label", F.col("embedding").alias("x"),
         (F.col("role") == "system").alias("is_trash"))
 
@@ -74,9 +74,8 @@ SELECT w.event_id AS id_content, w.comment_id, t.parent_id, w.level, t.text FROM
 JOIN threads t ON t.event_id = w.event_id AND t.comment_id = w.comment_id""")
 def g2_flatten_documents(spark, sf):
     """Nested documents of any depth (made by g10) back to flat rows in depth-first order."""
-    docs = tree.nest(tree.build_threads(threads(spark, sf))).filter("chunk = 0")
-    flat = tree.flatten_documents(docs.select(F.col("event_id").alias("id_content"), F.col("json").alias("comments")))
-    return flat.select("id_content", "comment_id", "parent_id", "level", "text")
+    flat = tree.flatten_chunks(tree.nest(tree.build_threads(threads(spark, sf))))
+    return flat.select(F.col("event_id").alias("id_content"), "comment_id", "parent_id", "level", "text")
 
 
 @catalog.add("g3_threads", _REC + "SELECT event_id, comment_id, root_id, level, false AS orphan FROM walk")
@@ -152,8 +151,7 @@ SELECT g.event_id, g.comment_id, coalesce(round(sum(abs(m.v)), 6), 0) AS l1, coa
 FROM good g LEFT JOIN m ON m.event_id = g.event_id AND m.dst = g.comment_id GROUP BY ALL""")
 def a34_neighbour_mean(spark, sf):
     n = good_nodes(spark, sf)
-    dim = len(n.select("x").first()["x"])
-    m = graph.neighbour_mean(n, graph.reply_edges(n), dim)
+    m = graph.neighbour_mean(n, graph.reply_edges(n))
     add = lambda a, v: a + v
     return m.select(
         "event_id", "comment_id",
@@ -170,7 +168,7 @@ def weights(rows: int, cols: int, phase: float) -> np.ndarray:
 def g12_encoder_scores(spark, sf):
     """Two mean-neighbour layers and a linear head (checked against NumPy in the tests)."""
     n = good_nodes(spark, sf)
-    dim, hidden = len(n.select("x").first()["x"]), 8
+    dim, hidden = 64, 8  # the length of the given vectors; a caller knows its model's
     layers = [{"l": weights(hidden, dim, 0.1), "r": weights(hidden, dim, 0.2), "b": np.zeros(hidden)},
               {"l": weights(hidden, hidden, 0.3), "r": weights(hidden, hidden, 0.4), "b": np.full(hidden, 0.1)}]
     out = graph.encode(n, graph.reply_edges(n), layers, {"w": weights(4, hidden, 0.5), "b": np.zeros(4)})

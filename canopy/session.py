@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,10 +31,15 @@ def build_session(app: str = "canopy", master: str | None = None, shuffle_partit
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """Folder every executor can reach: spark.checkpoint.dir. Where it is unset, a local session gets a temporary folder
+    that goes when the process ends; a cluster is refused, as its executors would each write to their own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="canopy-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -53,6 +60,6 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan with fewer splits than cores over all cores before per-row work; a large scan already
-    has more splits than cores and stays as it is."""
+    has more splits than cores and stays as it is. Only the plan depends on the number of splits, never the rows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

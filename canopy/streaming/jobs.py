@@ -8,15 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from canopy.operators.ordering import first_row, last_before, running_sum
 from canopy.session import run_dir
 
 
-def source(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def source(spark: SparkSession, folder: str, pattern: str, schema, files: int | None = None) -> DataFrame:
+    """Parquet files as a stream, oldest first; at most files of them in one micro-batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder)
 
 
 def _run(stream: DataFrame, mode: str, name: str, write: Callable[[DataFrame, int, str], None]) -> str:
@@ -45,15 +50,39 @@ def latest(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
     return first_row(rows, keys, [F.col("batch").desc()]).drop("batch")
 
 
-def unseen(stream: DataFrame, key: Column, ts: str = "ts", retention: str = "90 days") -> DataFrame:
-    """First record per content key across runs; keys are remembered for the retention."""
-    return stream.withColumn("key", key).withWatermark(ts, retention).dropDuplicatesWithinWatermark(["key"])
+def unseen(stream: DataFrame, key: Column, ts: str = "ts", retention: str | None = None) -> DataFrame:
+    """First record per content key across runs. Keys are remembered for good, or for the retention if one is given."""
+    keyed = stream.withColumn("key", key)
+    return keyed.withWatermark(ts, retention).dropDuplicatesWithinWatermark(["key"]) if retention else keyed.dropDuplicates(["key"])
 
 
-def fresh_queries(stream: DataFrame, query: Column, recent: Column, ts: str = "ts", ttl: str = "30 minutes") -> DataFrame:
-    """Queries that miss the cache: the same text and recency is answered from it for the time to live."""
+def fresh_queries(stream: DataFrame, query: Column, recent: Column, ts: str = "ts", ttl_seconds: int = 1800) -> DataFrame:
+    """(key, ts) of the queries that miss the cache: nothing was fetched for the same text and recency before, or the last
+    fetch is longer ago than the time to live. A miss is a fetch; hits do not prolong it. The state of a key is the time
+    of its last fetch and goes once the watermark has passed its time to live."""
     key = F.concat_ws("|", F.when(recent, "week").otherwise("year"), F.lower(F.substring(F.trim(query), 1, 200)))
-    return unseen(stream, key, ts, ttl)
+    asked = stream.select(key.alias("key"), F.col(ts).alias("ts")).withWatermark("ts", f"{ttl_seconds} seconds")
+    ttl = ttl_seconds * 1_000_000
+
+    def fetches(name, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at = np.sort(np.concatenate([f["micros"].to_numpy() for f in frames]))
+        last = state.get[0] if state.exists else None
+        missed = []
+        i = 0 if last is None else int(np.searchsorted(at, last + ttl, side="right"))
+        while i < len(at):
+            last = int(at[i])
+            missed.append(last)
+            i = int(np.searchsorted(at, last + ttl, side="right"))
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + ttl) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({"key": [name[0]] * len(missed), "micros": np.asarray(missed, np.int64)})
+
+    found = asked.withColumn("micros", F.unix_micros("ts")).groupBy("key").applyInPandasWithState(
+        fetches, "key string, micros long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("key", F.timestamp_micros("micros").alias("ts"))
 
 
 def volumes(stream: DataFrame, keys: list[str], noise: Column, ts: str = "ts", size: str = "1 day", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
@@ -72,10 +101,16 @@ def user_sessions(stream: DataFrame, user: str, topic: str, ts: str = "ts", gap:
 
 
 def incremental(stream: DataFrame, name: str, job: Callable[[DataFrame], DataFrame], by: str) -> DataFrame:
-    """Runs a batch job on each micro-batch and replaces the partitions (events) it touched."""
+    """Runs a batch job for the events that each micro-batch touches, on all their rows so far, and replaces their
+    results whole; so it does not matter how the input is cut into batches. Rows are stored by batch: one that is run
+    again after a failure overwrites its own."""
     def write(df: DataFrame, batch: int, out: str) -> None:
-        job(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(out)
-    return stream.sparkSession.read.parquet(_run(stream, "append", name, write))
+        rows, spark = f"{out}/rows", df.sparkSession
+        df.write.mode("overwrite").partitionBy(by).parquet(f"{rows}/batch={batch}")
+        stored = spark.read.schema(df.schema).option("basePath", rows).parquet(f"{rows}/*").select(*df.columns)
+        touched = stored.join(df.select(by).distinct(), by, "left_semi")
+        job(touched).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{out}/result")
+    return stream.sparkSession.read.parquet(_run(stream, "append", name, write) + "/result")
 
 
 def session_numbers(df: DataFrame, user: str, ts: str, seq: str, gap_seconds: int = 1800, bucket_seconds: int = 3600) -> DataFrame:

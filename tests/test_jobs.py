@@ -1,9 +1,13 @@
 import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+from canopy import session
 from canopy.operators import cleaning, curation, near_copies, search
 from canopy.session import cut
+from canopy.streaming import jobs
 
 
 def test_cleaning_order(spark):
@@ -47,7 +51,10 @@ def test_near_copies_equal_the_walk(spark, monkeypatch):
         assert {r["seq"] for r in near_copies.drop_near_copies(df).collect()} == want
 
 
-def test_search_pruning_loses_nothing(spark):
+@pytest.mark.parametrize("block_terms", [40, 400_000])
+def test_scores_and_matches(spark, monkeypatch, block_terms):
+    monkeypatch.setattr(search, "BLOCK_TERMS", block_terms)
+    monkeypatch.setattr(search, "EVENTS", 7)
     rng = random.Random(5)
     vocabulary = [f"t{i}" for i in range(60)]
     pick = lambda n: " ".join(rng.choices(vocabulary, weights=[1 / (i + 1) for i in range(60)], k=n))
@@ -56,14 +63,56 @@ def test_search_pruning_loses_nothing(spark):
     post = cut(search.postings(events))
     idf = cut(search.idf(post, events.count()))
     q = search.query_terms(messages, idf)
-    pairs = messages.select("query_id").crossJoin(events.select("event_id"))
-    full = [r for r in search._full_scores(pairs, q, post).collect() if r["score"] >= 6]
-    best = {}
-    for r in full:
-        best[r["query_id"]] = max(best.get(r["query_id"], 0), r["score"])
-    want = {(r["query_id"], r["event_id"], r["score"]) for r in full if float(r["score"]) >= 0.75 * float(best[r["query_id"]]) - 1e-12}
-    got = {(r["query_id"], r["event_id"], r["score"]) for r in search.scores(messages, post, idf).collect()}
-    assert got == want and len(got) > 20
+    weight = F.when(F.col("head"), 3.0).otherwise(1.0)
+    full = q.join(post, "term").groupBy("query_id", "event_id").agg(
+        F.sum((weight * F.col("idf")).cast("decimal(20,12)")).alias("score"), F.bool_or("head").alias("head_hit"))
+    want = {(r["query_id"], r["event_id"]): (r["score"], r["head_hit"]) for r in full.collect()}
+    got = {(r["query_id"], r["event_id"]): (r["score"], r["head_hit"]) for r in search.scores(messages, post, idf).collect()}
+    assert got == want and len(got) > 500
+    rows = lambda top: sorted(tuple(r) for r in search.matches(search.scores(messages, post, idf, top=top)).collect())
+    assert rows(3) == rows(None) and len(rows(3)) > 20
+
+
+def stream_of(spark, folder, rows, files):
+    for i in range(files):
+        part = rows[i * len(rows) // files : (i + 1) * len(rows) // files]
+        spark.createDataFrame(part, "key string, k int, t long").select("key", "k", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.parquet(f"{folder}/{i:03d}")
+    schema = "key string, k int, ts timestamp"
+    return jobs.source(spark, folder, "*.parquet", schema, files=1)
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_streams_do_not_depend_on_batches(spark, tmp_path, files):
+    rng = random.Random(1)
+    rows = sorted(((rng.choice("abc"), rng.randint(0, 3), rng.randint(0, 40_000)) for _ in range(300)), key=lambda r: r[2])
+    stream = stream_of(spark, str(tmp_path / "in"), rows, files)
+    want, last = [], {}
+    for key, k, t in rows:
+        name = ("week|" if k > 1 else "year|") + key
+        if name not in last or t > last[name] + 1800:
+            last[name] = t
+            want.append((name, t))
+    got = jobs.appended(jobs.fresh_queries(stream, F.col("key"), F.col("k") > 1), "fresh").select("key", F.unix_seconds("ts")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 40
+    n = jobs.incremental(stream, "counts", lambda df: df.groupBy("key", "k").agg(F.count("*").alias("n")), "key")
+    assert {(r["key"], r["k"]): r["n"] for r in n.collect()} == Counter((key, k) for key, k, _ in rows)
+    first = jobs.appended(jobs.unseen(stream, F.concat_ws("|", "key", "k")), "unseen")
+    assert first.count() == len({(key, k) for key, k, _ in rows})
+
+
+def test_a_cluster_without_shared_folder_is_refused():
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session)
 
 
 def test_fitted_split_keeps_groups_together(spark):

@@ -141,3 +141,14 @@ def test_encoder_equals_numpy(spark):
     want = h @ head["w"].T + head["b"]
     got = {r["comment_id"]: r["logits"] for r in graph.encode(nodes, edges, layers, head).collect()}
     assert np.allclose([got[f"n{i}"] for i in range(6)], want)
+
+
+def test_chunks_are_read_at_any_size(spark):
+    rng = random.Random(4)
+    rows = [("e", f"c{i}", f"c{rng.randrange(i)}" if i and rng.random() < 0.9 else None, i, rng.choice(['x ,"replies":[ ]}]} "q" \\', "plain\nline", None])) for i in range(60)]
+    rows += [("f", f"d{i}", f"d{i - 1}" if i else None, i, "deep") for i in range(25)]
+    threads = tree.build_threads(spark.createDataFrame(rows, "event_id string, comment_id string, parent_id string, seq long, text string"))
+    want = {(r["event_id"], r["comment_id"]): (r["parent"], r["level"], r["text"] or "") for r in threads.collect()}
+    for chunk in (10, 1000):
+        flat = tree.flatten_chunks(tree.nest(threads, chunk)).collect()
+        assert {(r["event_id"], r["comment_id"]): (r["parent_id"], r["level"], r["text"]) for r in flat} == want and len(flat) == 85
