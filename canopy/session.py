@@ -63,3 +63,12 @@ def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     has more splits than cores and stays as it is. Only the plan depends on the number of splits, never the rows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut wrote and nothing reads any more, to hold less of the shared folder."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
