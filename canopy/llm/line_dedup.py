@@ -6,32 +6,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.operators.ordering import top_rows
-from canopy.session import cut
+from canopy.session import cut, discard
 
 OVER, UNDER = 4, 5        # least Jaccard similarity of two lines' word sets, as a fraction
 MIN_WORDS = 4             # distinct words; below four, 0.8 means equal sets, and lines like headings or "yes" stay
-TABLE = 20                # bits of a lookup table's index
+TABLE = 20                # bits of the index of a table of marks
+RARITY = 18               # bits of the index of the rarity table
+SHARED = 2                # prefix words that candidates share at least
 LIGHT = 64                # lines of one prefix word that are compared pair by pair
 LEADERS = 4               # lines, earliest and most frequent ones each, that all lines of a heavier word meet first
 LINE = ["doc_id", "text_key", "line_no"]  # the order of lines, and their identity
 
 
+def _spaced(text: Column) -> Column:
+    """The text with all ASCII white space but line breaks as blanks; texts without any other are passed as they are."""
+    others = "\t\x0b\x0c\r"
+    some = F.contains(text, F.lit(others[0]))
+    for c in others[1:]:
+        some = some | F.contains(text, F.lit(c))
+    return F.when(some, F.translate(text, others, "    ")).otherwise(text)
+
+
 def words_of(line: Column) -> Column:
-    """Distinct lower-cased words of a line."""
-    flat = F.translate(F.lower(line), "\t\n\x0b\x0c\r", "     ")
-    return F.array_remove(F.array_distinct(F.split(flat, " ")), "")
+    """Distinct words of a line."""
+    return F.array_remove(F.array_distinct(F.split(_spaced(line), " ")), "")
+
+
+def _full(counts: DataFrame, bits: int) -> DataFrame:
+    """Rows (slot, n) for every slot of a table."""
+    slots = counts.sparkSession.range(1 << bits).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("n"))
+    return counts.unionByName(slots).groupBy("slot").agg(F.sum("n").alias("n"))
 
 
 def _table(counts: DataFrame) -> DataFrame:
     """One row with a binary of 2^TABLE bytes from rows (slot, n): 1 + 2 log2(1 + n), by slot. Its size is fixed."""
     level = F.least(F.lit(126), F.lit(1) + F.floor(2 * F.log2(F.col("n") + 1))).cast("int")
-    spark = counts.sparkSession
-    full = counts.unionByName(spark.range(1 << TABLE).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("n"))).groupBy("slot").agg(F.sum("n").alias("n"))
     joined = lambda c, x: F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(c, x))), lambda s: s[x]))
-    rows = full.select(F.col("slot"), F.shiftright("slot", 10).alias("row"), F.char(level).alias("x")).groupBy("row").agg(joined("slot", "x").alias("x"))
+    rows = _full(counts, TABLE).select(F.col("slot"), F.shiftright("slot", 10).alias("row"), F.char(level).alias("x")).groupBy("row").agg(joined("slot", "x").alias("x"))
     return cut(rows.agg(joined("row", "x").cast("binary").alias("t")).coalesce(1), "table")
 
 
+def _rarities(counts: DataFrame) -> DataFrame:
+    """One row with an array of 2^RARITY numbers from rows (slot, n): 4 log2(1 + n) in the top byte, by slot."""
+    level = F.shiftleft(F.least(F.lit(127), F.floor(4 * F.log2(F.col("n") + 1))).cast("long"), 56)
+    every = _full(counts, RARITY).agg(F.array_sort(F.collect_list(F.struct("slot", level.alias("x")))).alias("a"))
+    return cut(every.select(F.transform("a", lambda s: s["x"]).alias("t")), "rarity")
+
+
 def _slot(h: Column) -> Column:
     return F.pmod(h, F.lit(1 << TABLE))
 
@@ -46,38 +67,39 @@ def _ceil_div(a: Column, b: int) -> Column:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line_no, line) of every line; text_key tells apart texts that share an id."""
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return keyed
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def _near(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
-    """Length and positional filters for two sets that share the words at these places of their orders."""
+    """Length and positional filters for two sets that share the words at these places of their orders, and SHARED - 1
+    earlier ones at most."""
     need = _ceil_div((n1 + n2) * OVER, OVER + UNDER)
     fits = (n1 * UNDER >= n2 * OVER) & (n2 * UNDER >= n1 * OVER)
-    return fits & (1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= need)
+    return fits & (SHARED + F.least(n1 - p1 - 1, n2 - p2 - 1) >= need)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(k1, k2) of the classes that have an earlier similar one, from candidate pairs (a, b) of set keys."""
+    """(cid) of the classes that have an earlier similar one, from candidate pairs (a, b) of classes, either way round."""
     pairs = cut(pairs.distinct(), "candidates")
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-    wanted = cut(classes.join(keys, "k1", "left_semi").select("k1", "k2", *LINE), "wanted")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    wanted = cut(classes.select("cid", *LINE).join(ids, "cid", "left_semi"), "wanted")
     # Only texts that may hold a wanted line are shuffled: a fixed-size table of their keys' slots tells.
     marks = _table(wanted.groupBy(_slot(F.col("text_key")).alias("slot")).agg(F.count("*").alias("n")))
     held = docs.withColumn("text_key", F.xxhash64("text")).withColumn("_t", marks.scalar()).filter(_level("_t", F.col("text_key")) > 1)
-    held = held.select("doc_id", "text_key", "text").join(
-        wanted.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct(),
-        F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left_semi")
-    spread = held.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    w = wanted.select("k1", "k2", F.struct(*LINE).alias("at"), *[F.col(c).alias(f"_{c}") for c in LINE])
-    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key")) & (F.col("line_no") == F.col("_line_no"))
-    sets = cut(spread.join(w, on).select("k1", "k2", "at", words_of(F.col("line")).alias("words")), "sets")
-    a = sets.select(F.col("k1").alias("a"), F.col("at").alias("at_a"), F.col("words").alias("words_a"))
-    b = sets.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("at").alias("at_b"), F.col("words").alias("words_b"))
+    # The lines of a text that are wanted, as a list: a text and its list meet once.
+    lists = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line_no", "cid")).alias("x")).withColumnsRenamed({"doc_id": "_d", "text_key": "_k"})
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k"))
+    found = held.select("doc_id", "text_key", "text").join(lists, on).dropDuplicates(["doc_id", "text_key"])
+    parts = found.select("doc_id", "text_key", F.split("text", "\n").alias("lines"), F.explode("x").alias("x"))
+    at = F.struct("doc_id", "text_key", F.col("x.line_no").alias("line_no")).alias("at")
+    sets = cut(parts.select(F.col("x.cid").alias("cid"), at, F.get(F.col("lines"), F.col("x.line_no")).alias("line")), "texts")
+    side = lambda s: sets.select(F.col("cid").alias(s), F.col("at").alias(f"at_{s}"), words_of(F.col("line")).alias(f"words_{s}"))
     both = F.size(F.array_intersect("words_a", "words_b"))
     similar = both * UNDER >= (F.size("words_a") + F.size("words_b") - both) * OVER
-    hit = pairs.join(a, "a").join(b, "b").filter((F.col("at_a") < F.col("at_b")) & similar)
-    return hit.select(F.col("b").alias("k1"), F.col("b2").alias("k2")).distinct()
+    hit = pairs.join(side("a"), "a").join(side("b"), "b").filter((F.col("at_a") != F.col("at_b")) & similar)
+    late = cut(hit.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("cid")).distinct(), "late")
+    discard(pairs, wanted, marks, sets)
+    return late
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -88,54 +110,52 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     fewer than min_words distinct words are left alone. Rows equal in doc_id and text are one text.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    words = docs.select(F.explode(F.split(F.translate(F.lower("text"), "\t\n\x0b\x0c\r", "     "), " ")).alias("w")).filter("w <> ''")
-    rarity = _table(words.groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.count("*").alias("n")))
+    words = docs.select(F.explode(F.split(F.translate(_spaced(F.col("text")), "\n", " "), " ")).alias("w"))
+    place = lambda h: h.bitwiseAND(F.lit((1 << RARITY) - 1).cast("long"))
+    rarity = _rarities(words.filter("w <> ''").groupBy(place(F.xxhash64("w")).alias("slot")).agg(F.count("*").alias("n")))
 
-    # A word is a number: its rarity level above its hash, so that sorting numbers orders words by rarity.
-    hashed = lines_of(docs).select(*LINE, F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
+    # A word is a number: its rarity above its hash, so that sorting numbers orders words by rarity.
+    hashes = F.transform(F.split(_spaced(F.col("line")), " "), lambda w: F.xxhash64(w))
+    hashed = lines_of(docs).select(*LINE, F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit(""))).alias("h"))
     hashed = hashed.filter(F.size("h") >= min_words).withColumn("_t", rarity.scalar())
-    number = lambda h: F.shiftleft(_level("_t", h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    number = lambda h: F.get(F.col("_t"), place(h).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
     ordered = hashed.select(*LINE, F.sort_array(F.transform("h", number)).alias("s"))
     size = F.size("s")
     lines = cut(ordered.select(*LINE, F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), F.col("s")).alias("k2"), size.alias("n"),
-                               F.slice("s", 1, size - _ceil_div(size * OVER, UNDER) + 1).alias("prefix")), "lines")
+                               F.slice("s", 1, F.least(size, size - _ceil_div(size * OVER, UNDER) + SHARED)).alias("prefix")), "lines")
 
     # Lines with equal sets are one class, met by its first line; only prefixes of classes are joined.
-    first = F.min(F.struct(*LINE)).alias("at")
-    classes = cut(lines.groupBy("k1", "k2").agg(first, F.count("*").alias("times")).select("k1", "k2", "at.*", "times"), "classes")
-    heads = lines.groupBy("k1", "k2").agg(F.min(F.struct("n", "prefix")).alias("x")).select("k1", "x.n", F.posexplode("x.prefix").alias("p", "word"))
-    heads = cut(heads.select("word", "k1", "n", F.col("p").cast("int").alias("p")), "prefixes")
+    grouped = lines.groupBy("k1", "k2").agg(F.min(F.struct(*LINE)).alias("at"), F.count("*").alias("times"), F.min(F.struct("n", "prefix")).alias("x"))
+    classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "at.*", "times", "x.*"), "classes")
+    heads = classes.select("cid", "n", F.posexplode("prefix").alias("p", "word"))
+    heads = heads.select("word", "cid", (F.col("n").cast("long") * F.lit(1 << 32) + F.col("p")).alias("np"))
 
     often = _table(heads.groupBy(_slot(F.col("word")).alias("slot")).agg(F.count("*").alias("n")))
     bound = 1 + int(2 * (LIGHT.bit_length() - 1))
-    marked = heads.withColumn("_t", often.scalar()).select("word", "k1", "n", "p", (_level("_t", F.col("word")) >= bound).alias("maybe"))
+    marked = heads.withColumn("_t", often.scalar()).select("word", "cid", "np", (_level("_t", F.col("word")) >= bound).alias("maybe"))
     heavy = cut(marked.filter("maybe").groupBy("word").agg(F.count("*").alias("lines")).filter(F.col("lines") > LIGHT).select("word"), "heavy")
-    if heavy.limit(1).count():
-        light = marked.filter("not maybe").unionByName(marked.filter("maybe").join(heavy, "word", "left_anti")).select("word", "k1", "n", "p")
+    some = heavy.limit(1).count() > 0
+    light = marked.filter("not maybe").unionByName(marked.filter("maybe").join(heavy, "word", "left_anti")).select("word", "cid", "np") if some else heads
+    side = lambda df, s: df.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "np")])
+    size_of, place_of = lambda s: F.shiftright(f"np_{s}", 32), lambda s: F.col(f"np_{s}").bitwiseAND(F.lit((1 << 32) - 1))
+    near = _near(size_of("a"), place_of("a"), size_of("b"), place_of("b"))
+    pairs = side(light, "a").join(side(light, "b"), "word").filter((F.col("cid_a") < F.col("cid_b")) & near)
+    # Similar sets share SHARED prefix words: light ones, tallied here, or a heavy one, met below.
+    pairs = pairs.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED).select("a", "b")
+    if some:
+        at = classes.select("cid", F.struct(*LINE).alias("at"), "times")
+        dense = cut(marked.filter("maybe").join(heavy, "word", "left_semi").select("word", "cid", "np").join(at, "cid"), "dense")
+        lead = top_rows(dense, ["word"], ["at", "cid"], LEADERS).unionByName(top_rows(dense, ["word"], [F.desc("times"), F.col("at"), F.col("cid")], LEADERS))
+        earlier = lambda x, y: x.select("word", F.col("at").alias("at_a"), F.col("cid").alias("cid_a"), F.col("np").alias("np_a")).join(
+            y.select("word", F.col("at").alias("at_b"), F.col("cid").alias("cid_b"), F.col("np").alias("np_b")), "word").filter(
+            (F.col("at_a") < F.col("at_b")) & near).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
+        lost = _verified(pairs.unionByName(earlier(lead.distinct(), dense)), classes, docs)
+        lost = lost.unionByName(_verified(earlier(dense, dense.join(lost, "cid", "left_anti")), classes, docs)).distinct()
+        discard(dense)
     else:
-        light = heads
-    side = lambda df, s: df.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("k1", "n", "p")])
-    near = _near(F.col("n_a"), F.col("p_a"), F.col("n_b"), F.col("p_b"))
-    pairs = side(light, "a").join(side(light, "b"), "word").filter((F.col("k1_a") < F.col("k1_b")) & near)
-    both_ways = lambda df: df.select(F.explode(F.array(F.struct(F.col("k1_a").alias("a"), F.col("k1_b").alias("b")), F.struct(F.col("k1_b").alias("a"), F.col("k1_a").alias("b")))).alias("x")).select("x.*")
-    gone = [_verified(both_ways(pairs), classes, docs)]
-
-    if heavy.limit(1).count():
-        at = classes.select("k1", F.struct(*LINE).alias("at"), "times")
-        dense = cut(marked.filter("maybe").join(heavy, "word", "left_semi").select("word", "k1", "n", "p").join(at, "k1"), "dense")
-        lead = top_rows(dense, ["word"], ["at", "k1"], LEADERS).unionByName(top_rows(dense, ["word"], [F.desc("times"), F.col("at"), F.col("k1")], LEADERS))
-        earlier = lambda x, y: x.select("word", "at", *[F.col(c).alias(f"{c}_a") for c in ("k1", "n", "p")]).withColumnRenamed("at", "at_a").join(
-            y.select("word", F.col("at").alias("at_b"), *[F.col(c).alias(f"{c}_b") for c in ("k1", "n", "p")]), "word").filter(
-            (F.col("at_a") < F.col("at_b")) & near).select(F.col("k1_a").alias("a"), F.col("k1_b").alias("b"))
-        led = cut(_verified(earlier(lead.distinct(), dense), classes, docs), "led")
-        gone.append(led)
-        gone.append(_verified(earlier(dense, dense.join(led.select("k1").distinct(), "k1", "left_anti")), classes, docs))
-
-    lost = gone[0]
-    for more in gone[1:]:
-        lost = lost.unionByName(more)
-    lost = lost.distinct().withColumn("late", F.lit(True))
-    fate = classes.join(lost, ["k1", "k2"], "left").select("k1", "k2", F.struct(*LINE).alias("at"), "late")
+        lost = _verified(pairs, classes, docs)
+    discard(rarity, often, heavy)
+    fate = classes.select("cid", "k1", "k2", F.struct(*LINE).alias("at")).join(lost.withColumn("late", F.lit(True)), "cid", "left").drop("cid")
     out = lines.select(*LINE, "k1", "k2").join(fate, ["k1", "k2"]).filter(F.col("late") | ~F.struct(*LINE).eqNullSafe(F.col("at")))
     return out.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 

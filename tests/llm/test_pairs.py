@@ -93,7 +93,7 @@ def similar(a, b):
 def brute_lines(rows, least):
     """Removed line numbers by (doc_id, text)."""
     seen, out = [], defaultdict(list)
-    lines = sorted((i, t, n, frozenset(x.lower().split())) for i, t in set(rows) if t is not None for n, x in enumerate(t.split("\n")))
+    lines = sorted((i, t, n, frozenset(x.split())) for i, t in set(rows) if t is not None for n, x in enumerate(t.split("\n")))
     for i, t, n, s in lines:
         if len(s) >= least:
             if any(similar(s, o) for o in seen):
