@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -66,9 +67,13 @@ def fan_out(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that cut wrote and nothing reads any more, to hold less of the shared folder."""
+    """Delete tables that cut wrote and nothing reads any more, and let the driver collect its garbage, upon which Spark
+    removes the shuffle files of finished jobs: long chains of staged tables hold less disk."""
     for df in tables:
         spark = df.sparkSession
         for folder in {os.path.dirname(f) for f in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
