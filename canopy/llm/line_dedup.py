@@ -11,9 +11,8 @@ from canopy.session import cut, discard
 OVER, UNDER = 4, 5        # least Jaccard similarity of two lines' word sets, as a fraction
 MIN_WORDS = 4             # distinct words; below four, 0.8 means equal sets, and lines like headings or "yes" stay
 TABLE = 20                # bits of the index of a table of marks
-RARITY = 18               # bits of the index of the rarity table
-SHARED = 2                # prefix words that candidates share at least
-LIGHT = 64                # lines of one prefix word that are compared pair by pair
+RARITY = 16               # bits of the index of the rarity table
+LIGHT = 128               # lines of one prefix word that are compared pair by pair
 LEADERS = 4               # lines, earliest and most frequent ones each, that all lines of a heavier word meet first
 LINE = ["doc_id", "text_key", "line_no"]  # the order of lines, and their identity
 
@@ -70,12 +69,33 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _near(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
-    """Length and positional filters for two sets that share the words at these places of their orders, and SHARED - 1
-    earlier ones at most."""
+SKETCH, SIZE, PLACE = 40, 14, 10  # bits of a packed number: parity sketch of the set, its size, a word's place in it
+
+
+def _sketch(hashes: Column) -> Column:
+    """SKETCH bits, each telling whether an odd number of words falls on it: two sets differ in at least as many words as
+    their sketches in bits."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 20), F.lit(SKETCH)).cast("int"))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
+
+
+def _packed(sketch: str, size: str, place: str) -> Column:
+    most = lambda c, bits: F.least(F.col(c).cast("long"), F.lit((1 << bits) - 1).cast("long"))
+    return F.shiftleft(F.col(sketch), SIZE + PLACE).bitwiseOR(F.shiftleft(most(size, SIZE), PLACE)).bitwiseOR(most(place, PLACE))
+
+
+def _near(a: Column, b: Column) -> Column:
+    """Length, positional and sketch filters for two packed sets that share the words at these places of their orders. A
+    size at its upper bound is not known, and passes; a place at its bound stands for any later one."""
+    size = lambda x: F.shiftright(x, PLACE).bitwiseAND(F.lit((1 << SIZE) - 1))
+    place = lambda x: x.bitwiseAND(F.lit((1 << PLACE) - 1))
+    n1, n2 = size(a), size(b)
     need = _ceil_div((n1 + n2) * OVER, OVER + UNDER)
     fits = (n1 * UNDER >= n2 * OVER) & (n2 * UNDER >= n1 * OVER)
-    return fits & (SHARED + F.least(n1 - p1 - 1, n2 - p2 - 1) >= need)
+    rest = 1 + F.least(n1 - place(a) - 1, n2 - place(b) - 1) >= need
+    apart = F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), SIZE + PLACE)) <= n1 + n2 - 2 * need
+    unknown = F.greatest(n1, n2) == (1 << SIZE) - 1
+    return unknown | (apart & fits & rest)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -119,45 +139,45 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     hashed = lines_of(docs).select(*LINE, F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit(""))).alias("h"))
     hashed = hashed.filter(F.size("h") >= min_words).withColumn("_t", rarity.scalar())
     number = lambda h: F.get(F.col("_t"), place(h).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
-    ordered = hashed.select(*LINE, F.sort_array(F.transform("h", number)).alias("s"))
+    ordered = hashed.select(*LINE, _sketch(F.col("h")).alias("sketch"), F.sort_array(F.transform("h", number)).alias("s"))
     size = F.size("s")
-    lines = cut(ordered.select(*LINE, F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), F.col("s")).alias("k2"), size.alias("n"),
-                               F.slice("s", 1, F.least(size, size - _ceil_div(size * OVER, UNDER) + SHARED)).alias("prefix")), "lines")
+    lines = cut(ordered.select(*LINE, F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), F.col("s")).alias("k2"), size.alias("n"), "sketch",
+                               F.slice("s", 1, size - _ceil_div(size * OVER, UNDER) + 1).alias("prefix")), "lines")
 
     # Lines with equal sets are one class, met by its first line; only prefixes of classes are joined.
-    grouped = lines.groupBy("k1", "k2").agg(F.min(F.struct(*LINE)).alias("at"), F.count("*").alias("times"), F.min(F.struct("n", "prefix")).alias("x"))
+    grouped = lines.groupBy("k1", "k2").agg(F.min(F.struct(*LINE)).alias("at"), F.count("*").alias("times"), F.min(F.struct("n", "sketch", "prefix")).alias("x"))
     classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "at.*", "times", "x.*"), "classes")
-    heads = classes.select("cid", "n", F.posexplode("prefix").alias("p", "word"))
-    heads = heads.select("word", "cid", (F.col("n").cast("long") * F.lit(1 << 32) + F.col("p")).alias("np"))
+    discard(rarity)
+    heads = classes.select("cid", "n", "sketch", F.posexplode("prefix").alias("p", "word")).select("word", "cid", _packed("sketch", "n", "p").alias("set"))
 
     often = _table(heads.groupBy(_slot(F.col("word")).alias("slot")).agg(F.count("*").alias("n")))
     bound = 1 + int(2 * (LIGHT.bit_length() - 1))
-    marked = heads.withColumn("_t", often.scalar()).select("word", "cid", "np", (_level("_t", F.col("word")) >= bound).alias("maybe"))
+    marked = heads.withColumn("_t", often.scalar()).select("word", "cid", "set", (_level("_t", F.col("word")) >= bound).alias("maybe"))
     heavy = cut(marked.filter("maybe").groupBy("word").agg(F.count("*").alias("lines")).filter(F.col("lines") > LIGHT).select("word"), "heavy")
     some = heavy.limit(1).count() > 0
-    light = marked.filter("not maybe").unionByName(marked.filter("maybe").join(heavy, "word", "left_anti")).select("word", "cid", "np") if some else heads
-    side = lambda df, s: df.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "np")])
-    size_of, place_of = lambda s: F.shiftright(f"np_{s}", 32), lambda s: F.col(f"np_{s}").bitwiseAND(F.lit((1 << 32) - 1))
-    near = _near(size_of("a"), place_of("a"), size_of("b"), place_of("b"))
+    light = marked.filter("not maybe").unionByName(marked.filter("maybe").join(heavy, "word", "left_anti")).select("word", "cid", "set") if some else heads
+    side = lambda df, s: df.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "set")])
+    near = _near(F.col("set_a"), F.col("set_b"))
     pairs = side(light, "a").join(side(light, "b"), "word").filter((F.col("cid_a") < F.col("cid_b")) & near)
-    # Similar sets share SHARED prefix words: light ones, tallied here, or a heavy one, met below.
-    pairs = pairs.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED).select("a", "b")
+    pairs = pairs.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
     if some:
         at = classes.select("cid", F.struct(*LINE).alias("at"), "times")
-        dense = cut(marked.filter("maybe").join(heavy, "word", "left_semi").select("word", "cid", "np").join(at, "cid"), "dense")
+        dense = cut(marked.filter("maybe").join(heavy, "word", "left_semi").select("word", "cid", "set").join(at, "cid"), "dense")
         lead = top_rows(dense, ["word"], ["at", "cid"], LEADERS).unionByName(top_rows(dense, ["word"], [F.desc("times"), F.col("at"), F.col("cid")], LEADERS))
-        earlier = lambda x, y: x.select("word", F.col("at").alias("at_a"), F.col("cid").alias("cid_a"), F.col("np").alias("np_a")).join(
-            y.select("word", F.col("at").alias("at_b"), F.col("cid").alias("cid_b"), F.col("np").alias("np_b")), "word").filter(
+        earlier = lambda x, y: x.select("word", F.col("at").alias("at_a"), F.col("cid").alias("cid_a"), F.col("set").alias("set_a")).join(
+            y.select("word", F.col("at").alias("at_b"), F.col("cid").alias("cid_b"), F.col("set").alias("set_b")), "word").filter(
             (F.col("at_a") < F.col("at_b")) & near).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
         lost = _verified(pairs.unionByName(earlier(lead.distinct(), dense)), classes, docs)
         lost = lost.unionByName(_verified(earlier(dense, dense.join(lost, "cid", "left_anti")), classes, docs)).distinct()
         discard(dense)
     else:
         lost = _verified(pairs, classes, docs)
-    discard(rarity, often, heavy)
+    discard(often, heavy)
     fate = classes.select("cid", "k1", "k2", F.struct(*LINE).alias("at")).join(lost.withColumn("late", F.lit(True)), "cid", "left").drop("cid")
     out = lines.select(*LINE, "k1", "k2").join(fate, ["k1", "k2"]).filter(F.col("late") | ~F.struct(*LINE).eqNullSafe(F.col("at")))
-    return out.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    removed = cut(out.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("removed")), "removed")
+    discard(lines, classes)
+    return removed
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -167,9 +187,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     get the same result; an empty table gives an empty result.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "removed")]
-    gone = removed_lines(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("removed").alias("_r"))
+    removed = removed_lines(docs, min_words)
+    gone = removed.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("removed").alias("_r"))
     keyed = docs.select(*columns).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    # Texts that lose nothing need no join: a fixed-size table of the others' slots tells most of them.
+    marks = _table(removed.groupBy(_slot(F.col("text_key")).alias("slot")).agg(F.count("*").alias("n")))
+    marked = keyed.withColumn("_t", marks.scalar()).withColumn("_some", _level("_t", F.col("_key")) > 1).drop("_t")
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
+    some = marked.filter("_some").join(gone, on, "left").select(*columns, "_r")
+    both = some.unionByName(marked.filter("not _some").select(*columns, F.lit(None).cast("array<int>").alias("_r")))
     parts = F.split("text", "\n")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_r")), lambda i: F.get(parts, i))
     text = F.when(F.col("_r").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
