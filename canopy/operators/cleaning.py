@@ -84,9 +84,11 @@ def noise_totals(df: DataFrame, text: str = "text") -> DataFrame:
 def removed_rows(raw: DataFrame, cleaned: DataFrame, text: str = "text") -> DataFrame:
     """Rows of raw whose trimmed text is absent from cleaned. Distinct texts decide, so copies cannot skew
     the comparison; rows find the verdict on their text by its hash."""
-    key = lambda df: df.select(strip(F.col(text)).alias("_t")).filter("_t is not null").distinct()
-    gone = key(raw).join(key(cleaned), "_t", "left_anti").withColumnRenamed("_t", "_gone")
-    return raw.join(gone, strip(raw[text]) == gone["_gone"], "left_semi")
+    digest = F.sha2(strip(F.col(text)), 256)
+    key = lambda df, name: df.select(digest.alias(name), strip(F.col(text)).alias(f"{name}_t")).filter(F.col(name).isNotNull()).dropDuplicates([name])
+    a, b = key(raw, "_a"), key(cleaned, "_b")
+    gone = a.join(b, (F.col("_a") == F.col("_b")) & (F.col("_a_t") == F.col("_b_t")), "left_anti")
+    return raw.withColumn("_h", digest).join(gone, (F.col("_h") == F.col("_a")) & (strip(F.col(text)) == F.col("_a_t")), "left_semi").drop("_h")
 
 
 def overlap_report(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -85,14 +85,14 @@ def row_split(df: DataFrame, label: str, key: str, val: float = 0.15, test: floa
     """Adds split: test, val or train by seeded rank inside each label (over all rows if a label has fewer than
     three). Ranks are exact and no label is gathered in one task."""
     sizes = cut(df.groupBy(label).agg(F.count("*").alias("_n")), "sizes")
-    low = sizes.agg(F.min("_n").alias("m")).first()["m"]
+    low, high, every = sizes.agg(F.min("_n"), F.max("_n"), F.sum("_n")).first()
     rows = df.withColumn("_draw", draw(F.col(key), seed))
     if low is not None and low < 3:
-        sizes = sizes.agg(F.sum("_n").alias("_n")).withColumn("_g", F.lit("all"))
+        high, sizes = every, sizes.agg(F.sum("_n").alias("_n")).withColumn("_g", F.lit("all"))
         rows = rows.withColumn("_g", F.lit("all"))
     else:
         sizes, rows = sizes.withColumnRenamed(label, "_g"), rows.withColumn("_g", F.col(label))
-    ranked = number_rows(rows, ["_g"], ["_draw", key], hash_buckets("_draw"), "_rn").join(sizes, "_g")
+    ranked = number_rows(rows, ["_g"], ["_draw", key], hash_buckets("_draw", high or 0), "_rn").join(sizes, "_g")
     n_test, n_val = (F.round(F.round(F.col("_n") * share, 9)) for share in (test, val))
     split = F.when(F.col("_rn") <= n_test, "test").when(F.col("_rn") <= n_test + n_val, "val").otherwise("train")
     return ranked.withColumn("split", split).drop("_draw", "_g", "_rn", "_n")
@@ -103,7 +103,7 @@ def group_split(df: DataFrame, group: str, seed: int = 42, val: float = 0.15, te
     groups = df.select(group).distinct().withColumn("_draw", draw(F.col(group), seed))
     n = groups.count()
     n_test, n_val = max(1, round(n * test)), max(1, round(n * val))
-    ranked = number_rows(groups, [], ["_draw", group], hash_buckets("_draw"), "_rn")
+    ranked = number_rows(groups, [], ["_draw", group], hash_buckets("_draw", n), "_rn")
     split = F.when(F.col("_rn") <= n_test, "test").when(F.col("_rn") <= n_test + n_val, "val").otherwise("train")
     return df.join(ranked.select(group, split.alias("split")), group)
 
@@ -120,7 +120,7 @@ def fitted_group_split(df: DataFrame, group: str, label: str, val: float = 0.15,
     orders = size.select(group, "size", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try")).withColumn(
         "_draw", draw(F.concat_ws("/", "try", group), seed))
     # Filling "the first split still short" in order takes a prefix: test until its target, then val.
-    done = _running(orders, "size")
+    done = _running(orders, "size", size.count())
     before = F.col("upto") - F.col("size")
     tests = cut(done.filter(before < t_test).groupBy("try").agg(F.max("upto").alias("_t")), "tests")
     placed = done.join(tests, "try", "left").withColumn("split", F.when(before < t_test, "test").when(
@@ -140,10 +140,10 @@ def fitted_group_split(df: DataFrame, group: str, label: str, val: float = 0.15,
     return df.join(placed.join(F.broadcast(best.select("try")), "try").select(group, "split"), group)
 
 
-def _running(orders: DataFrame, value: str) -> DataFrame:
+def _running(orders: DataFrame, value: str, groups: int) -> DataFrame:
     from canopy.operators.ordering import running_sum
 
-    return running_sum(orders, ["try"], ["_draw"], hash_buckets("_draw", 2), F.col(value), "upto")
+    return running_sum(orders, ["try"], ["_draw"], hash_buckets("_draw", groups), F.col(value), "upto")
 
 
 def frozen_test(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

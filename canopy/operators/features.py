@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.text import WORD, squeeze
@@ -11,35 +11,40 @@ from canopy.session import cut
 TOP, MIN_DF, MAX_DF = 300, 3, 0.9
 
 
-def terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf) for words and pairs of neighbouring words of the lower-case text."""
+def _grams(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, g): words and pairs of neighbouring words of the lower-case text, with repeats."""
     toks = docs.select(key, F.regexp_extract_all(F.lower(squeeze(F.col(text))), F.lit(f"[{WORD}]+"), 0).alias("w"))
     n = F.greatest(F.size("w") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
-    return toks.select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return toks.select(key, F.concat("w", pairs).alias("g"))
 
 
-def vocabulary(tf: DataFrame, n_docs: int, top: int = TOP, min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
+def vocabulary(grams: DataFrame, n_docs: int, top: int = TOP, min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
     """The most frequent terms within the document-frequency bounds, with their smoothed idf and position (in term
-    order). At most `top` rows."""
-    stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)).orderBy(F.col("total").desc(), "term").limit(top)
-    return kept.select("term", "df", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf"))
+    order). At most `top` rows. Both counts are combined before their shuffles; no row per document and term is made."""
+    df = grams.select(F.explode(F.array_distinct("g")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = df.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    total = grams.select(F.explode("g").alias("term")).groupBy("term").agg(F.count("*").alias("total"))
+    kept = df.join(total, "term").orderBy(F.col("total").desc(), "term").limit(top)
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1
+    return kept.select("term", "df", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf"), rank.alias("place"))
 
 
 def tfidf(docs: DataFrame, key: str, text: str = "text", top: int = TOP) -> DataFrame:
-    """(key, term, value) of the L2-normalised rows; rows without a vocabulary term are absent (zero vectors)."""
-    tf = cut(terms(docs, key, text), "tf")
-    words = cut(vocabulary(tf, docs.count(), top), "vocabulary")
-    cells = tf.join(F.broadcast(words), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("x"))
+    """(key, term, place, value) of the L2-normalised rows; rows without a vocabulary term are absent (zero vectors).
+    docs has one row per key. Two scans: one finds the vocabulary, one counts only its terms."""
+    grams = _grams(docs, key, text)
+    words = cut(vocabulary(grams, docs.count(), top), "vocabulary")
+    tf = grams.select(key, F.explode("g").alias("term")).join(F.broadcast(words), "term").groupBy(key, "term", "place", "idf").agg(F.count("*").alias("tf"))
+    cells = tf.select(key, "term", "place", (F.col("tf") * F.col("idf")).alias("x"))
     norm = cells.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return cells.join(norm, key).select(key, "term", (F.col("x") / F.col("norm")).alias("value"))
+    return cells.join(norm, key).select(key, "term", "place", (F.col("x") / F.col("norm")).alias("value"))
 
 
-def dense_rows(cells: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Sparse cells as one array per key, positions as in `order` (a vocabulary of a few hundred terms)."""
-    m = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "value"))).alias("m"))
-    return m.select(key, F.array(*[F.coalesce(F.try_element_at("m", F.lit(t)), F.lit(0.0)) for t in order]).alias("tfidf"))
+def dense_rows(cells: DataFrame, key: str, width: int) -> DataFrame:
+    """Sparse cells as one array of width numbers per key, by place in the vocabulary (a few hundred terms)."""
+    m = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("m"))
+    return m.select(key, F.array(*[F.coalesce(F.try_element_at("m", F.lit(i)), F.lit(0.0)) for i in range(width)]).alias("tfidf"))
 
 
 def unit(v: Column) -> Column:

@@ -22,8 +22,12 @@ def buckets(position: str, width: int = WIDTH) -> Column:
     return F.floor(F.col(position) / width)
 
 
-def hash_buckets(key: str, digits: int = 3) -> Column:
-    """Bucket of a hexadecimal hash column: its leading digits."""
+def hash_buckets(key: str, rows: int, width: int = WIDTH) -> Column:
+    """Bucket of a hexadecimal hash column of a group of up to rows rows: as many leading digits as leave about width
+    rows, or fewer, in a bucket."""
+    digits = 1
+    while 16 ** digits * width < rows:
+        digits += 1
     return F.substring(F.col(key), 1, digits)
 
 

@@ -25,11 +25,17 @@ def thread_sizes(threads: DataFrame) -> DataFrame:
         F.min(F.when(F.col("comment_id") == F.col("root_id"), F.col("seq"))).alias("seq"))
 
 
-def _step(state, size, limit):
-    """Next-fit: a thread opens a request if none is open or it does not fit. States above the limit act
-    like the limit itself (nothing fits any more)."""
-    opens = (state == 0) | (state + size > limit)
-    return opens, np.minimum(np.where(opens, size, state + size), limit)
+def _openings(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(running sums with a leading 0, next opening): where the next request opens if one opens at each thread. A thread
+    above the limit goes alone."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    after = np.searchsorted(upto[1:], upto[:-1] + limit, side="right")
+    return upto, np.append(np.maximum(after, np.arange(1, len(sizes) + 1)), len(sizes))
+
+
+def _first_opening(upto: np.ndarray, fill: np.ndarray, limit: int) -> np.ndarray:
+    """First thread that opens a request when one is filled so far (0: none is open)."""
+    return np.where(fill == 0, 0, np.searchsorted(upto[1:], limit - fill, side="right"))
 
 
 def pack_threads(sizes: DataFrame, limit: int = vocab.MAX_PER_REQUEST, span: int = SPAN) -> DataFrame:
@@ -47,12 +53,16 @@ def pack_threads(sizes: DataFrame, limit: int = vocab.MAX_PER_REQUEST, span: int
     rows = cut(rows.select("event_id", "root_id", F.col("size").cast("long").alias("size"), "pos", "span"), "spans")
 
     def probe(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, opened = np.arange(limit + 1), np.zeros(limit + 1, dtype="int64")
-        for size in pdf.sort_values("pos")["size"]:
-            opens, state = _step(state, size, limit)
-            opened += opens
-        return pd.DataFrame({"event_id": [pdf["event_id"].iloc[0]], "span": [pdf["span"].iloc[0]],
-                             "leaves": [state.tolist()], "opened": [opened.tolist()]})
+        upto, after = _openings(pdf.sort_values("pos")["size"].to_numpy(), limit)
+        n, states = len(after) - 1, np.arange(limit + 1)
+        # Pointer doubling: openings from each thread to the end, and the last of them.
+        count, last, jump = np.append(np.ones(n, np.int64), 0), np.arange(n + 1), after
+        while (jump[:n] < n).any():
+            count, last, jump = count + count[jump], np.where(jump < n, last[jump], last), jump[jump]
+        first = _first_opening(upto, states, limit)
+        end = upto[n]
+        left = np.where(first < n, np.minimum(end - upto[last[first]], limit), np.minimum(states + end, limit))
+        return pd.DataFrame({"event_id": [pdf["event_id"].iloc[0]], "span": [pdf["span"].iloc[0]], "leaves": [left.tolist()], "opened": [count[first].tolist()]})
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, fill, batch, out = pdf.sort_values("span"), 0, 0, []
@@ -64,13 +74,12 @@ def pack_threads(sizes: DataFrame, limit: int = vocab.MAX_PER_REQUEST, span: int
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        state, batch, out = np.int64(pdf["fill"].iloc[0]), int(pdf["before"].iloc[0]), []
-        for size in pdf["size"]:
-            opens, state = _step(state, size, limit)
-            batch += int(opens)
-            out.append(batch)
-        return pd.DataFrame({"event_id": pdf["event_id"], "root_id": pdf["root_id"], "size": pdf["size"],
-                             "pos": pdf["pos"], "batch": out})
+        upto, after = _openings(pdf["size"].to_numpy(), limit)
+        at, opens = int(_first_opening(upto, np.asarray(pdf["fill"].iloc[0]), limit)), np.zeros(len(pdf), np.int64)
+        while at < len(pdf):  # one step per request
+            opens[at] = 1
+            at = int(after[at])
+        return pdf[["event_id", "root_id", "size", "pos"]].assign(batch=int(pdf["before"].iloc[0]) + np.cumsum(opens))
 
     probed = rows.groupBy("event_id", "span").applyInPandas(
         probe, "event_id string, span long, leaves array<int>, opened array<long>")

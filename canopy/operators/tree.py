@@ -149,24 +149,20 @@ CHUNK = 20_000
 
 
 def tree_paths(threads: DataFrame) -> DataFrame:
-    """A sortable path per node (12-digit places from the root down): its text order is depth-first order.
-    Built level by level; every round joins one level to its parents."""
+    """A sortable path per node (12-digit places from the root down): its text order is depth-first order. Every round
+    puts a node's stretch of path behind that of the ancestor it has reached, which doubles the stretch: log2(depth)
+    joins."""
     placed = cut(sibling_order(threads), "places")
     key = F.lpad(F.col("place").cast("string"), 12, "0")
-    level = placed.filter("parent is null").select("event_id", "comment_id", key.alias("path"))
-    parts, depth = [level], 2
-    while True:
-        up = level.select("event_id", F.col("comment_id").alias("parent"), F.col("path").alias("up"))
-        level = cut(placed.filter(F.col("level") == depth).join(up, ["event_id", "parent"]).select(
-            "event_id", "comment_id", F.concat_ws("/", "up", key).alias("path")), "paths")
-        if level.isEmpty():
-            break
-        parts.append(level)
-        depth += 1
-    paths = parts[0]
-    for part in parts[1:]:
-        paths = paths.unionByName(part)
-    return placed.join(paths, ["event_id", "comment_id"])
+    done = placed.filter("parent is null").select("event_id", "comment_id", F.lit(None).cast("string").alias("ptr"), key.alias("path"))
+    open_ = placed.filter("parent is not null").select("event_id", "comment_id", F.col("parent").alias("ptr"), key.alias("path"))
+    while not open_.isEmpty():
+        up = done.unionByName(open_).select("event_id", F.col("comment_id").alias("ptr"), F.col("ptr").alias("up_ptr"), F.col("path").alias("up_path"))
+        moved = cut(open_.join(up, ["event_id", "ptr"]).select(
+            "event_id", "comment_id", F.col("up_ptr").alias("ptr"), F.concat_ws("/", "up_path", "path").alias("path")), "paths")
+        done = done.unionByName(moved.filter("ptr is null"))
+        open_ = moved.filter("ptr is not null")
+    return placed.join(done.drop("ptr"), ["event_id", "comment_id"])
 
 
 def nest(threads: DataFrame, chunk: int = CHUNK) -> DataFrame:

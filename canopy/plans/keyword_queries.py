@@ -8,6 +8,7 @@ from canopy import vocab
 from canopy.functions import tokens as tk
 from canopy.functions.text import WORD, WS
 from canopy.operators import keywords as kw
+from canopy.session import cut
 from canopy.plans.tables import COMMENTS_SQL, Catalog, comments, with_
 
 catalog = Catalog()
@@ -119,7 +120,7 @@ SELECT domain, gram, n, round(pmi, 6) AS pmi FROM pairs""")
 def a6_bigram_pmi(spark, sf):
     """Also J9: bigram counts joined to the counts of both words."""
     d = docs(spark, sf)
-    pairs = kw.bigram_pmi(kw.gram_stats(d, ["domain"], "id_content"), kw.totals(d, ["domain"]), ["domain"])
+    pairs = kw.bigram_pmi(cut(kw.gram_stats(d, ["domain"], "id_content"), "grams"), kw.totals(d, ["domain"]), ["domain"])
     return pairs.select("domain", "gram", "n", F.round("pmi", 6).alias("pmi"))
 
 
@@ -127,7 +128,7 @@ def a6_bigram_pmi(spark, sf):
 SELECT domain, gram, n, round(pmi, 6) AS pmi FROM tri""")
 def j10_trigram_pmi(spark, sf):
     d = docs(spark, sf)
-    stats = kw.gram_stats(d, ["domain"], "id_content")
+    stats = cut(kw.gram_stats(d, ["domain"], "id_content"), "grams")
     pairs = kw.bigram_pmi(stats, kw.totals(d, ["domain"]), ["domain"])
     return kw.trigram_pmi(stats, pairs, ["domain"]).select("domain", "gram", "n", F.round("pmi", 6).alias("pmi"))
 

@@ -199,7 +199,7 @@ c AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1
 @catalog.add("a22_tfidf", "WITH " + TFIDF_SQL + "SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 9) AS value FROM c")
 def a22_tfidf(spark, sf):
     d = comments(spark, sf).select(F.col("seq").alias("doc_id"), "text")
-    return features.tfidf(d, "doc_id").withColumn("value", F.round("value", 9))
+    return features.tfidf(d, "doc_id").drop("place").withColumn("value", F.round("value", 9))
 
 
 def node_parts(spark, sf):
@@ -216,9 +216,9 @@ def node_parts(spark, sf):
 def t22_feature_rows(spark, sf):
     """Unit text vector, TF-IDF and log counts per node (checked against NumPy in the tests)."""
     vectors, texts, structure = node_parts(spark, sf)
-    cells = cut(features.tfidf(texts, "uid", top=20), "cells")
-    order = sorted(r["term"] for r in cells.select("term").distinct().collect())  # at most `top` terms
-    rows = features.feature_rows(vectors, features.dense_rows(cells, "uid", order), structure, len(order))
+    cells = features.tfidf(texts, "uid", top=20)
+    width = 20
+    rows = features.feature_rows(vectors, features.dense_rows(cells, "uid", width), structure, width)
     return rows.select("uid", F.size("features").alias("dim"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
@@ -306,10 +306,10 @@ def s4_read_records(spark, sf):
 SELECT CASE WHEN page_id % 2 = 0 THEN 'education' ELSE 'showbiz' END AS domain, 'p' || page_id // 4 AS id_content, 'name ' || max(page_id) AS ten_su_kien
 FROM pages GROUP BY 1, page_id // 4""")
 def s5_web_events(spark, sf):
-    """A category -> list object; of equal ids the last one counts."""
+    """Category -> list objects of up to 400 pages; of equal ids the last one counts."""
     path = run_dir(spark, "web")
     r = F.struct(F.concat(F.lit("p"), F.expr("page_id div 4")).alias("id_content"), F.concat(F.lit("name "), "page_id").alias("ten_su_kien"))
-    side = lambda k: table(spark, sf, "pages").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("page_id") % 2 == k, F.struct("page_id", r.alias("r"))))), lambda x: x["r"]).alias("l"))
+    side = lambda k: table(spark, sf, "pages").groupBy(F.expr("page_id div 400").alias("part")).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("page_id") % 2 == k, F.struct("page_id", r.alias("r"))))), lambda x: x["r"]).alias("l"))
     a = side(0).select(F.concat(F.lit('{"Giáo dục":'), F.to_json("l"), F.lit("}")).alias("value"))
     b = side(1).select(F.concat(F.lit('{"showbiz":'), F.to_json("l"), F.lit("}")).alias("value"))
     a.withColumn("k", F.lit(0)).unionByName(b.withColumn("k", F.lit(1))).write.partitionBy("k").text(path)

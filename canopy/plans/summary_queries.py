@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from canopy import vocab
 from canopy.functions.text import WS
-from canopy.operators import insights, summaries
+from canopy.operators import documents, insights, summaries
 from canopy.plans.tables import LABELLED_SQL, Catalog, labelled, table, with_
 
 catalog = Catalog()
@@ -291,3 +291,58 @@ def f9_domain_by_prefix(spark, sf):
     ids = table(spark, sf, "documents").select(F.concat(
         F.when(F.col("doc_id") % 3 == 0, "education_").when(F.col("doc_id") % 3 == 1, "showbiz_").otherwise("other_"), "doc_id").alias("id"))
     return ids.groupBy(domain_of(F.col("id")).alias("domain")).agg(F.count("*").alias("n"))
+
+
+# --- event documents: maps and lists are shown as text, in the order of their keys ------------------
+_SRC = """src AS (SELECT event_id, string_agg(label_source || '=' || n, ',' ORDER BY label_source) AS sources
+  FROM (SELECT event_id, label_source, count(*) AS n FROM labelled GROUP BY ALL) GROUP BY event_id)"""
+
+
+def _shown(m: str, value=lambda v: v.cast("string")):
+    return F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), value(e["value"]))), ","), F.lit(""))
+
+
+@catalog.add("s12_showbiz_documents", _L + ",\n" + _TOPQ + ",\n" + _SRC + """,
+l AS (SELECT unnest([""" + _SHOW + """]) AS label), x AS (SELECT unnest([""" + ", ".join(f"'{t}'" for t in _TX) + """]) AS t),
+ev AS (SELECT event_id, count(*) FILTER (NOT is_trash) AS total_comments, count(*) FILTER (toxic) AS total_toxic FROM labelled GROUP BY ALL),
+em AS (SELECT ev.event_id, string_agg(l.label || '=' || (SELECT count(*) FROM labelled c WHERE c.event_id = ev.event_id AND c.label = l.label), ',' ORDER BY l.label) AS emotions
+       FROM ev CROSS JOIN l GROUP BY ev.event_id),
+tx AS (SELECT ev.event_id, x.t AS k, (SELECT count(*) FROM labelled c WHERE c.event_id = ev.event_id AND c.toxic_type = x.t) AS n FROM ev CROSS JOIN x
+       UNION ALL SELECT event_id, 'total_toxic', total_toxic FROM ev),
+tt AS (SELECT event_id, string_agg(k || '=' || n, ',' ORDER BY k) AS toxic FROM tx GROUP BY event_id),
+po AS (SELECT event_id, string_agg(comment_id || '/' || score || '/' || label || '/' || md5(text), ',' ORDER BY rank) AS popular FROM ranked WHERE rank <= 3 GROUP BY event_id),
+be AS (SELECT event_id, string_agg(label || '=' || comment_id || '/' || score, ',' ORDER BY label) AS best FROM ranked WHERE lrank = 1 AND label IS NOT NULL GROUP BY event_id)
+SELECT ev.event_id, total_comments, sources, emotions, toxic, coalesce(popular, '') AS popular, coalesce(best, '') AS best
+FROM ev JOIN src USING (event_id) JOIN em USING (event_id) JOIN tt USING (event_id) LEFT JOIN po USING (event_id) LEFT JOIN be USING (event_id)""")
+def s12_showbiz_documents(spark, sf):
+    """Event documents of one domain, nested fields shown as text."""
+    d = documents.showbiz_documents(labelled(spark, sf))
+    top = F.transform("top_comments.most_popular", lambda c: F.concat_ws("/", c["comment_id"], c["score"].cast("string"), c["emotion"], F.md5(c["text"])))
+    return d.select("event_id", "total_comments", _shown("label_sources").alias("sources"), _shown("emotion_stats").alias("emotions"), _shown("toxic_stats").alias("toxic"),
+                    F.coalesce(F.array_join(top, ","), F.lit("")).alias("popular"),
+                    _shown("top_comments.by_emotion", lambda v: F.concat_ws("/", v["comment_id"], v["score"].cast("string"))).alias("best"))
+
+
+@catalog.add("s12_education_documents", with_(LABELLED_SQL, STANCE_SQL) + ",\n" + _SRC.replace("FROM labelled", "FROM stance") + """,
+l AS (SELECT unnest(['tích cực', 'tiêu cực', 'trung lập', 'ý kiến riêng']) AS label),
+ev AS (SELECT event_id, count(*) FILTER (is_trash) AS trash, count(*) FILTER (NOT is_trash) AS valid, count(*) AS total FROM stance GROUP BY ALL),
+g AS (SELECT ev.event_id, valid, l.label, (SELECT count(*) FROM stance c WHERE c.event_id = ev.event_id AND NOT c.is_trash AND c.label = l.label) AS n FROM ev CROSS JOIN l),
+k AS (SELECT event_id, replace(label, ' ', '_') AS k, n FROM g UNION ALL SELECT event_id, 'total', total FROM ev UNION ALL SELECT event_id, '""" + vocab.TRASH + """', trash FROM ev),
+cn AS (SELECT event_id, string_agg(k || '=' || n, ',' ORDER BY k) AS counts FROM k GROUP BY event_id),
+r AS (SELECT event_id, label, text, row_number() OVER (PARTITION BY event_id, label ORDER BY likes + reply_count DESC, seq) AS rank FROM stance WHERE NOT is_trash AND level = 1),
+e AS (SELECT event_id, label, string_agg(md5(substr(text, 1, 150)), '+' ORDER BY rank) AS shown FROM r WHERE rank <= 3 GROUP BY ALL),
+a AS (SELECT event_id, string_agg(label || '=' || n || '/' || CASE WHEN valid > 0 THEN printf('%.1f%%', n / valid * 100.0) ELSE '0%' END || '//' || coalesce(shown, ''), ',' ORDER BY label) AS analysis
+      FROM g LEFT JOIN e USING (event_id, label) GROUP BY event_id)
+SELECT event_id, sources, counts, analysis FROM cn JOIN a USING (event_id) JOIN src USING (event_id)""")
+def s12_education_documents(spark, sf):
+    d = documents.education_documents(stance(spark, sf))
+    one = lambda v: F.concat(v["count"].cast("string"), F.lit("/"), v["percent"], F.lit("/"), v["summary"], F.lit("/"), F.array_join(F.transform(v["examples"], F.md5), "+"))
+    return d.select("event_id", _shown("label_sources").alias("sources"), _shown("comment_counts").alias("counts"), _shown("analysis", one).alias("analysis"))
+
+
+@catalog.add("s12_clusters", _L + ",\n" + STATS_SQL + """
+SELECT s.event_id, s.root_id, size, total, toxic_count, controversial, coalesce(md5(c.text), md5('')) AS root_text, '' AS summary
+FROM stats s LEFT JOIN labelled c ON c.event_id = s.event_id AND c.comment_id = s.root_id""")
+def s12_clusters(spark, sf):
+    c = documents.clusters(labelled(spark, sf))
+    return c.select("event_id", "root_id", "size", "total", "toxic_count", "controversial", F.md5("root_text").alias("root_text"), "summary")
