@@ -11,8 +11,11 @@ from canopy.session import cut, discard
 OVER, UNDER = 4, 5        # least Jaccard similarity of two lines' word sets, as a fraction
 MIN_WORDS = 4             # distinct words; below four, 0.8 means equal sets, and lines like headings or "yes" stay
 TABLE = 20                # bits of the index of a table of marks
+OFTEN = 17                # bits of the index of the table that tells rare prefix words from others
 RARITY = 16               # bits of the index of the rarity table
-LIGHT = 128               # lines of one prefix word that are compared pair by pair
+WIDE = 4                  # 64-bit sketches that candidates are compared by before their words
+WORD_BITS = 31            # of a prefix word as a join key: words that share them only cost comparisons; up to 56 for huge corpora
+LIGHT = 512               # lines of one prefix word that are compared pair by pair
 LEADERS = 4               # lines, earliest and most frequent ones each, that all lines of a heavier word meet first
 LINE = ["doc_id", "text_key", "line_no"]  # the order of lines, and their identity
 
@@ -37,11 +40,11 @@ def _full(counts: DataFrame, bits: int) -> DataFrame:
     return counts.unionByName(slots).groupBy("slot").agg(F.sum("n").alias("n"))
 
 
-def _table(counts: DataFrame) -> DataFrame:
-    """One row with a binary of 2^TABLE bytes from rows (slot, n): 1 + 2 log2(1 + n), by slot. Its size is fixed."""
+def _table(counts: DataFrame, bits: int = TABLE) -> DataFrame:
+    """One row with a binary of 2^bits bytes from rows (slot, n): 1 + 2 log2(1 + n), by slot. Its size is fixed."""
     level = F.least(F.lit(126), F.lit(1) + F.floor(2 * F.log2(F.col("n") + 1))).cast("int")
     joined = lambda c, x: F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(c, x))), lambda s: s[x]))
-    rows = _full(counts, TABLE).select(F.col("slot"), F.shiftright("slot", 10).alias("row"), F.char(level).alias("x")).groupBy("row").agg(joined("slot", "x").alias("x"))
+    rows = _full(counts, bits).select(F.col("slot"), F.shiftright("slot", 10).alias("row"), F.char(level).alias("x")).groupBy("row").agg(joined("slot", "x").alias("x"))
     return cut(rows.agg(joined("row", "x").cast("binary").alias("t")).coalesce(1), "table")
 
 
@@ -52,12 +55,12 @@ def _rarities(counts: DataFrame) -> DataFrame:
     return cut(every.select(F.transform("a", lambda s: s["x"]).alias("t")), "rarity")
 
 
-def _slot(h: Column) -> Column:
-    return F.pmod(h, F.lit(1 << TABLE))
+def _slot(h: Column, bits: int = TABLE) -> Column:
+    return F.pmod(h, F.lit(1 << bits)).cast("long")
 
 
-def _level(table: str, h: Column) -> Column:
-    return F.ascii(F.substring(F.col(table), _slot(h).cast("int") + 1, 1).cast("string"))
+def _level(table: str, h: Column, bits: int = TABLE) -> Column:
+    return F.ascii(F.substring(F.col(table), _slot(h, bits).cast("int") + 1, 1).cast("string"))
 
 
 def _ceil_div(a: Column, b: int) -> Column:
@@ -69,33 +72,21 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-SKETCH, SIZE, PLACE = 40, 14, 10  # bits of a packed number: parity sketch of the set, its size, a word's place in it
-
-
-def _sketch(hashes: Column) -> Column:
-    """SKETCH bits, each telling whether an odd number of words falls on it: two sets differ in at least as many words as
-    their sketches in bits."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 20), F.lit(SKETCH)).cast("int"))
+def _sketch(hashes: Column, part: int = 0) -> Column:
+    """64 bits, each telling whether an odd number of words falls on it: two sets differ in at least as many words as
+    their sketches in bits. Parts take other bits of the hashes, so their counts add up over the words split among them."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 20 + 6 * part), F.lit(64)).cast("int"))
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
 
 
-def _packed(sketch: str, size: str, place: str) -> Column:
-    most = lambda c, bits: F.least(F.col(c).cast("long"), F.lit((1 << bits) - 1).cast("long"))
-    return F.shiftleft(F.col(sketch), SIZE + PLACE).bitwiseOR(F.shiftleft(most(size, SIZE), PLACE)).bitwiseOR(most(place, PLACE))
-
-
-def _near(a: Column, b: Column) -> Column:
-    """Length, positional and sketch filters for two packed sets that share the words at these places of their orders. A
-    size at its upper bound is not known, and passes; a place at its bound stands for any later one."""
-    size = lambda x: F.shiftright(x, PLACE).bitwiseAND(F.lit((1 << SIZE) - 1))
-    place = lambda x: x.bitwiseAND(F.lit((1 << PLACE) - 1))
-    n1, n2 = size(a), size(b)
+def _near(s: str, t: str) -> Column:
+    """Length, positional and sketch filters for two sets that share the words at these places of their orders."""
+    n1, n2 = (F.shiftright(f"np_{x}", 32) for x in (s, t))
+    p1, p2 = (F.col(f"np_{x}").bitwiseAND(F.lit((1 << 32) - 1)) for x in (s, t))
     need = _ceil_div((n1 + n2) * OVER, OVER + UNDER)
     fits = (n1 * UNDER >= n2 * OVER) & (n2 * UNDER >= n1 * OVER)
-    rest = 1 + F.least(n1 - place(a) - 1, n2 - place(b) - 1) >= need
-    apart = F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), SIZE + PLACE)) <= n1 + n2 - 2 * need
-    unknown = F.greatest(n1, n2) == (1 << SIZE) - 1
-    return unknown | (apart & fits & rest)
+    apart = F.bit_count(F.col(f"sketch_{s}").bitwiseXOR(F.col(f"sketch_{t}"))) <= n1 + n2 - 2 * need
+    return apart & fits & (1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= need)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -113,12 +104,21 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     parts = found.select("doc_id", "text_key", F.split("text", "\n").alias("lines"), F.explode("x").alias("x"))
     at = F.struct("doc_id", "text_key", F.col("x.line_no").alias("line_no")).alias("at")
     sets = cut(parts.select(F.col("x.cid").alias("cid"), at, F.get(F.col("lines"), F.col("x.line_no")).alias("line")), "texts")
+    # Wider sketches first: they rule out most pairs of long lines before any words move.
+    hashed = sets.select("cid", F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)).alias("h"))
+    share = lambda i: F.filter("h", lambda h: F.pmod(h, F.lit(WIDE)) == i)
+    wide = hashed.select("cid", F.size("h").alias("n"), *[_sketch(share(i), 1).alias(f"s{i}") for i in range(WIDE)])
+    named = lambda s: wide.select(*[F.col(c).alias(f"{c}_{s}") for c in wide.columns]).withColumnRenamed(f"cid_{s}", s)
+    apart = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(WIDE)), F.lit(0))
+    total = F.col("n_a") + F.col("n_b")
+    few = pairs.join(named("a"), "a").join(named("b"), "b").filter(apart <= total - 2 * _ceil_div(total * OVER, OVER + UNDER)).select("a", "b")
+    few = cut(few, "few")
     side = lambda s: sets.select(F.col("cid").alias(s), F.col("at").alias(f"at_{s}"), words_of(F.col("line")).alias(f"words_{s}"))
     both = F.size(F.array_intersect("words_a", "words_b"))
     similar = both * UNDER >= (F.size("words_a") + F.size("words_b") - both) * OVER
-    hit = pairs.join(side("a"), "a").join(side("b"), "b").filter((F.col("at_a") != F.col("at_b")) & similar)
+    hit = few.join(side("a"), "a").join(side("b"), "b").filter((F.col("at_a") != F.col("at_b")) & similar)
     late = cut(hit.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("cid")).distinct(), "late")
-    discard(pairs, wanted, marks, sets)
+    discard(pairs, wanted, marks, sets, few)
     return late
 
 
@@ -140,32 +140,33 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     hashed = hashed.filter(F.size("h") >= min_words).withColumn("_t", rarity.scalar())
     number = lambda h: F.get(F.col("_t"), place(h).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
     ordered = hashed.select(*LINE, _sketch(F.col("h")).alias("sketch"), F.sort_array(F.transform("h", number)).alias("s"))
-    size = F.size("s")
+    size, short = F.size("s"), lambda x: x.bitwiseAND(F.lit(2**WORD_BITS - 1)).cast("int" if WORD_BITS < 32 else "long")
     lines = cut(ordered.select(*LINE, F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), F.col("s")).alias("k2"), size.alias("n"), "sketch",
-                               F.slice("s", 1, size - _ceil_div(size * OVER, UNDER) + 1).alias("prefix")), "lines")
+                               F.transform(F.slice("s", 1, size - _ceil_div(size * OVER, UNDER) + 1), short).alias("prefix")), "lines")
 
     # Lines with equal sets are one class, met by its first line; only prefixes of classes are joined.
     grouped = lines.groupBy("k1", "k2").agg(F.min(F.struct(*LINE)).alias("at"), F.count("*").alias("times"), F.min(F.struct("n", "sketch", "prefix")).alias("x"))
     classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "at.*", "times", "x.*"), "classes")
     discard(rarity)
-    heads = classes.select("cid", "n", "sketch", F.posexplode("prefix").alias("p", "word")).select("word", "cid", _packed("sketch", "n", "p").alias("set"))
+    heads = classes.select("cid", "n", "sketch", F.posexplode("prefix").alias("p", "word")).select(
+        "word", "cid", (F.col("n").cast("long") * F.lit(1 << 32) + F.col("p")).alias("np"), "sketch")
 
-    often = _table(heads.groupBy(_slot(F.col("word")).alias("slot")).agg(F.count("*").alias("n")))
+    often = _table(heads.groupBy(_slot(F.col("word"), OFTEN).alias("slot")).agg(F.count("*").alias("n")), OFTEN)
     bound = 1 + int(2 * (LIGHT.bit_length() - 1))
-    marked = heads.withColumn("_t", often.scalar()).select("word", "cid", "set", (_level("_t", F.col("word")) >= bound).alias("maybe"))
+    marked = heads.withColumn("_t", often.scalar()).select("word", "cid", "np", "sketch", (_level("_t", F.col("word"), OFTEN) >= bound).alias("maybe"))
     heavy = cut(marked.filter("maybe").groupBy("word").agg(F.count("*").alias("lines")).filter(F.col("lines") > LIGHT).select("word"), "heavy")
     some = heavy.limit(1).count() > 0
-    light = marked.filter("not maybe").unionByName(marked.filter("maybe").join(heavy, "word", "left_anti")).select("word", "cid", "set") if some else heads
-    side = lambda df, s: df.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "set")])
-    near = _near(F.col("set_a"), F.col("set_b"))
+    light = marked.filter("not maybe").unionByName(marked.filter("maybe").join(heavy, "word", "left_anti")).select("word", "cid", "np", "sketch") if some else heads
+    side = lambda df, s: df.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "np", "sketch")])
+    near = _near("a", "b")
     pairs = side(light, "a").join(side(light, "b"), "word").filter((F.col("cid_a") < F.col("cid_b")) & near)
     pairs = pairs.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
     if some:
         at = classes.select("cid", F.struct(*LINE).alias("at"), "times")
-        dense = cut(marked.filter("maybe").join(heavy, "word", "left_semi").select("word", "cid", "set").join(at, "cid"), "dense")
+        dense = cut(marked.filter("maybe").join(heavy, "word", "left_semi").select("word", "cid", "np", "sketch").join(at, "cid"), "dense")
         lead = top_rows(dense, ["word"], ["at", "cid"], LEADERS).unionByName(top_rows(dense, ["word"], [F.desc("times"), F.col("at"), F.col("cid")], LEADERS))
-        earlier = lambda x, y: x.select("word", F.col("at").alias("at_a"), F.col("cid").alias("cid_a"), F.col("set").alias("set_a")).join(
-            y.select("word", F.col("at").alias("at_b"), F.col("cid").alias("cid_b"), F.col("set").alias("set_b")), "word").filter(
+        earlier = lambda x, y: x.select("word", F.col("at").alias("at_a"), F.col("cid").alias("cid_a"), F.col("np").alias("np_a"), F.col("sketch").alias("sketch_a")).join(
+            y.select("word", F.col("at").alias("at_b"), F.col("cid").alias("cid_b"), F.col("np").alias("np_b"), F.col("sketch").alias("sketch_b")), "word").filter(
             (F.col("at_a") < F.col("at_b")) & near).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
         lost = _verified(pairs.unionByName(earlier(lead.distinct(), dense)), classes, docs)
         lost = lost.unionByName(_verified(earlier(dense, dense.join(lost, "cid", "left_anti")), classes, docs)).distinct()
