@@ -16,7 +16,7 @@ from canopy.llm.tokenizer import Pieces, chunks, loaded, tokenizer_source
 
 LEAF = 16_384   # characters of a text that one task encodes alone
 SEEK = 512      # characters searched for a space near a cut
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -159,9 +159,11 @@ def _list_array(ids: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", leaf: int = LEAF) -> DataFrame:
-    """docs with the token ids of its whole text (null: empty) in the array column ids, as the tokenizers library gives
-    them without added special tokens, truncation or padding. For tokenizers that drop white space.
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", leaf: int = LEAF, decoded: str | None = None,
+           keep: list[str] | None = None) -> DataFrame:
+    """docs (columns keep) with the token ids of its whole text (null: empty) in the array column ids, as the tokenizers
+    library gives them without added special tokens, truncation or padding; with decoded, also the text that the ids stand
+    for, as decode gives it, made in the same pass. For tokenizers that drop white space.
 
     Texts of over leaf characters are cut into halves of halves that tasks encode in parallel; neighbours are joined in a
     tree, encoding growing windows around each join again until both sides agree. Each such content is encoded once.
@@ -170,11 +172,13 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     spark = docs.sparkSession
     source, version = tokenizer_source(tokenizer)
     shipped = spark.sparkContext.broadcast(source)
-    plain = docs.drop(ids)
-    columns = plain.columns
+    made = [ids, *([decoded] if decoded else [])]
+    plain = docs.drop(*made)
+    columns, kept = plain.columns, [c for c in plain.columns if keep is None or c in keep]
     content = F.coalesce(F.col(text), F.lit(""))
     is_long = F.length(content) > leaf
-    schema = pa_fields(plain) + f", `{ids}` array<int>"
+    kinds = [f"`{ids}` array<int>", *([f"`{decoded}` string"] if decoded else [])]
+    schema = ", ".join([*([pa_fields(plain.select(*kept))] if kept else []), *kinds])
 
     def encode_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(shipped.value, version)
@@ -182,8 +186,10 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
             texts = pc.fill_null(batch.column(columns.index(text)), "")
             sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
             for a, b in chunks(sizes, BATCH_BYTES):
-                got = _list_array(pieces.ids(texts.slice(a, b - a).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, got], [*columns, ids])
+                got = pieces.ids(texts.slice(a, b - a).to_pylist())
+                back = [pa.array(pieces.decode(got), pa.string())] if decoded else []
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*[part.column(columns.index(c)) for c in kept], _list_array(got), *back], [*kept, *made])
 
     def encode_parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = loaded(shipped.value, version)
@@ -201,7 +207,8 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
         for r in f.sort_values("place").itertuples():
             middle = np.frombuffer(r.middle, np.int32)
             parts.append(Part(_unpack(r.head_text, r.head), [middle] if len(middle) else [], _unpack(r.tail_text, r.tail), bool(r.whole)))
-        return pd.DataFrame({"digest": [f["digest"].iloc[0]], "ids": [join_tree(pieces, parts).ids()]})
+        whole = join_tree(pieces, parts).ids()
+        return pd.DataFrame({"digest": [f["digest"].iloc[0]], "ids": [whole], "decoded": [pieces.decode([whole])[0]]})
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -214,9 +221,10 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     distinct = long.select(F.col("_digest").alias("digest"), content.alias("content")).dropDuplicates(["digest"])
     pieces_of = distinct.mapInPandas(cut, "digest binary, place int, piece string").repartition("digest", "place")
     parts = pieces_of.mapInPandas(encode_parts, PART_SCHEMA)
-    joined = parts.groupBy("digest").applyInPandas(join_text, "digest binary, ids array<int>").withColumnRenamed("ids", "_ids")
-    long_ids = long.join(joined, F.col("_digest") == F.col("digest"), "left").withColumn(ids, F.col("_ids"))
-    return short.unionByName(long_ids.select(*[F.col(f"`{c}`") for c in columns], ids))
+    joined = parts.groupBy("digest").applyInPandas(join_text, "digest binary, ids array<int>, decoded string").toDF("_key", "_ids", "_text")
+    found = long.select(*[F.col(f"`{c}`") for c in kept], "_digest").join(joined, F.col("_digest") == F.col("_key"), "left")
+    long_ids = found.select(*[F.col(f"`{c}`") for c in kept], F.col("_ids").alias(ids), *([F.col("_text").alias(decoded)] if decoded else []))
+    return short.unionByName(long_ids)
 
 
 def pa_fields(df: DataFrame) -> str:

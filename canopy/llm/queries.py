@@ -96,8 +96,7 @@ def op8(spark, sf):
 @query("op10_bpe_round_trip")
 def op10(spark, sf):
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.encode(read(spark, sf, "documents").select("doc_id", "text"), path).drop("text")
-    back = bpe.decode(coded, path)
+    back = bpe.encode(read(spark, sf, "documents").select("doc_id", "text"), path, decoded="decoded", keep=["doc_id"])
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

@@ -20,7 +20,7 @@ import regex
 NOT_PLAIN = regex.compile("[^\t-\r -~¡-ɏ]|İ|<\\|")
 # The pattern that byte-level pre-tokenizers of this file format imply (fixed value of the format).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED = 400_000  # pre-tokens a worker keeps
+CACHED = 250_000  # pre-tokens a worker keeps
 LONG = 64         # characters; longer pre-tokens are not kept
 _LOADED: dict[str, "Pieces"] = {}
 

@@ -79,6 +79,8 @@ def test_round_trip_of_short_and_long_texts(spark):
     coded = bpe.encode(docs(spark, texts).withColumnRenamed("n_tokens", "digest"), WORD, leaf=200)
     assert coded.columns == ["doc_id", "text", "digest", "ids"]
     got = {x["doc_id"]: (x["ids"], x["decoded"]) for x in bpe.decode(coded, WORD).collect()}
+    both = bpe.encode(docs(spark, texts), WORD, leaf=200, decoded="decoded", keep=["doc_id"])
+    assert both.columns == ["doc_id", "ids", "decoded"] and {x["doc_id"]: (x["ids"], x["decoded"]) for x in both.collect()} == got
     for i, t in enumerate(texts):
         ids = tok.encode(t or "", add_special_tokens=False).ids
         assert got[i] == (ids, tok.decode(ids, skip_special_tokens=False))
