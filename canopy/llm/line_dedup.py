@@ -15,7 +15,7 @@ OFTEN = 17                # bits of the index of the table that tells rare prefi
 RARITY = 16               # bits of the index of the rarity table
 WIDE = 4                  # 64-bit sketches that candidates are compared by before their words
 WORD_BITS = 31            # of a prefix word as a join key: words that share them only cost comparisons; up to 56 for huge corpora
-LIGHT = 512               # lines of one prefix word that are compared pair by pair
+LIGHT = 256               # lines of one prefix word that are compared pair by pair
 LEADERS = 4               # lines, earliest and most frequent ones each, that all lines of a heavier word meet first
 LINE = ["doc_id", "text_key", "line_no"]  # the order of lines, and their identity
 
