@@ -200,7 +200,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     parts = F.split("text", "\n")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_r")), lambda i: F.get(parts, i))
     text = F.when(F.col("_r").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    n_lines = F.coalesce(F.size(parts), F.lit(0)).cast("long")
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     none = F.array().cast("array<int>")
     return both.select(*[F.col(c) for c in columns if c != "text"], text.alias("text"), n_lines.alias("n_lines"), F.coalesce("_r", none).alias("removed")).select(
         *columns, "n_lines", "removed")
