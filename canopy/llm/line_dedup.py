@@ -9,7 +9,7 @@ from canopy.operators.ordering import top_rows
 from canopy.session import cut, discard
 
 OVER, UNDER = 4, 5        # least Jaccard similarity of two lines' word sets, as a fraction
-MIN_WORDS = 4             # distinct words; below four, 0.8 means equal sets, and lines like headings or "yes" stay
+MIN_WORDS = 1             # distinct words; below four, 0.8 means equal sets
 TABLE = 20                # bits of the index of a table of marks
 OFTEN = 17                # bits of the index of the table that tells rare prefix words from others
 RARITY = 16               # bits of the index of the rarity table
@@ -148,7 +148,8 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     grouped = lines.groupBy("k1", "k2").agg(F.min(F.struct(*LINE)).alias("at"), F.count("*").alias("times"), F.min(F.struct("n", "sketch", "prefix")).alias("x"))
     classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "at.*", "times", "x.*"), "classes")
     discard(rarity)
-    heads = classes.select("cid", "n", "sketch", F.posexplode("prefix").alias("p", "word")).select(
+    # Sets too small to be similar to any other than their equals have no prefix words.
+    heads = classes.filter(F.col("n") * (UNDER - OVER) >= OVER).select("cid", "n", "sketch", F.posexplode("prefix").alias("p", "word")).select(
         "word", "cid", (F.col("n").cast("long") * F.lit(1 << 32) + F.col("p")).alias("np"), "sketch")
 
     often = _table(heads.groupBy(_slot(F.col("word"), OFTEN).alias("slot")).agg(F.count("*").alias("n")), OFTEN)

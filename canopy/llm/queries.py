@@ -39,7 +39,7 @@ WITH l AS (
          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM documents),
 w AS (
   SELECT doc_id, line_no, list_sort(list_distinct(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS s FROM l),
-c AS (SELECT s, len(s) AS n, min((doc_id, line_no)) AS spot, row_number() OVER () AS id FROM w WHERE len(s) >= 4 GROUP BY s),
+c AS (SELECT s, len(s) AS n, min((doc_id, line_no)) AS spot, row_number() OVER () AS id FROM w WHERE len(s) >= 1 GROUP BY s),
 t AS (SELECT id, n, spot, unnest(s) AS tok FROM c),
 f AS (SELECT tok, count(*) AS df FROM t GROUP BY tok),
 r AS (SELECT id, n, spot, tok, row_number() OVER (PARTITION BY id ORDER BY df, tok) AS pos FROM t JOIN f USING (tok)),

@@ -138,6 +138,12 @@ def test_line_dedup_edges(spark):
     assert got == {(None, ()), (1, (0,)), (1, ()), (2, ())}
 
 
+def test_short_lines_go(spark):
+    texts = ["All rights reserved.\nyes", "one\nreserved. All  rights\nyes yes", "漢字漢字漢字漢字。\nAll rights", "a\n漢字漢字漢字漢字。"]
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["removed"] for x in got} == {0: [], 1: [1, 2], 2: [], 3: [1]}
+
+
 def test_line_dedup_is_native(spark):
     df = spark.createDataFrame([(i, f"a b c d e{i % 3}\nq") for i in range(9)], "doc_id long, text string")
     plan = line_dedup.dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
