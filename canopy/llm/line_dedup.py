@@ -30,8 +30,8 @@ def _spaced(text: Column) -> Column:
 
 
 def words_of(line: Column) -> Column:
-    """Distinct words of a line."""
-    return F.array_remove(F.array_distinct(F.split(_spaced(line), " ")), "")
+    """Distinct lower-cased words of a line."""
+    return F.array_remove(F.array_distinct(F.split(_spaced(F.lower(line)), " ")), "")
 
 
 def _full(counts: DataFrame, bits: int) -> DataFrame:
@@ -125,17 +125,17 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_key, removed): numbers, from 0, of the lines that go, for the texts that lose any.
 
-    A line goes if an earlier line of any text has a word set whose Jaccard similarity with its own is 0.8 or more; lines
+    A line goes if an earlier line of any text has a set of lower-cased words whose Jaccard similarity with its own is 0.8 or more; lines
     are ordered by doc_id (null first), text and place, and an earlier line counts whether it stays or not. Lines of
     fewer than min_words distinct words are left alone. Rows equal in doc_id and text are one text.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    words = docs.select(F.explode(F.split(F.translate(_spaced(F.col("text")), "\n", " "), " ")).alias("w"))
+    words = docs.select(F.explode(F.split(F.translate(_spaced(F.lower("text")), "\n", " "), " ")).alias("w"))
     place = lambda h: h.bitwiseAND(F.lit((1 << RARITY) - 1).cast("long"))
     rarity = _rarities(words.filter("w <> ''").groupBy(place(F.xxhash64("w")).alias("slot")).agg(F.count("*").alias("n")))
 
     # A word is a number: its rarity above its hash, so that sorting numbers orders words by rarity.
-    hashes = F.transform(F.split(_spaced(F.col("line")), " "), lambda w: F.xxhash64(w))
+    hashes = F.transform(F.split(_spaced(F.lower("line")), " "), lambda w: F.xxhash64(w))
     hashed = lines_of(docs).select(*LINE, F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit(""))).alias("h"))
     hashed = hashed.filter(F.size("h") >= min_words).withColumn("_t", rarity.scalar())
     number = lambda h: F.get(F.col("_t"), place(h).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))

@@ -93,7 +93,7 @@ def similar(a, b):
 def brute_lines(rows, least):
     """Removed line numbers by (doc_id, text)."""
     seen, out = [], defaultdict(list)
-    lines = sorted((i, t, n, frozenset(x.split())) for i, t in set(rows) if t is not None for n, x in enumerate(t.split("\n")))
+    lines = sorted((i, t, n, frozenset(x.lower().split())) for i, t in set(rows) if t is not None for n, x in enumerate(t.split("\n")))
     for i, t, n, s in lines:
         if len(s) >= least:
             if any(similar(s, o) for o in seen):
@@ -144,6 +144,12 @@ def test_short_lines_go(spark):
     assert {x["doc_id"]: x["removed"] for x in got} == {0: [], 1: [1, 2], 2: [], 3: [1]}
 
 
+def test_lines_that_differ_in_case_go(spark):
+    texts = ["Please Subscribe To Our Newsletter\nÄrger é", "please subscribe to our newsletter", "ärger É\nPLEASE SUBSCRIBE TO OUR NEWSLETTER NOW"]
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["removed"] for x in got} == {0: [], 1: [0], 2: [0, 1]}
+
+
 def test_line_dedup_is_native(spark):
     df = spark.createDataFrame([(i, f"a b c d e{i % 3}\nq") for i in range(9)], "doc_id long, text string")
     plan = line_dedup.dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
