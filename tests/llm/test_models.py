@@ -281,3 +281,21 @@ def test_bands_reject_gibberish(spark):
     assert kept[-1] == (False, False)
     passed = [k for f, k in kept.values() if not f]
     assert sum(passed) >= 0.97 * len(passed)
+
+
+def test_bands_follow_each_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    some = {x["lang"]: x["text"] for x in docs.filter("length(text) between 2000 and 4000 and lang is not null").orderBy("doc_id").collect()}
+    langs = sorted(some)
+    odd = [(-1 - i, some[langs[i - 1]], langs[i]) for i in range(len(langs))]  # another language's text
+    usual = docs.filter("lang = 'en'").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).filter("length(w) < 5 and w <> ''")
+    common = [x["w"] for x in usual.groupBy("w").count().orderBy(F.desc("count"), "w").limit(4).collect()]
+    r = random.Random(1)
+    odd.append((-100, " ".join(r.choice(common) for _ in range(600)), "en"))  # far too likely
+    got = perplexity.judge(docs.unionByName(spark.createDataFrame(odd, docs.schema)), ["doc_id"])
+    rows = {x["doc_id"]: x for x in got.collect()}
+    planted = [rows[i] for i, _, _ in odd if not rows[i]["base_failed"]]
+    assert len(planted) >= len(langs) and not any(x["kept"] for x in planted)
+    labels = {x["doc_id"]: x["quality"] for x in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    low = [x for i, x in rows.items() if labels.get(i) == 0 and not x["base_failed"]]
+    assert sum(not x["kept"] for x in low) >= len(low) / 4
