@@ -11,7 +11,7 @@ from canopy.functions.text import WORD, WS
 from canopy.operators import audit, curation, features, insights, serving
 from canopy.operators.ordering import top_rows
 from canopy.plans import tree_queries
-from canopy.plans.cleaning_queries import q
+from canopy.plans.cleaning_queries import LIGHT_SQL, q
 from canopy.plans.summary_queries import EVENTS_SQL, events, labelled
 from canopy.plans.tables import COMMENTS_SQL, LABELLED_SQL, THREADS_SQL, Catalog, comments, table, threads, utc, with_
 from canopy.session import cut, run_dir
@@ -376,12 +376,14 @@ def s12_f14_resume(spark, sf):
     return sinks.pending_events(d.select("event_id").distinct(), spark.read.parquet(f"{path}/full"), spark.read.parquet(f"{path}/summary"))
 
 
-@catalog.add("s13_run_metrics", "SELECT count(*) AS n_raw FROM documents")
+@catalog.add("s13_run_metrics", with_(COMMENTS_SQL, LIGHT_SQL) + """SELECT (SELECT count(*) FROM documents) AS n_raw,
+  count(*) FILTER (reason IS NOT NULL) AS n_trash, count(*) FILTER (reason IS NULL) AS n_clean FROM light""")
 def s13_run_metrics(spark, sf):
     """Counts observed while the table is written."""
     df, seen = sinks.observed(comments(spark, sf), is_light_noise(F.col("text")))
     df.write.parquet(run_dir(spark, "observed"))
-    return spark.createDataFrame([(seen.get["n_trash"] + seen.get["n_clean"],)], "n_raw bigint")
+    counts = seen.get
+    return spark.createDataFrame([(counts["n_raw"], counts["n_trash"], counts["n_clean"])], "n_raw bigint, n_trash bigint, n_clean bigint")
 
 
 @catalog.add("f15_three_fields", "SELECT 'p' || page_id AS id_content, url AS ten_su_kien, html AS content FROM pages")

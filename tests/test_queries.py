@@ -2,12 +2,16 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as entry
 from check_queries import compare, oracle
 
+from canopy.functions import noise
+from canopy.sources import sinks
+
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 # One of each family here; tools/check_queries.py runs all of them.
@@ -37,3 +41,17 @@ def test_core_jobs_stay_in_the_engine(spark, name):
 def test_top_rows_are_cut_before_the_shuffle(spark):
     plan = QUERIES["k3_popular_comments"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_run_metrics_count_noise(spark):
+    state, detail, _ = compare(spark, oracle(SF), SF, "s13_run_metrics", QUERIES["s13_run_metrics"], SQL["s13_run_metrics"])
+    assert state == "ok", detail
+    got = QUERIES["s13_run_metrics"](spark, SF).first()
+    assert got["n_raw"] == got["n_trash"] + got["n_clean"]
+
+
+def test_observed_counts_of_noise(spark, tmp_path):
+    rows = spark.createDataFrame([("a whole sentence of words",), ("12345",), ("!!!",), (None,), ("another sentence here",)], "text string")
+    df, seen = sinks.observed(rows, noise.is_light_noise(F.col("text")))
+    df.write.parquet(str(tmp_path / "x"))
+    assert seen.get == {"n_raw": 5, "n_trash": 3, "n_clean": 2}
