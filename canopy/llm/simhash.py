@@ -84,8 +84,7 @@ def links(fingerprints: DataFrame, fp: str = "fp") -> DataFrame:
 
     Two bits lie in two bytes at most, so linked fingerprints share at least 6 of 8 positional bytes, hence two of the
     four double bytes whole. The index lists fingerprints under every two double bytes by position (6 entries each).
-    Lists of up to LIGHT are compared pair by pair: shared positional bytes are tallied, pairs below 6 are left out, the
-    rest are verified. In longer lists, where pairs would grow with the square, fingerprints meet at what lies between
+    Lists of up to LIGHT are compared pair by pair by the bit count, which implies any count of shared bytes. In longer lists, where pairs would grow with the square, fingerprints meet at what lies between
     them: two are within 2 bits exactly if some value is within 1 bit of both; each such value has 65 neighbours at most.
     """
     index = fingerprints.select(F.col(fp).alias("fp"), F.posexplode(F.array(*[
