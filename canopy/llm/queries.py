@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm import bpe, language, line_dedup, mixing, perplexity, simhash, token_counts, top_k, toxicity, warc
+from canopy.llm import bpe, language, line_dedup, merkle, mixing, perplexity, simhash, token_counts, top_k, toxicity, warc
 from canopy.session import run_dir
 
 QUERIES, SQL = {}, {}
@@ -167,3 +167,51 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 @query("op9_exact_top_k", OP9_SQL)
 def op9(spark, sf):
     return top_k.exact_top_k(read(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def _op11_sql(levels: int = 8, fanout: int = 16) -> str:
+    """The manifest as SQL, for up to fanout^levels rows of a source and as many sources. l are the nodes of a level with
+    their position in a group, g the runs, and f the rows on their way up with the siblings met so far."""
+    crc = ("list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: "
+           "[ascii(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))), "
+           "lambda s, e: xor(xor(s, e) >> 1, CASE WHEN xor(s, e) & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))")
+    code = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join(code(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    small = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [f"""WITH d AS (
+  SELECT *, coalesce('=' || source, '') AS tree, {leaf('text')} AS leaf,
+         CASE WHEN xor({crc}, 4294967295::UBIGINT) % 5 = 0 THEN {leaf('changed')} ELSE {leaf('text')} END AS seen
+  FROM (SELECT *, {small} AS changed FROM documents)),
+l0 AS (SELECT doc_id, tree, leaf, seen, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf AS node FROM d),
+f0 AS (SELECT doc_id, tree, leaf, pos, seen AS folded, '' AS proof FROM l0)"""]
+
+    def climb(n: str, f: str, i: int) -> str:
+        return f"""{n}g{i} AS (SELECT tree, pos // {fanout} AS run, list(node ORDER BY pos) AS ds, sum(count(*)) OVER (PARTITION BY tree) > 1 AS up
+  FROM {n}{i} GROUP BY tree, pos // {fanout}),
+{n}{i + 1} AS (SELECT tree, run AS pos, CASE WHEN up THEN sha256(array_to_string(ds, '')) ELSE ds[1] END AS node FROM {n}g{i}),
+{f}{i + 1} AS (
+  SELECT x.* EXCLUDE (pos, folded, proof), x.pos // {fanout} AS pos,
+         CASE WHEN up THEN sha256(array_to_string(ds[:pos % {fanout}], '') || folded || array_to_string(ds[pos % {fanout} + 2:], '')) ELSE folded END AS folded,
+         CASE WHEN up THEN proof || array_to_string(ds[:pos % {fanout}], '') || array_to_string(ds[pos % {fanout} + 2:], '') ELSE proof END AS proof
+  FROM {f}{i} x JOIN {n}g{i} g ON g.tree = x.tree AND g.run = x.pos // {fanout})"""
+
+    parts += [climb("l", "f", i) for i in range(levels)]
+    parts.append(f"""t0 AS (SELECT '' AS tree, tree AS of, row_number() OVER (ORDER BY tree) - 1 AS pos, node FROM l{levels}),
+h0 AS (SELECT f.doc_id, f.leaf, '' AS tree, t.node AS subroot, t.pos AS pos, f.folded, f.proof FROM f{levels} f JOIN t0 t ON t.of = f.tree)""")
+    parts += [climb("t", "h", i) for i in range(levels)]
+    return ",\n".join(parts) + f"""
+SELECT h.doc_id, leaf, subroot, t.node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.node AS verified
+FROM h{levels} h CROSS JOIN t{levels} t"""
+
+
+@query("op11_merkle_manifest", _op11_sql())
+def op11(spark, sf):
+    docs = read(spark, sf, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    small = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    seen = F.when(tampered, merkle.leaf_digest(*[F.col(c) for c in fields[:-1]], small))
+    proven = merkle.manifest(docs, fields, "source", "doc_id", {"seen": seen})
+    folded = proven.withColumn("folded_root", merkle.fold(F.coalesce("seen", "leaf"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+                         (F.col("folded_root") == F.col("root")).alias("verified"))
