@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm import bpe, language, line_dedup, merkle, mixing, perplexity, simhash, token_counts, top_k, toxicity, warc
+from canopy.llm import bpe, language, line_dedup, merkle, mixing, perplexity, simhash, token_counts, top_k, toxicity, warc, whitening
 from canopy.session import run_dir
 
 QUERIES, SQL = {}, {}
@@ -215,3 +215,8 @@ def op11(spark, sf):
     folded = proven.withColumn("folded_root", merkle.fold(F.coalesce("seen", "leaf"), F.col("path")))
     return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
                          (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op12_embedding_whitening")
+def op12(spark, sf):
+    return whitening.whiten(read(spark, sf, "embeddings"))
