@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm import bpe, language, line_dedup, merkle, mixing, perplexity, simhash, token_counts, top_k, toxicity, warc, whitening
+from canopy.llm import bpe, language, line_dedup, merkle, mixing, ngram_join, perplexity, simhash, token_counts, top_k, toxicity, warc, whitening
 from canopy.session import run_dir
 
 QUERIES, SQL = {}, {}
@@ -220,3 +220,26 @@ def op11(spark, sf):
 @query("op12_embedding_whitening")
 def op12(spark, sf):
     return whitening.whiten(read(spark, sf, "embeddings"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END)) AS s FROM w),
+c AS (SELECT s, min(doc_id) AS id, len(s)::BIGINT AS n FROM s WHERE len(s) > 0 GROUP BY s),
+t AS (SELECT id, n, unnest(s) AS g FROM c),
+e AS (
+  SELECT x.id AS a, y.id AS b FROM t x JOIN t y ON x.g = y.g AND x.id <> y.id AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n
+  GROUP BY x.id, y.id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+r AS (SELECT id, id AS root FROM c UNION SELECT e.b AS id, r.root FROM r JOIN e ON e.a = r.id),
+m AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN m ON m.id = c.id"""
+
+
+@query("op13_ngram_jaccard_join", OP13_SQL)
+def op13(spark, sf):
+    return ngram_join.near_groups(read(spark, sf, "documents").select("doc_id", "text"))
