@@ -88,9 +88,20 @@ class PrefixTree:
         return found
 
 
-def _tree_pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, differing sketch bits) of the pairs of one group's sets that may be similar. Pairs need different sides and labels
-    where the group has them."""
+def _closest(places: list[tuple[np.ndarray, ...]], first: int) -> np.ndarray:
+    """Rows that are among the first of every kind of group: each kind gives a row's group; rows come closest first."""
+    keep = np.arange(len(places[0][0]))
+    for group in places:
+        at = np.lexsort([keep, *[g[keep] for g in group]])
+        ends = np.any([np.diff(g[keep][at], prepend=g[keep][at][:1] - 1) != 0 for g in group], axis=0)
+        rank = np.arange(len(at)) - np.maximum.accumulate(np.where(ends, np.arange(len(at)), 0))
+        keep = np.sort(keep[at[rank < first]])
+    return keep
+
+
+def _tree_pairs(group: pa.Table, first: int | None) -> list[np.ndarray]:
+    """(a, b, differing sketch bits, whether closer ones hid others) of the pairs of one group's sets that may be similar. Pairs need
+    different sides and labels where the group has them; then only the first closest ones of a set and of two labels are given."""
     column = lambda c: group.column(c).to_numpy()
     lists = group.column("prefix").combine_chunks()
     flat, at = lists.flatten().to_numpy().view(np.uint64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
@@ -99,7 +110,7 @@ def _tree_pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids, sizes = column("node")[tree.order], tree.sizes
     bits = np.stack([column(s) for s in SKETCH], axis=1)[tree.order].view(np.uint64)
     tags = [column(c)[tree.order] for c in ("side", "label") if c in group.column_names]
-    out = ([], [], [])
+    rows = [np.zeros((3, 0), np.int64)]
     for i in range(1, len(ids)):
         n, m = int(sizes[i]), sizes[:i]
         apart = np.bitwise_count(bits[:i] ^ bits[i]).sum(axis=1, dtype=np.int64)
@@ -107,15 +118,22 @@ def _tree_pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for t in tags:
             allowed &= t[:i] != t[i]
         if allowed.any():
-            at = tree.probe(tree.paths[i], n, np.concatenate([allowed, np.zeros(len(ids) - i, bool)]))
-            out[0].extend(np.minimum(ids[at], ids[i]).tolist())
-            out[1].extend(np.maximum(ids[at], ids[i]).tolist())
-            out[2].extend(apart[at].tolist())
-    return tuple(np.array(x, np.int64) for x in out)
+            at = np.array(tree.probe(tree.paths[i], n, np.concatenate([allowed, np.zeros(len(ids) - i, bool)])), np.int64)
+            rows.append(np.stack([np.full(len(at), i), at, apart[at]]))
+    i, j, apart = np.concatenate(rows, axis=1)
+    keep = np.argsort(apart, kind="stable")
+    i, j, apart = i[keep], j[keep], apart[keep]
+    if first is not None and len(i):
+        label = tags[-1]
+        keep = _closest([(i,), (np.minimum(label[i], label[j]), np.maximum(label[i], label[j]))], first)
+        hidden, i, j, apart = len(keep) < len(i), i[keep], j[keep], apart[keep]
+    else:
+        hidden = False
+    return [np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), apart, np.full(len(i), hidden)]
 
 
-def _joined(groups: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """(a, b, apart) from all groups (keys, node, maybe side and label): a prefix tree per group, in sorted partitions."""
+def _joined(groups: DataFrame, nodes: DataFrame, keys: list[str], first: int | None = None) -> DataFrame:
+    """(a, b, apart, hidden) from all groups (keys, node, maybe side and label): a prefix tree per group, in sorted partitions."""
     members = groups.join(nodes.select("node", "n", "prefix", *SKETCH), "node")
     packed = members.repartition(*keys).sortWithinPartitions(*keys)
 
@@ -124,9 +142,9 @@ def _joined(groups: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
         same = [table.column(k).to_numpy() for k in keys]
         change[1:] = np.any([v[1:] != v[:-1] for v in same], axis=0)
         starts = [*np.flatnonzero(change).tolist(), table.num_rows]
-        parts = [_tree_pairs(table.slice(a, b - a)) for a, b in zip(starts, starts[1:]) if b - a > 1]
+        parts = [_tree_pairs(table.slice(a, b - a), first) for a, b in zip(starts, starts[1:]) if b - a > 1]
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["a", "b", "apart"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["a", "b", "apart", "hidden"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -145,7 +163,7 @@ def _joined(groups: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
         if held:
             yield from found(pa.Table.from_batches(held))
 
-    return packed.mapInArrow(run, "a long, b long, apart long")
+    return packed.mapInArrow(run, "a long, b long, apart long, hidden boolean")
 
 
 def _apart(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -158,9 +176,10 @@ def _apart(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.filter(F.col("apart") <= total - 2 * least).select("a", "b", "apart")
 
 
-def _open_blocks(heavy: DataFrame, label: DataFrame) -> DataFrame | None:
+def _open_blocks(heavy: DataFrame, label: DataFrame, once: bool) -> DataFrame | None:
     """(key, i, j, side, node, label): the blocks of long lists with several labels that must meet. Lists inside another one are
-    left out; blocks follow each other by size, and two meet only if their sizes and labels allow a link."""
+    left out; blocks follow each other by size, and two meet only if their sizes and labels allow a link. With once, a set is only in the first
+    of its lists."""
     named = heavy.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = cut(named, "labelled")
     mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
@@ -171,6 +190,8 @@ def _open_blocks(heavy: DataFrame, label: DataFrame) -> DataFrame | None:
     outer = open_.join(inside.filter("all = prior and x = y").select("key"), "key", "left_anti")
     if outer.limit(1).count() == 0:
         return None
+    if once:
+        outer = top_rows(outer, ["node"], ["p"], 1)
     placed = spread_rows(outer.select("key", "node", "n", "label"), ["key"], ["n", "node"], "rn")
     placed = cut(placed.withColumn("block", F.floor((F.col("rn") - 1) / BLOCK)).drop("rn"), "blocks")
     spans = placed.groupBy("key", "block").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("n", "label") for f in (F.min, F.max)])
@@ -185,6 +206,23 @@ def _open_blocks(heavy: DataFrame, label: DataFrame) -> DataFrame | None:
     return alone.unionByName(two.withColumn("side", F.col("side").cast("long")))
 
 
+def _meet(heavy: DataFrame, links: DataFrame, nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """links and those between groups in long lists. Rounds: the closest candidates of each set and of two groups are verified and
+    groups merged, so that a group of near copies does not make all its pairs; each round allows more, until none is hidden."""
+    tried, first, once = None, 2, True
+    while True:
+        blocks = _open_blocks(heavy, cut(components(links), "label"), once)
+        if blocks is None:
+            return links
+        found = cut(_joined(blocks, nodes, ["key", "i", "j"], first), "found")
+        fresh = found.select("a", "b").distinct()
+        fresh = cut(fresh.join(tried, ["a", "b"], "left_anti") if tried is not None else fresh, "fresh")
+        links = links.unionByName(_verified(fresh, nodes, rows, width))
+        if not once and found.filter("hidden").limit(1).count() == 0:
+            return links
+        tried, first, once = tried.unionByName(fresh) if tried is not None else fresh, first if once else first * 8, False
+
+
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the number of distinct n-grams of its words, and the smallest id reachable
     over links, its own included. Two texts link if the Jaccard similarity of their sets is 0.8 or more.
@@ -197,7 +235,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     share one of their first fifth (the prefix), so each meets others in the lists of its prefix n-grams. Lists of up to LIGHT sets
     that have the same first set make one prefix tree, in which overlaps of shared beginnings are counted once and branches are left
     by the n-grams that remain. In longer lists all sets meet the LEADERS; then only lists with sets of several groups go on, in
-    blocks by size, one tree per two blocks. A set's closest candidate is verified first; others only if still in another group.
+    blocks by size, one tree per two blocks, in rounds. Closest candidates are verified first; others only if still in another group.
     Every candidate that can change a group is verified on the whole sets.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("row"))
@@ -223,7 +261,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     light, heavy = (listed.filter(c).drop("size") for c in (F.col("size") <= LIGHT, F.col("size") > LIGHT))
     anchor = light.groupBy("key").agg(F.min(F.struct("node", "p")).alias("at"))
     groups = light.join(anchor, "key").select(F.col("at.node").alias("anchor"), F.floor(F.col("at.p") / CHUNK).alias("part"), "node").distinct()
-    candidates = _joined(groups, nodes, ["anchor", "part"])
+    candidates = _joined(groups, nodes, ["anchor", "part"]).drop("hidden")
     some = heavy.limit(1).count() > 0
     if some:
         lead = top_rows(heavy, ["key"], ["node"], LEADERS)
@@ -234,10 +272,9 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     named = lambda s: label.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))
     apart: Column = F.coalesce("a_label", "a") != F.coalesce("b_label", "b")
     more = candidates.join(named("a"), "a", "left").join(named("b"), "b", "left").filter(apart).select("a", "b")
-    blocks = _open_blocks(heavy, label) if some else None
-    if blocks is not None:
-        more = more.unionByName(_joined(blocks, nodes, ["key", "i", "j"]).select("a", "b"))
     links = links.unionByName(_verified(more, nodes, rows, width))
+    if some:
+        links = _meet(heavy, links, nodes, rows, width)
     label = components(links)
 
     grouped = heads.select("node", "first").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))

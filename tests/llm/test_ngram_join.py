@@ -88,3 +88,10 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted(tuple(-1 if v is None else v for v in x) for x in got) == sorted(
         [(-1, 1, -1)] * 2 + [(5, 1, 3)] * 2 + [(5, 1, 5), (3, 1, 3), (-1, 0, -1), (9, 0, 9), (-1, 1, 3)])
     assert ngram_join.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_closest_rows():
+    a, b = np.array([1, 1, 1, 2, 2, 3]), np.array([5, 5, 6, 5, 5, 5])
+    assert ngram_join._closest([(a,)], 2).tolist() == [0, 1, 3, 4, 5]
+    assert ngram_join._closest([(a,), (b,)], 2).tolist() == [0, 1]
+    assert ngram_join._closest([(a,), (a, b)], 1).tolist() == [0, 3, 5]
