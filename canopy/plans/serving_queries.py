@@ -16,7 +16,7 @@ from canopy.plans.summary_queries import EVENTS_SQL, events, labelled
 from canopy.plans.tables import COMMENTS_SQL, LABELLED_SQL, THREADS_SQL, Catalog, comments, table, threads, utc, with_
 from canopy.session import cut, run_dir
 from canopy.sources import posts, sinks
-from canopy.streaming import jobs
+from canopy.streaming import jobs, memory
 
 catalog = Catalog()
 
@@ -397,13 +397,15 @@ SLICES, SLICE_ROWS = 4, 100_000
 
 
 def event_stream(spark, sf):
-    """The events as files by time, one micro-batch each, so that state, watermark and expiry are reached."""
-    path, e = run_dir(spark, "events"), table(spark, sf, "events")
+    """The events as files by time, one micro-batch each, so that state, watermark and expiry are reached. The table is read once
+    and laid out by slice; slices are then written one after the other, as a stream takes files by their age."""
+    path, staged, e = run_dir(spark, "events"), run_dir(spark, "slices"), table(spark, sf, "events")
     slices = max(SLICES, -(-e.count() // SLICE_ROWS))
     edges = e.select(F.unix_micros("ts").cast("double").alias("t")).approxQuantile("t", [i / slices for i in range(1, slices)], 0.01)
     place = reduce(lambda a, x: a + (F.unix_micros("ts") > x).cast("int"), edges, F.lit(0))
-    for i in range(slices):
-        e.filter(place == i).coalesce(1).write.parquet(f"{path}/slice-{i:06d}")
+    e.withColumn("slice", place).repartition(slices, "slice").write.partitionBy("slice").parquet(staged)
+    for i in sorted(r["slice"] for r in spark.read.parquet(staged).select("slice").distinct().collect()):
+        spark.read.schema(e.schema).parquet(f"{staged}/slice={i}").coalesce(1).write.parquet(f"{path}/slice-{i:06d}")
     return jobs.source(spark, path, "*.parquet", e.schema, files=1)
 
 
@@ -425,6 +427,25 @@ def st2_user_sessions(spark, sf):
     return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "turns", "topic")
 
 
+@catalog.add("st2_session_memory", """
+WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE WHEN event_type <> 'view' THEN event_id END AS about FROM o),
+m AS (
+  SELECT user_id, event_id, ts, row_number() OVER w AS turn,
+         list(event_type || '=' || props) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS recent,
+         last_value(about IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried
+  FROM s WINDOW w AS (PARTITION BY user_id, k ORDER BY ts, event_id))
+SELECT user_id, event_id, turn, coalesce(array_to_string(recent, ' '), '') AS recent, carried FROM m
+WHERE epoch_us(ts) < (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM events) * 1000""")
+def st2_session_memory(spark, sf):
+    """What every turn could look back on: the last three turns of its session and the event last discussed."""
+    about = F.when(F.col("event_type") != "view", F.array("event_id"))
+    found = memory.session_memory(event_stream(spark, sf).withColumn("about", about), "user_id", "event_id", "event_type", "props", "about")
+    said = F.transform("recent", lambda t: F.concat_ws("=", t["question"], t["answer"]))
+    return jobs.appended(found, "memory").select("user_id", F.col("seq").alias("event_id"), "turn", F.array_join(said, " ").alias("recent"),
+                                                 F.get("carried", F.lit(0)).alias("carried"))
+
+
 @catalog.add("w10_last_turns", """
 WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM o)
