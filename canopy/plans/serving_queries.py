@@ -412,7 +412,7 @@ def event_stream(spark, sf):
 @catalog.add("st1_unseen_records", "SELECT DISTINCT substr(sha256(event_type || '|' || props), 1, 16) AS key FROM events")
 def st1_unseen_records(spark, sf):
     key = F.substring(F.sha2(F.concat_ws("|", "event_type", "props"), 256), 1, 16)
-    return jobs.appended(jobs.unseen(event_stream(spark, sf), key), "unseen").select("key")
+    return jobs.unseen(event_stream(spark, sf), key, run_dir(spark, "digests")).select("key")
 
 
 @catalog.add("st2_user_sessions", """

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from canopy.operators import digest_store
 from canopy.operators.ordering import first_row, last_before, running_sum
 from canopy.session import run_dir
+from canopy.sources import versions
 
 
 def source(spark: SparkSession, folder: str, pattern: str, schema, files: int | None = None) -> DataFrame:
@@ -50,10 +52,24 @@ def latest(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
     return first_row(rows, keys, [F.col("batch").desc()]).drop("batch")
 
 
-def unseen(stream: DataFrame, key: Column, ts: str = "ts", retention: str | None = None) -> DataFrame:
-    """First record per content key across runs. Keys are remembered for good, or for the retention if one is given."""
-    keyed = stream.withColumn("key", key)
-    return keyed.withWatermark(ts, retention).dropDuplicatesWithinWatermark(["key"]) if retention else keyed.dropDuplicates(["key"])
+def unseen(stream: DataFrame, key: Column, store: str, name: str = "unseen", **sizes) -> DataFrame:
+    """The first record of every key, across runs, with its key. Keys are remembered for good in a digest store (operators.digest_store):
+    a micro-batch opens only the buckets that may hold its keys, and one that is run again brings the same records. Micro-batches
+    of one store are numbered on from the last one."""
+    spark = stream.sparkSession
+    last = versions.latest(spark, store)
+    start = last[0] + 1 if last else 0
+
+    def write(df: DataFrame, batch: int, out: str) -> None:
+        _batch_table(digest_store.take(df, key, store, start + batch, **sizes)[0], batch, out)
+
+    out = _run(stream, "append", name, write)
+    return spark.read.option("basePath", out).parquet(f"{out}/*").drop("batch")
+
+
+def recently_unseen(stream: DataFrame, key: Column, retention: str, ts: str = "ts") -> DataFrame:
+    """First record per key within the retention: keys are state behind the watermark and go after it."""
+    return stream.withColumn("key", key).withWatermark(ts, retention).dropDuplicatesWithinWatermark(["key"])
 
 
 def fresh_queries(stream: DataFrame, query: Column, recent: Column, ts: str = "ts", ttl_seconds: int = 1800) -> DataFrame:

@@ -94,8 +94,12 @@ def test_streams_do_not_depend_on_batches(spark, tmp_path, files):
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 40
     n = jobs.incremental(stream, "counts", lambda df: df.groupBy("key", "k").agg(F.count("*").alias("n")), "key")
     assert {(r["key"], r["k"]): r["n"] for r in n.collect()} == Counter((key, k) for key, k, _ in rows)
-    first = jobs.appended(jobs.unseen(stream, F.concat_ws("|", "key", "k")), "unseen")
+    store = str(tmp_path / "store")
+    first = jobs.unseen(stream, F.concat_ws("|", "key", "k"), store, buckets=4)
     assert first.count() == len({(key, k) for key, k, _ in rows})
+    assert jobs.unseen(stream, F.concat_ws("|", "key", "k"), store).count() == 0   # a later stream over the same store
+    recent = jobs.appended(jobs.recently_unseen(stream, F.col("key"), "10 days"), "recent")
+    assert recent.count() == len({key for key, _, _ in rows})
 
 
 def test_a_cluster_without_shared_folder_is_refused():
