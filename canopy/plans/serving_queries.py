@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions.noise import is_light_noise
 from canopy.functions.text import WORD, WS
-from canopy.operators import audit, curation, features, insights, serving
+from canopy.operators import audit, curation, features, insights, merge_state, serving
 from canopy.operators.ordering import top_rows
 from canopy.plans import tree_queries
 from canopy.plans.cleaning_queries import LIGHT_SQL, q
@@ -470,7 +470,21 @@ def st3_fresh_queries(spark, sf):
 
 @catalog.add("st4_incremental", "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL")
 def st4_incremental(spark, sf):
-    return jobs.incremental(event_stream(spark, sf), "incremental", lambda df: df.groupBy("event_type", "user_id").agg(F.count("*").alias("n")), "event_type")
+    path = run_dir(spark, "counts")
+    jobs.incremental(event_stream(spark, sf), ["event_type", "user_id"], {"n": merge_state.counted()}, path)
+    return merge_state.current(spark, path)
+
+
+@catalog.add("st4_user_states", """
+SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_errors, epoch_us(min(ts)) AS first_at, epoch_us(max(ts)) AS last_at,
+       sum(round(value * 100)::BIGINT)::BIGINT AS cents, max(value) AS highest FROM events GROUP BY user_id""")
+def st4_user_states(spark, sf):
+    """Totals per user kept up to date batch by batch, as the serving tables need them."""
+    path, at = run_dir(spark, "users"), F.unix_micros("ts")
+    parts = {"n": merge_state.counted(), "n_errors": merge_state.counted(F.col("event_type") == "error"), "first_at": merge_state.least(at),
+             "last_at": merge_state.most(at), "cents": merge_state.summed(F.round(F.col("value") * 100).cast("long")), "highest": merge_state.most(F.col("value"))}
+    jobs.incremental(event_stream(spark, sf), ["user_id"], parts, path)
+    return merge_state.current(spark, path)
 
 
 @catalog.add("st5_status_counts", "SELECT epoch_us(date_trunc('day', ts)) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")

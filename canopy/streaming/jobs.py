@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from canopy.operators import digest_store
+from canopy.operators import digest_store, merge_state
 from canopy.operators.ordering import first_row, last_before, running_sum
 from canopy.session import run_dir
 from canopy.sources import versions
@@ -116,17 +116,14 @@ def user_sessions(stream: DataFrame, user: str, topic: str, ts: str = "ts", gap:
         user, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "turns", "topic")
 
 
-def incremental(stream: DataFrame, name: str, job: Callable[[DataFrame], DataFrame], by: str) -> DataFrame:
-    """Runs a batch job for the events that each micro-batch touches, on all their rows so far, and replaces their
-    results whole; so it does not matter how the input is cut into batches. Rows are stored by batch: one that is run
-    again after a failure overwrites its own."""
-    def write(df: DataFrame, batch: int, out: str) -> None:
-        rows, spark = f"{out}/rows", df.sparkSession
-        df.write.mode("overwrite").partitionBy(by).parquet(f"{rows}/batch={batch}")
-        stored = spark.read.schema(df.schema).option("basePath", rows).parquet(f"{rows}/*").select(*df.columns)
-        touched = stored.join(df.select(by).distinct(), by, "left_semi")
-        job(touched).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{out}/result")
-    return stream.sparkSession.read.parquet(_run(stream, "append", name, write) + "/result")
+def incremental(stream: DataFrame, keys: list[str], parts: merge_state.Parts, path: str, name: str = "incremental") -> list[dict]:
+    """Keeps aggregates per key up to date (operators.merge_state): every micro-batch is aggregated alone and merged into the states
+    of its own keys, so what it reads is bounded by the batch and these states, however long the stream has run. Results do not
+    depend on how the input is cut into batches; a micro-batch that is run again counts once. Returns what each one read."""
+    last = versions.latest(stream.sparkSession, path)
+    start, work = (last[0] + 1 if last else 0), []
+    _run(stream, "append", name, lambda df, batch, out: work.append(merge_state.merge(df, keys, parts, path, start + batch)))
+    return work
 
 
 def session_numbers(df: DataFrame, user: str, ts: str, seq: str, gap_seconds: int = 1800, bucket_seconds: int = 3600) -> DataFrame:

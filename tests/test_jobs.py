@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canopy import session
-from canopy.operators import cleaning, curation, near_copies, search
+from canopy.operators import cleaning, curation, merge_state, near_copies, search
 from canopy.session import cut
 from canopy.streaming import jobs
 
@@ -92,8 +92,10 @@ def test_streams_do_not_depend_on_batches(spark, tmp_path, files):
             want.append((name, t))
     got = jobs.appended(jobs.fresh_queries(stream, F.col("key"), F.col("k") > 1), "fresh").select("key", F.unix_seconds("ts")).collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 40
-    n = jobs.incremental(stream, "counts", lambda df: df.groupBy("key", "k").agg(F.count("*").alias("n")), "key")
+    work = jobs.incremental(stream, ["key", "k"], {"n": merge_state.counted()}, str(tmp_path / "counts"))
+    n = merge_state.current(spark, str(tmp_path / "counts"))
     assert {(r["key"], r["k"]): r["n"] for r in n.collect()} == Counter((key, k) for key, k, _ in rows)
+    assert len(work) == files
     store = str(tmp_path / "store")
     first = jobs.unseen(stream, F.concat_ws("|", "key", "k"), store, buckets=4)
     assert first.count() == len({(key, k) for key, k, _ in rows})
