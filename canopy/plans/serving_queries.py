@@ -15,7 +15,7 @@ from canopy.plans.cleaning_queries import LIGHT_SQL, q
 from canopy.plans.summary_queries import EVENTS_SQL, events, labelled
 from canopy.plans.tables import COMMENTS_SQL, LABELLED_SQL, THREADS_SQL, Catalog, comments, table, threads, utc, with_
 from canopy.session import cut, run_dir
-from canopy.sources import posts, sinks
+from canopy.sources import event_files, posts, sinks
 from canopy.streaming import jobs, memory
 
 catalog = Catalog()
@@ -376,6 +376,25 @@ def s12_f14_resume(spark, sf):
     return sinks.pending_events(d.select("event_id").distinct(), spark.read.parquet(f"{path}/full"), spark.read.parquet(f"{path}/summary"))
 
 
+@catalog.add("s12_event_documents", """
+SELECT lang AS domain, source AS event_id, count(*) AS n_comments, sum(length(text))::BIGINT AS n_chars, bool_and(source <> 'src1') AS complete
+FROM documents GROUP BY ALL""")
+def s12_event_documents(spark, sf):
+    """Every event as a full document, in parts, and a summary document but for one event; read back from the files."""
+    path, c = run_dir(spark, "documents"), comments(spark, sf)
+    by = ["domain", F.col("id_content").alias("event_id")]
+    body = F.to_json(F.collect_list(F.struct("comment_id", "text"))).alias("body")
+    full = c.groupBy(*by, F.floor(F.col("seq") / 500).alias("part")).agg(body)
+    summary = c.filter("id_content <> 'src1'").groupBy(*by).agg(F.to_json(F.struct(F.count("*").alias("n"))).alias("body"))
+    event_files.write_documents(full, summary, path)
+    read = event_files.read_documents(spark, path).filter("kind = 'full'")
+    said = read.select("domain", "event_id", F.explode(F.from_json("body", "array<struct<comment_id:string,text:string>>")).alias("c"))
+    n = said.groupBy("domain", "event_id").agg(F.count("*").alias("n_comments"), F.sum(F.length("c.text")).alias("n_chars"))
+    whole = event_files.complete_events(spark, path).select(F.col("domain").alias("d"), F.col("event_id").alias("e"), F.lit(True).alias("complete"))
+    found = n.join(whole, F.col("domain").eqNullSafe(F.col("d")) & (F.col("event_id") == F.col("e")), "left")
+    return found.select("domain", "event_id", "n_comments", "n_chars", F.coalesce("complete", F.lit(False)).alias("complete"))
+
+
 @catalog.add("s13_run_metrics", with_(COMMENTS_SQL, LIGHT_SQL) + """SELECT (SELECT count(*) FROM documents) AS n_raw,
   count(*) FILTER (reason IS NOT NULL) AS n_trash, count(*) FILTER (reason IS NULL) AS n_clean FROM light""")
 def s13_run_metrics(spark, sf):
