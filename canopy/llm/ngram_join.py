@@ -21,6 +21,7 @@ LEADERS = 4     # sets that all sets of a longer list meet first
 BLOCK = 1024    # sets of one block of a longer list
 CHUNK = 512     # n-grams of a first set whose lists make one tree
 SKETCH = [f"s{i}" for i in range(WIDE)]
+WIDER = 2048    # bits of the parity sketch that candidates of a tree are compared by
 
 
 def need(total: np.ndarray | int) -> np.ndarray | int:
@@ -109,6 +110,7 @@ def _tree_pairs(group: pa.Table, first: int | None) -> list[np.ndarray]:
     tree = PrefixTree(paths, column("n").astype(np.int64))
     ids, sizes = column("node")[tree.order], tree.sizes
     bits = np.stack([column(s) for s in SKETCH], axis=1)[tree.order].view(np.uint64)
+    wider = np.stack([np.frombuffer(x, np.uint64) for x in group.column("wider").to_pylist()])[tree.order]
     tags = [column(c)[tree.order] for c in ("side", "label") if c in group.column_names]
     rows = [np.zeros((3, 0), np.int64)]
     for i in range(1, len(ids)):
@@ -117,6 +119,10 @@ def _tree_pairs(group: pa.Table, first: int | None) -> list[np.ndarray]:
         allowed = (n * UNDER >= m * OVER) & (m * UNDER >= n * OVER) & (apart <= n + m - 2 * need(n + m))
         for t in tags:
             allowed &= t[:i] != t[i]
+        near = np.flatnonzero(allowed)
+        if len(near):   # a wider sketch leaves few pairs that are not similar
+            apart[near] = np.bitwise_count(wider[near] ^ wider[i]).sum(axis=1, dtype=np.int64)
+            allowed[near] = apart[near] <= n + m[near] - 2 * need(n + m[near])
         if allowed.any():
             at = np.array(tree.probe(tree.paths[i], n, np.concatenate([allowed, np.zeros(len(ids) - i, bool)])), np.int64)
             rows.append(np.stack([np.full(len(at), i), at, apart[at]]))
@@ -134,7 +140,7 @@ def _tree_pairs(group: pa.Table, first: int | None) -> list[np.ndarray]:
 
 def _joined(groups: DataFrame, nodes: DataFrame, keys: list[str], first: int | None = None) -> DataFrame:
     """(a, b, apart, hidden) from all groups (keys, node, maybe side and label): a prefix tree per group, in sorted partitions."""
-    members = groups.join(nodes.select("node", "n", "prefix", *SKETCH), "node")
+    members = groups.join(nodes.select("node", "n", "prefix", "wider", *SKETCH), "node")
     packed = members.repartition(*keys).sortWithinPartitions(*keys)
 
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -206,20 +212,32 @@ def _open_blocks(heavy: DataFrame, label: DataFrame, once: bool) -> DataFrame |
     return alone.unionByName(two.withColumn("side", F.col("side").cast("long")))
 
 
-def _meet(heavy: DataFrame, links: DataFrame, nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """links and those between groups in long lists. Rounds: the closest candidates of each set and of two groups are verified and
+def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, label) with the groups that further links connect merged; only labels that a link joins take part in rounds."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    every = cut(label.unionByName(ends.join(label, "node", "left_anti").select("node", F.col("node").alias("label"))), "label")
+    at = lambda s: every.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))
+    joined = links.join(at("a"), "a").join(at("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).filter("a <> b")
+    top = components(joined).withColumnsRenamed({"node": "label", "label": "top"})
+    return cut(every.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "label")
+
+
+def _meet(heavy: DataFrame, label: DataFrame, nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """label with the groups merged that long lists link. Rounds: the closest candidates of each set and of two groups are verified and
     groups merged, so that a group of near copies does not make all its pairs; each round allows more, until none is hidden."""
     tried, first, once = None, 2, True
     while True:
-        blocks = _open_blocks(heavy, cut(components(links), "label"), once)
+        blocks = _open_blocks(heavy, label, once)
         if blocks is None:
-            return links
+            return label
         found = cut(_joined(blocks, nodes, ["key", "i", "j"], first), "found")
         fresh = found.select("a", "b").distinct()
         fresh = cut(fresh.join(tried, ["a", "b"], "left_anti") if tried is not None else fresh, "fresh")
-        links = links.unionByName(_verified(fresh, nodes, rows, width))
+        if fresh.limit(1).count():
+            links = _verified(fresh, nodes, rows, width)
+            label = _relabelled(label, links) if links.limit(1).count() else label
         if not once and found.filter("hidden").limit(1).count() == 0:
-            return links
+            return label
         tried, first, once = tried.unionByName(fresh) if tried is not None else fresh, first if once else first * 8, False
 
 
@@ -246,11 +264,12 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
         n = [len(k) for k in keys]
         odd = np.array([np.bincount((k & np.uint64(64 * WIDE - 1)).astype(np.int64), minlength=64 * WIDE) & 1 for k in keys], np.uint8)
         bits = np.packbits(odd.reshape(len(keys), 64 * WIDE), axis=1, bitorder="little").view(np.int64)
+        wider = [np.packbits(np.bincount((k & np.uint64(WIDER - 1)).astype(np.int64), minlength=WIDER).astype(np.uint8) & 1).tobytes() for k in keys]
         node = np.array([xxhash.xxh64_intdigest(k.tobytes()) for k in keys], np.uint64).view(np.int64)
         first = _lists([k[: len(k) - (len(k) * OVER + UNDER - 1) // UNDER + 1] for k in keys])
-        return [pa.array(node), pa.array(n, pa.int64()), first, *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(WIDE)]]
+        return [pa.array(node), pa.array(n, pa.int64()), first, pa.array(wider, pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(WIDE)]]
 
-    added = "node long, n long, prefix array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
+    added = "node long, n long, prefix array<long>, wider binary, " + ", ".join(f"{s} long" for s in SKETCH)
     prints = cut(_mapped(rows, made, added).withColumn("place", F.monotonically_increasing_id()), "prints")
     heads = cut(prints.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("place").alias("place")), "heads")
     nodes = cut(prints.join(heads.select("place"), "place", "left_semi").drop("doc_id", "place"), "nodes")
@@ -272,10 +291,9 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     named = lambda s: label.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))
     apart: Column = F.coalesce("a_label", "a") != F.coalesce("b_label", "b")
     more = candidates.join(named("a"), "a", "left").join(named("b"), "b", "left").filter(apart).select("a", "b")
-    links = links.unionByName(_verified(more, nodes, rows, width))
+    label = _relabelled(label, _verified(more, nodes, rows, width))
     if some:
-        links = _meet(heavy, links, nodes, rows, width)
-    label = components(links)
+        label = _meet(heavy, label, nodes, rows, width)
 
     grouped = heads.select("node", "first").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
