@@ -218,7 +218,7 @@ def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
     every = cut(label.unionByName(ends.join(label, "node", "left_anti").select("node", F.col("node").alias("label"))), "label")
     at = lambda s: every.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))
     joined = links.join(at("a"), "a").join(at("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).filter("a <> b")
-    top = components(joined).withColumnsRenamed({"node": "label", "label": "top"})
+    top = components(joined).select(F.col("node").alias("label"), F.col("label").alias("top"))
     return cut(every.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "label")
 
 
