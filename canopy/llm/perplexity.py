@@ -1,7 +1,8 @@
 """Quality rules with the perplexity of a modified Kneser-Ney n-gram model of the corpus itself.
 
-The units are the characters of words between two word ends: word n-grams of a corpus are nearly as many as its words and
-could neither be broadcast nor be shuffled to every text within a disk budget of 1.5 times the input.
+The units are the characters of a text's words, joined by single blanks, so n-grams reach across word ends. Word n-grams of a corpus
+are nearly as many as its words and could neither be broadcast nor be shuffled to every text within a disk budget of 1.5 times
+the input.
 """
 
 from __future__ import annotations
@@ -10,27 +11,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.words import flat, map_texts, space_words
+from canopy.llm.tokenizer import chunks
+from canopy.llm.words import BATCH_BYTES, flat, map_texts, space_words
 from canopy.session import cut
 
 ORDER = 4
-SLOTS = 1 << 22       # hash values of a table; tables hold one number for each value at most
 SPREAD = 3.0          # interquartile ranges that a band reaches beyond the quartiles
 SYMBOLS = "#*$%&|<>"
 
 
-def ngrams(words: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """(packed n-gram that ends at each character or at the word's end, index of the word): 16 bits of each code point,
-    the start of a word padded with 1, its end marked 2."""
-    n = len(words)
+def normal(text: str | None) -> str:
+    """The lower-case words of a text with one blank between them."""
+    return " ".join(space_words(text.lower())) if text else ""
+
+
+def ngrams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """(packed n-gram that ends at each character or at the text's end, index of the text): 16 bits of each code point (those above
+    share the 6,400 codes for private use), the start of a text padded with 1, its end marked 2. The key is the n-gram itself."""
+    n = len(texts)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     pad, end = "\x01" * (order - 1), "\x02"
-    chars = np.frombuffer("".join([pad + w + end for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) & np.uint64(0xFFFF)
-    lengths = np.fromiter(map(len, words), np.int64, n)
+    chars = np.frombuffer("".join([pad + t + end for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    chars = np.where(chars > 0xFFFF, np.uint64(0xE000) + chars % np.uint64(6400), chars)
+    lengths = np.fromiter(map(len, texts), np.int64, n)
     owner = np.repeat(np.arange(n), lengths + 1)
     at = np.arange(len(owner)) + owner * (order - 1) + order - 1
     key = np.zeros(len(owner), np.uint64)
@@ -45,37 +53,34 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def count_ngrams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, g, c): how often each n-gram occurs in the words of all texts of each language (null: '')."""
-    spaced = F.translate(F.lower(F.col(text)), "\t\n\x0b\x0c\r", "     ")
-    words = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.explode(F.split(spaced, " ")).alias("word"))
-    counted = words.filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
-
+    """(lang, g, c): how often each n-gram occurs in all texts of each language (null: ''). A task sums up what it reads, in
+    stretches of BATCH_BYTES, before anything is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
-        size = 0
 
         def out():
             for name, parts in held.items():
                 g, c = _summed(*map(np.concatenate, zip(*parts)))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c)], ["lang", "g", "c"])
 
-        for batch in batches:
-            langs, n = np.asarray(batch.column(0).to_pylist(), object), batch.column(2).to_numpy()
-            texts = np.asarray(batch.column(1).to_pylist(), object)
-            for name in set(langs.tolist()):
-                at = langs == name
-                g, owner = ngrams(texts[at].tolist())
-                parts = held.setdefault(name, [])
-                parts.append(_summed(g, n[at][owner]))
-                if len(parts) >= 16:
-                    parts[:] = [_summed(*map(np.concatenate, zip(*parts)))]
-            size = sum(len(p[0]) for parts in held.values() for p in parts)
-            if size > 4_000_000:
-                yield from out()
-                held.clear()
+        for whole in batches:
+            sizes = pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False)
+            for a, b in chunks(sizes, BATCH_BYTES):
+                langs = np.asarray(whole.column(0).slice(a, b - a).to_pylist(), object)
+                texts = [normal(t) for t in whole.column(1).slice(a, b - a).to_pylist()]
+                for name in set(langs.tolist()):
+                    g, n = np.unique(ngrams([t for t, own in zip(texts, (langs == name).tolist()) if own and t])[0], return_counts=True)
+                    parts = held.setdefault(name, [])
+                    parts.append((g, n))
+                    if len(parts) >= 16:
+                        parts[:] = [_summed(*map(np.concatenate, zip(*parts)))]
+                if sum(len(p[0]) for parts in held.values() for p in parts) > 4_000_000:
+                    yield from out()
+                    held.clear()
         yield from out()
 
-    return counted.mapInArrow(run, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
+    named = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.col(text).alias("text"))
+    return named.mapInArrow(run, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -95,7 +100,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         per_lang = per_lang.select("lang", "kinds", *[
             F.when(usable, F.greatest(F.least(x, F.lit(i - 0.1)), F.lit(0.1))).otherwise(0.5 * i).alias(f"d{i}") for i, x in enumerate(raw, 1)])
         own = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = level.join(per_lang, "lang").withColumn("d", own).withColumn("context", F.shiftrightunsigned("g", 16) if k > 1 else F.lit(0).cast("long"))
+        rows = level.join(F.broadcast(per_lang), "lang").withColumn("d", own).withColumn("context", F.shiftrightunsigned("g", 16) if k > 1 else F.lit(0).cast("long"))
         contexts = rows.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("left"), F.max("kinds").alias("kinds"))
         probs = rows.join(contexts.select("lang", "context", "total"), ["lang", "context"]).select(
             "lang", F.lit(2 * k).alias("part"), "g", ((F.col("c") - F.col("d")) / F.col("total")).alias("value"))
@@ -108,63 +113,45 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return out
 
 
-def slots(keys: np.ndarray, lang: str, part: int) -> np.ndarray:
-    """Hash value of each n-gram of a language in a part of the model."""
-    import zlib
-
-    seed = np.uint64(zlib.crc32(f"{part}:{lang}".encode()) * 0x9E3779B97F4A7C15 % 2**64)
-    h = (keys ^ seed) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return (h >> np.uint64(42)).astype(np.uint32)
-
-
 class Model:
-    """The parts as sorted hash arrays: (hash values, numbers), SLOTS entries each at most. Where two n-grams share a
-    hash value the larger number stands."""
+    """The parts as sorted arrays by language: (keys, numbers). Keys are whole n-grams, so none takes another one's number; the
+    arrays grow with the n-grams of the corpus."""
 
     def __init__(self, table: pa.Table, order: int = ORDER):
-        part, slot, value = (table.column(i).to_numpy() for i in range(3))
         self.order, self.parts = order, {}
-        for p in range(2, 2 * order + 2):
-            at = np.flatnonzero(part == p)
-            at = at[np.argsort(slot[at], kind="stable")]
-            self.parts[p] = (slot[at].astype(np.uint32), value[at].astype(np.float32))
+        langs = table.column("lang").combine_chunks().dictionary_encode()
+        names, own = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+        part, key, value = table.column("part").to_numpy(), table.column("g").to_numpy().view(np.uint64), table.column("value").to_numpy()
+        at = np.lexsort([key, part, own])
+        kind = own[at].astype(np.int64) * 1000 + part[at]
+        starts = np.flatnonzero(np.diff(kind, prepend=-1))
+        for a, b in zip(starts, [*starts[1:], len(at)]):
+            rows = at[a:b]
+            self.parts[names[own[rows[0]]], int(part[rows[0]])] = (key[rows], value[rows].astype(np.float32))
 
     def _find(self, keys: np.ndarray, lang: str, part: int, missing: float) -> np.ndarray:
-        hashes, values = self.parts[part]
-        if not len(hashes):
+        known, values = self.parts.get((lang, part), (np.zeros(0, np.uint64), None))
+        if not len(known):
             return np.full(len(keys), missing)
-        want = slots(keys, lang, part)
-        at = np.minimum(np.searchsorted(hashes, want), len(hashes) - 1)
-        return np.where(hashes[at] == want, values[at], missing).astype(np.float64)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, values[at], missing).astype(np.float64)
 
-    def word_scores(self, words: list[str], lang: str) -> np.ndarray:
-        """Natural logarithm of each word's probability, its end included."""
-        g, owner = ngrams(words, self.order)
+    def text_scores(self, texts: list[str], lang: str) -> np.ndarray:
+        """Natural logarithm of each normal text's probability, its end included."""
+        g, owner = ngrams(texts, self.order)
         g, back = np.unique(g, return_inverse=True)
         p = np.full(len(g), 1e-6)
         for k in range(1, self.order + 1):
             key = g & np.uint64((1 << 16 * k) - 1)
             context = key >> np.uint64(16) if k > 1 else np.zeros(len(g), np.uint64)
             p = self._find(key, lang, 2 * k, 0.0) + self._find(context, lang, 2 * k + 1, 1.0) * (p if k > 1 else 1.0)
-        return np.bincount(owner, np.log(np.clip(p, 1e-9, 1.0))[back], len(words))
+        return np.bincount(owner, np.log(np.clip(p, 1e-9, 1.0))[back], len(texts))
 
 
 def build_model(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Count all texts and bring the model, of a size bounded by SLOTS, to the driver."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, part = np.asarray(b.column(0).to_pylist(), object), b.column(1).to_numpy()
-            g, value = b.column(2).to_numpy().view(np.uint64), b.column(3).to_numpy()
-            for name in set(langs.tolist()):
-                for p in np.unique(part[langs == name]).tolist():
-                    at = (langs == name) & (part == p)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(at.sum(), p, np.int32)), pa.array(slots(g[at], name, p).astype(np.int64)), pa.array(value[at])],
-                                                     ["part", "slot", "value"])
-
-    rows = kneser_ney(count_ngrams(docs, text, lang)).mapInArrow(run, "part int, slot long, value double")
-    table = rows.groupBy("part", "slot").agg(F.max("value").cast("float").alias("value")).select("part", F.col("slot").cast("int").alias("slot"), "value")
-    return Model(table.toArrow())
+    """Count all texts and bring the model's distinct n-grams, 12 bytes each, to the driver."""
+    rows = kneser_ney(count_ngrams(docs, text, lang))
+    return Model(rows.select("lang", "part", "g", F.col("value").cast("float").alias("value")).toArrow())
 
 
 def repeated_words(codes: np.ndarray) -> int:
@@ -206,19 +193,17 @@ def add_rules(docs: DataFrame, model: Model, keep: list[str], text: str = "text"
         total = np.concatenate([[0], np.cumsum(lengths[codes])]) if len(codes) else np.zeros(1, np.int64)
         chars = total[offsets[1:]] - total[offsets[:-1]]
         counts = np.diff(offsets)
-        logs = np.zeros(len(codes))
-        per_word = np.repeat(langs, counts)
+        perplexity = np.full(len(texts), np.nan)
+        spoken = [normal(t) for t in texts]
         for name in set(langs.tolist()):
-            at = np.flatnonzero(per_word == name)
+            at = np.flatnonzero((langs == name) & (counts > 0))
             if len(at):
-                used, back = np.unique(codes[at], return_inverse=True)
-                logs[at] = shared.value.word_scores([w.lower() for w in distinct[used]], name)[back]
-        sums = np.array([logs[a:b].sum() for a, b in zip(offsets[:-1], offsets[1:])]) if len(logs) else np.zeros(len(texts))
-        perplexity = [float(-s / (c + n)) if n else None for s, c, n in zip(sums, chars, counts)]
+                own = [spoken[i] for i in at.tolist()]
+                perplexity[at] = -shared.value.text_scores(own, name) / (np.fromiter(map(len, own), np.int64, len(own)) + 1)
         symbols = [sum(map((t or "").count, SYMBOLS)) for t in texts]
         windows = [repeated_words(codes[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
         return [pa.array(counts.astype(np.int64)), pa.array(chars.astype(np.int64)), pa.array(symbols, pa.int64()), pa.array([repeated_lines(t) for t in texts], pa.int64()),
-                pa.array(windows, pa.int64()), pa.array(perplexity, pa.float64())]
+                pa.array(windows, pa.int64()), pa.array(perplexity, pa.float64(), mask=np.isnan(perplexity))]
 
     return map_texts(docs, text, score, RULES, keep)
 
@@ -226,18 +211,46 @@ def add_rules(docs: DataFrame, model: Model, keep: list[str], text: str = "text"
 def judge(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", spread: float = SPREAD) -> DataFrame:
     """docs (columns keep and lang) with the figures of RULES, base_failed and kept.
 
-    The model is counted over all words of all texts, the bands over all texts that pass the base rules: a language's
-    band reaches spread interquartile ranges beyond the quartiles of the logarithm of perplexity per character; texts outside it are not kept. Null texts have no words and fail the base rules; a null language is
-    one of its own; repeated rows and null ids stay; an empty table gives an empty result.
+    The model is counted over all texts, the bands over all texts that pass the base rules. A band reaches spread interquartile
+    ranges beyond the quartiles; texts outside it are not kept. What is banded is the logarithm of perplexity per character, its distance
+    from the language's median over the scatter usual at the text's length (see scatter), as short texts scatter more. Null texts have
+    no words and fail the base rules; a null language is one of its own; repeated rows and null ids stay; an empty table gives an
+    empty result.
     """
     columns = list(dict.fromkeys([*keep, lang]))
     scored = cut(add_rules(docs, build_model(docs, text, lang), columns, text, lang), "rules")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
-    quartiles = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
-    bands = scored.filter("not base_failed").groupBy(F.col(lang).alias("_lang")).agg(quartiles.alias("q"))
+    passed = scored.filter("not base_failed").select(F.col(lang).alias("of"), F.col("n_words").alias("n"), F.col("log_perplexity").alias("x"))
+    usual = cut(scatter(passed), "scatter")
+    z = lambda x, n: F.coalesce((x - F.col("middle")) / F.nullif(F.sqrt(F.col("fixed") + F.col("by_length") / n), F.lit(0.0)), F.lit(0.0))
+    same = lambda one, other: one.eqNullSafe(other)
+    apart = passed.join(F.broadcast(usual.withColumnRenamed("of", "of2")), same(F.col("of"), F.col("of2")))
+    bands = apart.groupBy("of").agg(F.percentile_approx(z(F.col("x"), F.col("n")), [0.25, 0.75], 10_000).alias("q"))
     reach = (F.col("q")[1] - F.col("q")[0]) * spread
-    bands = bands.select("_lang", (F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + reach).alias("high"))
-    both = scored.join(bands, F.col(lang).eqNullSafe(F.col("_lang")), "left")
-    inside = (F.col("log_perplexity") >= F.col("low")) & (F.col("log_perplexity") <= F.col("high"))
-    return both.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("_lang")
+    bands = bands.select(F.col("of").alias("of2"), (F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + reach).alias("high"))
+    limits = cut(usual.join(bands, same(F.col("of"), F.col("of2"))).drop("of2"), "bands")
+    packed = limits.select(F.struct(*limits.columns).alias("_limits"))   # one column, so that no name can clash with a caller's
+    name = next(c for c in (f"_limits{'_' * i}" for i in range(1 + len(columns))) if c not in columns)
+    both = scored.join(F.broadcast(packed.withColumnRenamed("_limits", name)), same(F.col(lang), F.col(f"{name}.of")), "left")
+    limit = F.col(name)
+    width = F.nullif(F.sqrt(limit["fixed"] + limit["by_length"] / F.col("n_words")), F.lit(0.0))
+    place = F.coalesce((F.col("log_perplexity") - limit["middle"]) / width, F.lit(0.0))
+    inside = (place >= limit["low"]) & (place <= limit["high"])
+    return both.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop(name)
+
+
+def scatter(texts: DataFrame) -> DataFrame:
+    """(of, middle, fixed, by_length) of every language from rows (of, n, x): the median of x, and its squared interquartile range at n
+    words as fixed + by_length / n. Texts differ from each other by a fixed part, and a mean over n words by a part that falls with n;
+    both follow from the interquartile ranges of the shorter and the longer half."""
+    at = texts.groupBy("of").agg(F.percentile_approx("x", 0.5, 10_000).alias("middle"), F.percentile_approx("n", 0.5, 10_000).alias("half"))
+    halves = texts.join(F.broadcast(at.withColumnRenamed("of", "of2")), F.col("of").eqNullSafe(F.col("of2"))).withColumn("long", F.col("n") > F.col("half"))
+    pick = lambda value, long: F.when(F.col("long") == F.lit(long), value)
+    range2 = lambda long: F.expr(f"power(percentile_approx(if(long = {str(long).lower()}, x, null), 0.75, 10000) - percentile_approx(if(long = {str(long).lower()}, x, null), 0.25, 10000), 2)")
+    both = halves.groupBy("of").agg(F.first("middle").alias("middle"), range2(False).alias("v1"), range2(True).alias("v2"),
+                                    F.avg(pick(1 / F.col("n"), False)).alias("u1"), F.avg(pick(1 / F.col("n"), True)).alias("u2"))
+    slope = F.greatest(F.lit(0.0), F.coalesce((F.col("v1") - F.col("v2")) / F.nullif(F.col("u1") - F.col("u2"), F.lit(0.0)), F.lit(0.0)))
+    both = both.withColumn("by_length", slope)
+    fixed = F.greatest(F.lit(0.0), F.coalesce(F.col("v2") - F.col("by_length") * F.col("u2"), F.col("v1")))
+    return both.select("of", "middle", fixed.alias("fixed"), "by_length")

@@ -223,10 +223,10 @@ def test_rules_are_exact(spark):
     assert perplexity.judge(docs.limit(0), ["doc_id"]).count() == 0
 
 
-def brute_model(words, order):
+def brute_model(texts, order):
     """Interpolated modified Kneser-Ney with counts in dictionaries; returns the probability of an n-gram's last character."""
     grams = Counter()
-    for w in words:
+    for w in texts:
         s = "\x01" * (order - 1) + w + "\x02"
         grams.update(s[i - order : i] for i in range(order, len(s) + 1))
     levels = {order: grams}
@@ -261,12 +261,13 @@ def brute_model(words, order):
 
 def test_perplexity_is_modified_kneser_ney(spark):
     r = random.Random(9)
-    words = ["".join(r.choice("abcdee") for _ in range(r.randint(1, 7))) for _ in range(400)]
-    docs = spark.createDataFrame([(1, " ".join(words[:200]), "xx"), (2, "\n".join(words[200:]), "xx"), (3, "zz zzz q", "yy")], "doc_id long, text string, lang string")
+    words = ["".join(r.choice("abcdee\U0001F600") for _ in range(r.randint(1, 7))) for _ in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(words[:200]), "xx"), (2, "\n\t ".join(words[200:]).upper(), "xx"), (3, "zz zzz q", "yy"), (4, None, "xx"), (5, " ", "xx")],
+                                 "doc_id long, text string, lang string")
     model = perplexity.build_model(docs)
-    p = brute_model(words, perplexity.ORDER)
-    asked = ["abc", "eee", "abcdef", "q", words[0]]
-    for w, got in zip(asked, model.word_scores(asked, "xx")):
+    p = brute_model([" ".join(words[:200]), " ".join(words[200:])], perplexity.ORDER)
+    asked = ["abc eee", "eee", "abcdef q", "q", " ".join(words[:3])]
+    for w, got in zip(asked, model.text_scores(asked, "xx")):
         s = "\x01" * 3 + w + "\x02"
         want = sum(math.log(max(p(s[i - 4 : i]), 1e-9)) for i in range(4, len(s) + 1))
         assert got == pytest.approx(want, abs=1e-3)
