@@ -28,7 +28,18 @@ def build_session(app: str = "canopy", master: str | None = None, shuffle_partit
             builder = builder.config("spark.driver.memory", os.environ.get("CANOPY_LOCAL_MEMORY", "16g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, wherever the driver was started; a session made elsewhere calls it once, or the
+    job is submitted with the package in --py-files."""
+    name = os.path.basename(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="canopy-package-")   # read by the driver alone, which serves it to the workers
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, name), "zip", os.path.dirname(os.path.dirname(os.path.abspath(__file__))), name))
 
 
 def shared_dir(spark: SparkSession) -> str:
