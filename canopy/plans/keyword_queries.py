@@ -26,28 +26,30 @@ GRAMS_SQL = """pos AS (
 runs AS (
   SELECT domain, id_content, tok AS a, lead(tok, 1) OVER w AS b, lead(tok, 2) OVER w AS c FROM pos
   WINDOW w AS (PARTITION BY comment_id ORDER BY i)),
-per_id AS (
+per_id AS MATERIALIZED (
   SELECT domain, id_content, 1 AS size, a AS gram, count(*) AS n FROM runs GROUP BY ALL
   UNION ALL SELECT domain, id_content, 2, a || ' ' || b, count(*) FROM runs WHERE b IS NOT NULL GROUP BY ALL
   UNION ALL SELECT domain, id_content, 3, a || ' ' || b || ' ' || c, count(*) FROM runs WHERE c IS NOT NULL
   GROUP BY ALL),
-stats AS (SELECT domain, size, gram, sum(n)::BIGINT AS n, count(*) AS articles FROM per_id GROUP BY ALL),
+stats AS MATERIALIZED (SELECT domain, size, gram, sum(n)::BIGINT AS n, count(*) AS articles FROM per_id GROUP BY ALL),
 tot AS (SELECT domain, sum(n) FILTER (size = 1) AS nw, sum(n) FILTER (size = 2) AS np FROM per_id GROUP BY ALL)"""
 PMI_SQL = f"""bi AS (
   SELECT s.domain, s.gram, s.n, s.articles, split_part(s.gram, ' ', 1) AS w1, split_part(s.gram, ' ', 2) AS w2
   FROM stats s WHERE s.size = 2 AND s.n >= 3),
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT bi.*, log2((bi.n / tot.np) / ((u1.n / tot.nw) * (u2.n / tot.nw))) AS pmi
   FROM bi JOIN stats u1 ON u1.domain = bi.domain AND u1.size = 1 AND u1.gram = bi.w1
   JOIN stats u2 ON u2.domain = bi.domain AND u2.size = 1 AND u2.gram = bi.w2
   JOIN tot ON tot.domain = bi.domain
   WHERE {_VALID.format('w1')} AND {_VALID.format('w2')}
     AND log2((bi.n / tot.np) / ((u1.n / tot.nw) * (u2.n / tot.nw))) >= 1.0),
+often AS MATERIALIZED (
+  SELECT domain, gram, n, articles, split_part(gram, ' ', 1) AS a, split_part(gram, ' ', 2) AS b, split_part(gram, ' ', 3) AS c
+  FROM stats WHERE size = 3 AND n >= 3),
 tri AS (
-  SELECT s.domain, s.gram, s.n, s.articles, (p1.pmi + p2.pmi) / 2 AS pmi FROM stats s
-  JOIN pairs p1 ON p1.domain = s.domain AND p1.gram = split_part(s.gram, ' ', 1) || ' ' || split_part(s.gram, ' ', 2)
-  JOIN pairs p2 ON p2.domain = s.domain AND p2.gram = split_part(s.gram, ' ', 2) || ' ' || split_part(s.gram, ' ', 3)
-  WHERE s.size = 3 AND s.n >= 3)"""
+  SELECT s.domain, s.gram, s.n, s.articles, (p1.pmi + p2.pmi) / 2 AS pmi FROM often s
+  JOIN pairs p1 ON p1.domain = s.domain AND p1.w1 = s.a AND p1.w2 = s.b
+  JOIN pairs p2 ON p2.domain = s.domain AND p2.w1 = s.b AND p2.w2 = s.c)"""
 SCORES_SQL = f"""used AS (SELECT domain, w1 AS w FROM pairs UNION SELECT domain, w2 FROM pairs),
 found AS (
   SELECT domain, 'bigram' AS ngram_type, gram, n, articles, pmi FROM pairs
