@@ -15,7 +15,7 @@ from canopy.plans.cleaning_queries import LIGHT_SQL, q
 from canopy.plans.summary_queries import EVENTS_SQL, events, labelled
 from canopy.plans.tables import COMMENTS_SQL, LABELLED_SQL, THREADS_SQL, Catalog, comments, table, threads, utc, with_
 from canopy.session import cut, run_dir
-from canopy.sources import event_files, posts, sinks
+from canopy.sources import event_files, posts, sheets, sinks
 from canopy.streaming import jobs, memory
 
 catalog = Catalog()
@@ -325,6 +325,17 @@ def s6_annotations(spark, sf):
     return posts.read_annotations(spark, [path])
 
 
+@catalog.add("s6_annotation_sheets", "SELECT 'c' || doc_id AS comment_id, quality::VARCHAR AS verified_label, 'nhãn <' || doc_id % 7 || '>' AS note FROM labels WHERE doc_id % 9 <> 0")
+def s6_annotation_sheets(spark, sf):
+    """The annotations as workbooks with blank rows between them, read back."""
+    path = run_dir(spark, "sheets")
+    keep = F.col("doc_id") % 9 != 0
+    note = F.concat(F.lit("nhãn <"), F.col("doc_id") % 7, F.lit(">"))
+    rows = table(spark, sf, "labels").select(*[F.when(keep, c).alias(n) for n, c in (("comment_id", F.concat(F.lit("c"), "doc_id")), ("verified_label", F.col("quality")), ("note", note))])
+    sheets.write_sheets(rows.repartition(3), path)
+    return posts.read_annotations(spark, [path]).select("comment_id", "verified_label", "note")
+
+
 @catalog.add("s7_link_table", "SELECT 'e' || page_id AS event_id, url FROM pages")
 def s7_link_table(spark, sf):
     """Accented headers in another order."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from canopy.functions.text import strip
 from canopy.operators.crawl import canonical_header
 from canopy.operators.ordering import first_row
+from canopy.sources import sheets, versions
 
 REPLY = "struct<comment_id:string,`order`:int,reply_to_id:string,text:string,likes:int>"
 COMMENT = f"struct<comment_id:string,`order`:int,text:string,likes:int,reply_count:int,replies:array<{REPLY}>>"
@@ -76,7 +77,9 @@ def web_events(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_annotations(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Annotation tables as strings, blank rows dropped."""
+    """Annotation tables as strings, blank rows dropped: csv files, or workbooks where a path or the files of a folder end in xlsx."""
+    if all(p.endswith(".xlsx") or versions.has_files(spark, p, ".xlsx") for p in paths):
+        return sheets.read_sheet(spark, paths).drop("file", "row")
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(paths)
     rows = rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
     return rows.na.drop("all")

@@ -46,9 +46,7 @@ def publish(spark: SparkSession, path: str, number: int, content: dict) -> None:
         raise OSError(f"could not publish {target.toString()}")
 
 
-def subfolders(spark: SparkSession, path: str, prefix: str) -> list[str]:
-    """Names of the folders of path that start with prefix; none where path does not exist."""
+def has_files(spark: SparkSession, path: str, suffix: str) -> bool:
+    """Whether path is a folder that holds a file with this ending."""
     fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory() and f.getPath().getName().startswith(prefix))
+    return bool(fs.exists(p) and fs.getFileStatus(p).isDirectory() and any(f.getPath().getName().endswith(suffix) for f in fs.listStatus(p)))
