@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy import vocab
 from canopy.functions.text import blank, squeeze, truthy
-from canopy.operators.ordering import hash_buckets, number_rows, top_rows
+from canopy.operators.ordering import hash_buckets, number_rows, running_sum, top_rows
 from canopy.session import cut
 
 
@@ -108,42 +108,68 @@ def group_split(df: DataFrame, group: str, seed: int = 42, val: float = 0.15, te
     return df.join(ranked.select(group, split.alias("split")), group)
 
 
+FINE = 65536   # groups of one hash bucket of an order, about
+
+
 def fitted_group_split(df: DataFrame, group: str, label: str, val: float = 0.15, test: float = 0.15, tries: int = 300, seed: int = 42) -> DataFrame:
     """Whole groups per split, chosen among seeded orders of the groups: each order is filled greedily (test, then
-    val, then train), and the one whose sizes and label shares come closest to the whole wins. Works on group
-    counts; the orders are independent rows."""
-    per = cut(df.groupBy(group, label).agg(F.count("*").alias("n")), "counts")
-    size = per.groupBy(group).agg(F.sum("n").alias("size"))
-    classes = per.groupBy(label).agg(F.sum("n").alias("all_n")).collect()  # one row per class
-    n_rows = per.agg(F.sum("n").alias("n")).first()["n"]
+    val, then train), and the one whose sizes and label shares come closest to the whole wins.
+
+    A split is a prefix of an order, so no order is sorted: groups are counted by bucket of their draw (sizes and labels, combined
+    before the shuffle), a running sum over the buckets finds the one in which a split ends, and only that bucket's groups are placed
+    one by one. Rows that move: buckets of every try, and the groups of two buckets a try. Only the winner orders all groups.
+    """
+    labels = [r[label] for r in df.select(label).distinct().orderBy(label).collect()]  # one row per class
+    per = df.groupBy(group).agg(F.count("*").alias("size"), F.array(*[F.count_if(F.col(label).eqNullSafe(F.lit(x))) for x in labels]).alias("parts"))
+    per = cut(per, "groups")
+    n_groups, n_rows = per.agg(F.count("*"), F.sum("size")).first()
+    if not n_groups:
+        return df.withColumn("split", F.lit("train"))
+    every = [per.agg(*[F.sum(F.col("parts")[i]) for i in range(len(labels))]).first()[i] / n_rows for i in range(len(labels))]
     t_test, t_val = test * n_rows, val * n_rows
-    orders = size.select(group, "size", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try")).withColumn(
-        "_draw", draw(F.concat_ws("/", "try", group), seed))
-    # Filling "the first split still short" in order takes a prefix: test until its target, then val.
-    done = _running(orders, "size", size.count())
+    digits = 2
+    while 16 ** digits * FINE < n_groups:
+        digits += 1
+    drawn = per.select(group, "size", "parts", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try")).withColumn(
+        "_draw", draw(F.concat_ws("/", "try", group), seed)).withColumn("_bucket", F.substring("_draw", 1, digits))
+    summed = [F.sum("size").alias("size"), F.count("*").alias("groups"), F.array(*[F.sum(F.col("parts")[i]) for i in range(len(labels))]).alias("parts")]
+    tallies = drawn.groupBy("try", "_bucket").agg(*summed)
+    order = Window.partitionBy("try").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(F.sum(c).over(order), F.lit(0))
+    tallies = cut(tallies.select("try", "_bucket", earlier("size").alias("size"), earlier("groups").alias("groups"),
+                                 F.array(*[earlier(F.col("parts")[i]) for i in range(len(labels))]).alias("parts")), "buckets")
+
+    def prefix(ends: DataFrame) -> DataFrame:
+        """(try, size, groups, parts) of the groups that start below each try's end. ends: try, end."""
+        w = Window.partitionBy("try").orderBy(F.desc("_bucket"))
+        last = tallies.join(ends, "try").filter(F.col("size") < F.col("end")).withColumn("_n", F.row_number().over(w)).filter("_n = 1")
+        last = last.select("try", "_bucket", "end", F.col("size").alias("s0"), F.col("groups").alias("g0"), F.col("parts").alias("p0"))
+        opened = drawn.join(F.broadcast(last), ["try", "_bucket"])
+        inside = Window.partitionBy("try").orderBy("_draw", group).rowsBetween(Window.unboundedPreceding, -1)
+        taken = opened.withColumn("before", F.col("s0") + F.coalesce(F.sum("size").over(inside), F.lit(0))).filter(F.col("before") < F.col("end"))
+        out = taken.groupBy("try").agg((F.first("s0") + F.sum("size")).alias("size"), (F.first("g0") + F.count("*")).alias("groups"),
+                                       F.array(*[F.first(F.col("p0")[i]) + F.sum(F.col("parts")[i]) for i in range(len(labels))]).alias("parts"))
+        return cut(out, "prefix")
+
+    tests = prefix(per.sparkSession.range(tries).select(F.col("id").cast("int").alias("try"), F.lit(float(t_test)).alias("end")))
+    both = prefix(tests.select("try", (F.col("size") + F.lit(float(t_val))).alias("end")))
+    sides = tests.select("try", *[F.col(c).alias(f"t_{c}") for c in ("size", "groups", "parts")]).join(both, "try")
+
+    def cost(size: Column, groups: Column, parts: list[Column], target: float) -> Column:
+        apart = sum((F.abs(p / size - share) for p, share in zip(parts, every)), F.lit(0.0))
+        missing = sum((F.when(p == 0, 0.3).otherwise(0.0) for p in parts), F.lit(0.0))
+        return F.when(groups > 0, F.abs(size - target) / n_rows + 0.5 * apart + F.when(groups < 3, 1.0).otherwise(0.0) + missing).otherwise(0.0)
+
+    at = range(len(labels))
+    of_test = cost(F.col("t_size"), F.col("t_groups"), [F.col("t_parts")[i] for i in at], t_test)
+    of_val = cost(F.col("size") - F.col("t_size"), F.col("groups") - F.col("t_groups"), [F.col("parts")[i] - F.col("t_parts")[i] for i in at], t_val)
+    filled = F.when(F.col("groups") > F.col("t_groups"), 2).otherwise(1)
+    best = sides.select("try", F.round(of_test + of_val, 9).alias("cost"), filled.alias("filled"), "t_size").orderBy(F.desc("filled"), "cost", "try").first()
+    chosen = per.select(group, "size").withColumn("_draw", draw(F.concat_ws("/", F.lit(best["try"]), group), seed))
+    done = running_sum(chosen, [], ["_draw", group], hash_buckets("_draw", n_groups), F.col("size"), "upto")
     before = F.col("upto") - F.col("size")
-    tests = cut(done.filter(before < t_test).groupBy("try").agg(F.max("upto").alias("_t")), "tests")
-    placed = done.join(tests, "try", "left").withColumn("split", F.when(before < t_test, "test").when(
-        before - F.coalesce("_t", F.lit(0)) < t_val, "val").otherwise("train"))
-    placed = cut(placed.select("try", group, "size", "split"), "orders")
-    shares = placed.filter("split <> 'train'").join(per, group).groupBy("try", "split", label).agg(F.sum("n").alias("n"))
-    sums = placed.filter("split <> 'train'").groupBy("try", "split").agg(F.sum("size").alias("s"), F.count("*").alias("groups"))
-    every = F.array(*[F.struct(F.lit(r[label]).alias(label), F.lit(r["all_n"]).alias("all_n")) for r in classes])
-    grid = sums.withColumn("c", F.explode(every)).select("try", "split", "s", "groups", "c.*").join(shares, ["try", "split", label], "left").na.fill(0, ["n"])
-    cost = grid.groupBy("try", "split").agg(
-        F.first("s").alias("s"), F.first("groups").alias("groups"),
-        F.sum(F.abs(F.col("n") / F.col("s") - F.col("all_n") / n_rows)).alias("apart"), F.sum(F.when(F.col("n") == 0, 0.3).otherwise(0.0)).alias("missing"))
-    target = F.when(F.col("split") == "test", t_test).otherwise(t_val)
-    each = F.abs(F.col("s") - target) / n_rows + 0.5 * F.col("apart") + F.when(F.col("groups") < 3, 1.0).otherwise(0.0) + F.col("missing")
-    best = cost.groupBy("try").agg(F.round(F.sum(each), 9).alias("cost"), F.count("*").alias("parts")).orderBy(
-        F.col("parts").desc(), "cost", "try").limit(1)
-    return df.join(placed.join(F.broadcast(best.select("try")), "try").select(group, "split"), group)
-
-
-def _running(orders: DataFrame, value: str, groups: int) -> DataFrame:
-    from canopy.operators.ordering import running_sum
-
-    return running_sum(orders, ["try"], ["_draw"], hash_buckets("_draw", groups), F.col(value), "upto")
+    split = F.when(before < t_test, "test").when(before - best["t_size"] < t_val, "val").otherwise("train")
+    return df.join(done.select(group, split.alias("split")), group)
 
 
 def frozen_test(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -86,7 +86,23 @@ def l6_group_split(spark, sf):
     return cu.group_split(labelled(spark, sf), "event_id").select("comment_id", "split")
 
 
-@catalog.add("l7_fitted_split")
+@catalog.add("l7_fitted_split", _L + f""",
+x AS (SELECT comment_id, event_id, label FROM labelled WHERE label IS NOT NULL),
+g AS (SELECT event_id, count(*) AS size FROM x GROUP BY ALL),
+k AS (SELECT label, count(*) AS all_n FROM x GROUP BY ALL),
+n AS (SELECT count(*) AS rows FROM x),
+o AS (SELECT t, event_id, size, sum(size) OVER (PARTITION BY t ORDER BY {_md5("t || '/' || event_id")}, event_id) - size AS before FROM g, range(300) r(t)),
+t AS (SELECT t, sum(size) AS t_size FROM o, n WHERE before < rows * 0.15::DOUBLE GROUP BY t),
+p AS (SELECT t, event_id, size, CASE WHEN before < rows * 0.15::DOUBLE THEN 'test' WHEN before - t_size < rows * 0.15::DOUBLE THEN 'val' ELSE 'train' END AS split FROM o JOIN t USING (t), n),
+s AS (SELECT t, split, sum(size) AS s, count(*) AS groups FROM p WHERE split <> 'train' GROUP BY ALL),
+c AS (SELECT t, split, label, count(*) AS m FROM p JOIN x USING (event_id) WHERE split <> 'train' GROUP BY ALL),
+e AS (
+  SELECT s.t, s.split, abs(any_value(s.s) - any_value(rows) * 0.15::DOUBLE) / any_value(rows)
+    + 0.5 * sum(abs(coalesce(c.m, 0)::DOUBLE / s.s - k.all_n::DOUBLE / rows)) + CASE WHEN any_value(s.groups) < 3 THEN 1.0 ELSE 0.0 END
+    + sum(CASE WHEN coalesce(c.m, 0) = 0 THEN 0.3 ELSE 0.0 END) AS cost
+  FROM s CROSS JOIN k CROSS JOIN n LEFT JOIN c ON c.t = s.t AND c.split = s.split AND c.label = k.label GROUP BY s.t, s.split),
+b AS (SELECT t FROM e GROUP BY t ORDER BY count(*) DESC, round(sum(cost), 9), t LIMIT 1)
+SELECT comment_id, event_id, split FROM x JOIN p USING (event_id) JOIN b USING (t)""")
 def l7_fitted_split(spark, sf):
     """Best of 300 seeded event orders (properties are checked in the tests)."""
     d = labelled(spark, sf).filter("label is not null")
