@@ -31,7 +31,8 @@ def need(total: np.ndarray | int) -> np.ndarray | int:
 
 class PrefixTree:
     """Sets' first n-grams in the global order as paths of a tree; sets with a common beginning share its nodes. A node spans the
-    sets lo to hi of the sorted ones, holds the n-grams start to end of their paths, and the least and most n-grams of its sets."""
+    sets lo to hi of the sorted ones, holds the n-grams start to end of their paths, and the least and most n-grams of its sets. Paths
+    may leave out n-grams that no other set has among its first ones: they match nothing."""
 
     def __init__(self, paths: list[np.ndarray], sizes: np.ndarray):
         self.order = sorted(range(len(paths)), key=lambda i: paths[i].byteswap().tobytes())
@@ -104,13 +105,15 @@ def _tree_pairs(group: pa.Table, first: int | None) -> list[np.ndarray]:
     """(a, b, differing sketch bits, whether closer ones hid others) of the pairs of one group's sets that may be similar. Pairs need
     different sides and labels where the group has them; then only the first closest ones of a set and of two labels are given."""
     column = lambda c: group.column(c).to_numpy()
-    lists = group.column("prefix").combine_chunks()
+    lists = group.column("path").combine_chunks()
     flat, at = lists.flatten().to_numpy().view(np.uint64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
     paths = [flat[a:b] for a, b in zip(at, at[1:])]
     tree = PrefixTree(paths, column("n").astype(np.int64))
     ids, sizes = column("node")[tree.order], tree.sizes
     bits = np.stack([column(s) for s in SKETCH], axis=1)[tree.order].view(np.uint64)
-    wider = np.stack([np.frombuffer(x, np.uint64) for x in group.column("wider").to_pylist()])[tree.order]
+    wider = None
+    if "wider" in group.column_names:
+        wider = np.stack([np.frombuffer(x, np.uint64) for x in group.column("wider").to_pylist()])[tree.order]
     tags = [column(c)[tree.order] for c in ("side", "label") if c in group.column_names]
     rows = [np.zeros((3, 0), np.int64)]
     for i in range(1, len(ids)):
@@ -120,7 +123,7 @@ def _tree_pairs(group: pa.Table, first: int | None) -> list[np.ndarray]:
         for t in tags:
             allowed &= t[:i] != t[i]
         near = np.flatnonzero(allowed)
-        if len(near):   # a wider sketch leaves few pairs that are not similar
+        if wider is not None and len(near):   # it leaves few pairs that are not similar
             apart[near] = np.bitwise_count(wider[near] ^ wider[i]).sum(axis=1, dtype=np.int64)
             allowed[near] = apart[near] <= n + m[near] - 2 * need(n + m[near])
         if allowed.any():
@@ -139,8 +142,9 @@ def _tree_pairs(group: pa.Table, first: int | None) -> list[np.ndarray]:
 
 
 def _joined(groups: DataFrame, nodes: DataFrame, keys: list[str], first: int | None = None) -> DataFrame:
-    """(a, b, apart, hidden) from all groups (keys, node, maybe side and label): a prefix tree per group, in sorted partitions."""
-    members = groups.join(nodes.select("node", "n", "prefix", "wider", *SKETCH), "node")
+    """(a, b, apart, hidden) from all groups (keys, node, maybe side and label): a prefix tree per group, in sorted partitions. nodes
+    has what a tree needs of a set: n, path, the sketch, maybe a wider one."""
+    members = groups.join(nodes, "node")
     packed = members.repartition(*keys).sortWithinPartitions(*keys)
 
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -222,7 +226,7 @@ def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
     return cut(every.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "label")
 
 
-def _meet(heavy: DataFrame, label: DataFrame, nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+def _meet(heavy: DataFrame, label: DataFrame, nodes: DataFrame, paths: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """label with the groups merged that long lists link. Rounds: the closest candidates of each set and of two groups are verified and
     groups merged, so that a group of near copies does not make all its pairs; each round allows more, until none is hidden."""
     tried, first, once = None, 2, True
@@ -230,7 +234,7 @@ def _meet(heavy: DataFrame, label: DataFrame, nodes: DataFrame, rows: DataFrame,
         blocks = _open_blocks(heavy, label, once)
         if blocks is None:
             return label
-        found = cut(_joined(blocks, nodes, ["key", "i", "j"], first), "found")
+        found = cut(_joined(blocks.select("key", "i", "j", "side", "node", "label"), paths, ["key", "i", "j"], first), "found")
         fresh = found.select("a", "b").distinct()
         fresh = cut(fresh.join(tried, ["a", "b"], "left_anti") if tried is not None else fresh, "fresh")
         if fresh.limit(1).count():
@@ -280,7 +284,9 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     light, heavy = (listed.filter(c).drop("size") for c in (F.col("size") <= LIGHT, F.col("size") > LIGHT))
     anchor = light.groupBy("key").agg(F.min(F.struct("node", "p")).alias("at"))
     groups = light.join(anchor, "key").select(F.col("at.node").alias("anchor"), F.floor(F.col("at.p") / CHUNK).alias("part"), "node").distinct()
-    candidates = _joined(groups, nodes, ["anchor", "part"]).drop("hidden")
+    path = listed.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "key"))), lambda x: x["key"]).alias("path"))
+    paths = cut(nodes.join(path, "node").select("node", "n", "path", "wider", *SKETCH), "paths")
+    candidates = _joined(groups, paths.drop("wider"), ["anchor", "part"]).drop("hidden")
     some = heavy.limit(1).count() > 0
     if some:
         lead = top_rows(heavy, ["key"], ["node"], LEADERS)
@@ -293,12 +299,12 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     more = candidates.join(named("a"), "a", "left").join(named("b"), "b", "left").filter(apart).select("a", "b")
     label = _relabelled(label, _verified(more, nodes, rows, width))
     if some:
-        label = _meet(heavy, label, nodes, rows, width)
+        label = _meet(heavy, label, nodes, paths, rows, width)
 
     grouped = heads.select("node", "first").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
     where = cut(grouped.join(smallest, "label").select(F.col("node"), "component_id"), "groups")
-    discard(nodes, listed, candidates)
+    discard(nodes, listed, paths, candidates)
     full = prints.select("doc_id", "n", "node").filter("n > 0").join(where, "node").select("doc_id", "n", "component_id")
     none = prints.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return full.unionByName(none).select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
