@@ -53,7 +53,7 @@ def test_groups_are_those_of_all_pairs(spark, monkeypatch, light, block):
     word = lambda: r.choice("abcdefgh") + str(r.randint(0, 400))
     common = [word() for _ in range(30)]
     texts = [None, "", " \t", "One two", "ONE  two", "é É", "a b c d e", "a b c d e f"]
-    for _ in range(5):
+    for _ in range(3 if light == 2 else 5):
         w = [word() for _ in range(r.choice([40, 120, 300]))]
         for _ in range(24):  # chains: each text is an edit of an earlier one
             if r.random() < 0.5:
