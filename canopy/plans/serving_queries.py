@@ -250,10 +250,10 @@ def u2_scaled_copies(spark, sf):
     return d.select(F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), "doc_id", "source").select(F.concat(F.col("doc_id"), F.lit("_x"), F.col("k")).alias("id"), "source")
 
 
-@catalog.add("u6_merged_domains", "SELECT lang, count(*) AS n, count(n_chars) AS n_sized FROM (SELECT lang, n_chars FROM documents WHERE lang = 'en' UNION ALL SELECT lang, NULL FROM documents WHERE lang <> 'en') GROUP BY ALL")
+@catalog.add("u6_merged_domains", "SELECT lang, count(*) AS n, count(n_chars) AS n_sized FROM (SELECT lang, n_chars FROM documents WHERE lang = 'en' UNION ALL SELECT lang, NULL FROM documents WHERE lang IS DISTINCT FROM 'en') GROUP BY ALL")
 def u6_merged_domains(spark, sf):
     d = table(spark, sf, "documents")
-    both = d.filter("lang = 'en'").unionByName(d.filter("lang <> 'en'").drop("n_chars"), allowMissingColumns=True)
+    both = d.filter("lang = 'en'").unionByName(d.filter("not lang <=> 'en'").drop("n_chars"), allowMissingColumns=True)
     return both.groupBy("lang").agg(F.count("*").alias("n"), F.count("n_chars").alias("n_sized"))
 
 
