@@ -111,9 +111,7 @@ def _tree_pairs(group: pa.Table, first: int | None) -> list[np.ndarray]:
     tree = PrefixTree(paths, column("n").astype(np.int64))
     ids, sizes = column("node")[tree.order], tree.sizes
     bits = np.stack([column(s) for s in SKETCH], axis=1)[tree.order].view(np.uint64)
-    wider = None
-    if "wider" in group.column_names:
-        wider = np.stack([np.frombuffer(x, np.uint64) for x in group.column("wider").to_pylist()])[tree.order]
+    wider = np.stack([np.frombuffer(x, np.uint64) for x in group.column("wider").to_pylist()])[tree.order]
     tags = [column(c)[tree.order] for c in ("side", "label") if c in group.column_names]
     rows = [np.zeros((3, 0), np.int64)]
     for i in range(1, len(ids)):
@@ -123,7 +121,7 @@ def _tree_pairs(group: pa.Table, first: int | None) -> list[np.ndarray]:
         for t in tags:
             allowed &= t[:i] != t[i]
         near = np.flatnonzero(allowed)
-        if wider is not None and len(near):   # it leaves few pairs that are not similar
+        if len(near):   # the wider sketch leaves few pairs that are not similar
             apart[near] = np.bitwise_count(wider[near] ^ wider[i]).sum(axis=1, dtype=np.int64)
             allowed[near] = apart[near] <= n + m[near] - 2 * need(n + m[near])
         if allowed.any():
@@ -143,7 +141,7 @@ def _tree_pairs(group: pa.Table, first: int | None) -> list[np.ndarray]:
 
 def _joined(groups: DataFrame, nodes: DataFrame, keys: list[str], first: int | None = None) -> DataFrame:
     """(a, b, apart, hidden) from all groups (keys, node, maybe side and label): a prefix tree per group, in sorted partitions. nodes
-    has what a tree needs of a set: n, path, the sketch, maybe a wider one."""
+    has what a tree needs of a set: n, path, the sketch and a wider one."""
     members = groups.join(nodes, "node")
     packed = members.repartition(*keys).sortWithinPartitions(*keys)
 
@@ -286,7 +284,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     groups = light.join(anchor, "key").select(F.col("at.node").alias("anchor"), F.floor(F.col("at.p") / CHUNK).alias("part"), "node").distinct()
     path = listed.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "key"))), lambda x: x["key"]).alias("path"))
     paths = cut(nodes.join(path, "node").select("node", "n", "path", "wider", *SKETCH), "paths")
-    candidates = _joined(groups, paths.drop("wider"), ["anchor", "part"]).drop("hidden")
+    candidates = _joined(groups, paths, ["anchor", "part"]).drop("hidden")
     some = heavy.limit(1).count() > 0
     if some:
         lead = top_rows(heavy, ["key"], ["node"], LEADERS)
