@@ -23,6 +23,8 @@ PACK_FILES, PACK_BYTES = 1000, 64 << 20   # files and bytes of one reading task,
 def _fs(path: str):
     from pyarrow import fs
 
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
