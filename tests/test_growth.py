@@ -76,6 +76,27 @@ def test_phrases_and_frequencies_without_documents(spark):
     assert same(kw.phrase_pmi(docs, ["domain"], 3)) == same(kw.trigram_pmi(stats, pairs, ["domain"]))
 
 
+def test_details_build_only_grams_that_begin_like_a_chosen_one(spark):
+    docs = kw.add_tokens(spark.createDataFrame([("d", 1, "alpha_one beta gamma alpha beta"), ("d", 2, "gamma alpha_one beta alpha"), (None, 3, "alpha beta")],
+                                               "domain string, doc long, text string"))
+    chosen = spark.createDataFrame([("d", "alpha one beta"), ("d", "gamma")], "domain string, keyword string")
+    grams = kw.candidate_grams(docs, ["domain"], "doc", chosen.withColumnRenamed("keyword", "gram"))
+    assert {r["gram"].split()[0] for r in grams.collect()} == {"alpha_one", "alpha", "gamma"}
+    got = kw.keyword_details(docs, chosen, ["domain"], "doc").collect()
+    assert sorted((r["keyword"], r["doc"], r["n"]) for r in got) == [("alpha one beta", 1, 1), ("alpha one beta", 2, 1), ("gamma", 1, 1), ("gamma", 2, 1)]
+
+
+def test_single_spaces_and_plain_letters_meet_no_slow_regex(odd):
+    plan = odd.select(tk.tokens(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z ") >= 1 and "&&[^ ]]+" in plan and "octet_length" not in plan
+    shown = odd.select(tk.shown(F.col("text")).alias("s"), F.translate("text", "_", " ").alias("t")).collect()
+    assert all(r["s"] == r["t"] for r in shown)
+    for word in ["abc", "zoo", "éab", "{ab", "a12", "123", "1b2", "½½½", "---", "httpx", "wwwx", "ab", None]:
+        ok = odd.limit(1).select(tk.valid_token(F.lit(word))).first()[0]
+        want = None if word is None else len(word) > 2 and not word.startswith(("http", "www")) and (any(x.isalpha() for x in word) or "½" in word)
+        assert ok == want, word
+
+
 def test_scored_queries_are_those_of_every_twentieth_conversation(spark, tmp_path):
     spark.range(100).select(F.expr("id div 2 as conv_id"), F.expr("id % 2 as turn"), F.lit("user").alias("role"), F.lit("a b").alias("text")).write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted(r["query_id"] for r in search_queries.asked(spark, str(tmp_path)).collect())
