@@ -51,6 +51,30 @@ def test_near_copies_equal_the_walk(spark, monkeypatch):
         assert {r["seq"] for r in near_copies.drop_near_copies(df).collect()} == want
 
 
+def test_rounds_that_decide_few_rows_end(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(seq, " ".join(rng.sample([f"w{i}" for i in range(14)], rng.randrange(5, 11)))) for seq in range(80)]  # unlike texts of common words
+    rows += [(None, "w1 w2 w3"), (200, ""), (201, None)]
+    df = spark.createDataFrame(rows, "seq long, text string")
+    monkeypatch.setattr(near_copies, "BUCKET", 3)
+    monkeypatch.setattr(near_copies, "PROGRESS", 0.5)
+    asked, crowded = [], near_copies._crowded
+    monkeypatch.setattr(near_copies, "_crowded", lambda open_: asked.append(1) or crowded(open_))
+    got = {r["seq"] for r in near_copies.drop_near_copies(df).collect()}
+    assert got - {None} == brute([(s, t or "") for s, t in rows if s is not None]) and len(asked) <= 3
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_words(spark):
+    rng = random.Random(7)
+    sets = [sorted(rng.sample([f"w{i}" for i in range(60)], rng.randrange(1, 40))) for _ in range(30)]
+    marks = {r["seq"]: r for r in near_copies.sketches(spark.createDataFrame(list(enumerate(sets)), "seq long, words array<string>")).collect()}
+    for i, a in enumerate(sets):
+        assert marks[i]["n"] == len(a)
+        for j, b in enumerate(sets):
+            apart = sum(((marks[i][f"s{k}"] ^ marks[j][f"s{k}"]) & (2**64 - 1)).bit_count() for k in range(near_copies.SKETCH))
+            assert apart <= len(set(a) ^ set(b))
+
+
 @pytest.mark.parametrize("block_terms", [40, 400_000])
 def test_scores_and_matches(spark, monkeypatch, block_terms):
     monkeypatch.setattr(search, "BLOCK_TERMS", block_terms)
