@@ -12,7 +12,7 @@ from canopy.functions.noise import is_strict_noise
 from canopy.functions.text import squeeze, strip
 from canopy.operators.ordering import buckets, number_rows, spread_rows
 from canopy.operators.tree import tree_paths
-from canopy.session import cut
+from canopy.session import cut, spread
 
 SPAN = 65_536
 
@@ -81,10 +81,10 @@ def pack_threads(sizes: DataFrame, limit: int = vocab.MAX_PER_REQUEST, span: int
             at = int(after[at])
         return pdf[["event_id", "root_id", "size", "pos"]].assign(batch=int(pdf["before"].iloc[0]) + np.cumsum(opens))
 
-    probed = rows.groupBy("event_id", "span").applyInPandas(
+    probed = spread(rows, "event_id", "span").groupBy("event_id", "span").applyInPandas(
         probe, "event_id string, span long, leaves array<int>, opened array<long>")
-    chained = probed.groupBy("event_id").applyInPandas(chain, "event_id string, span long, fill int, before long")
-    return rows.join(chained, ["event_id", "span"]).groupBy("event_id", "span").applyInPandas(
+    chained = spread(probed, "event_id").groupBy("event_id").applyInPandas(chain, "event_id string, span long, fill int, before long")
+    return spread(rows.join(chained, ["event_id", "span"]), "event_id", "span").groupBy("event_id", "span").applyInPandas(
         replay, "event_id string, root_id string, size long, pos long, batch long")
 
 
@@ -103,13 +103,13 @@ def expected_requests(threads: DataFrame, packed: DataFrame, domain: DataFrame)
 # --- request texts -------------------------------------------------------------------------------
 def request_members(threads: DataFrame, packed: DataFrame) -> DataFrame:
     """Every node of a packed thread with its request and local id K<thread>.<node>, counted inside the request
-    and in depth-first order inside the thread."""
+    and in depth-first order inside the thread. The result is staged, as what follows reads it several times."""
     w = Window.partitionBy("event_id", "batch").orderBy("pos")  # a request holds at most `limit` threads
     heads = packed.withColumn("k", F.row_number().over(w)).select("event_id", "root_id", "batch", "k")
     walk = spread_rows(tree_paths(threads), ["event_id"], ["path"], "dfs")
     starts = walk.filter(F.col("comment_id") == F.col("root_id")).select("event_id", "root_id", F.col("dfs").alias("start"))
     m = walk.join(heads, ["event_id", "root_id"]).join(starts, ["event_id", "root_id"]).withColumn("n", F.col("dfs") - F.col("start"))
-    return m.withColumn("local_id", F.concat(F.lit("K"), "k", F.lit("."), "n"))
+    return cut(m.withColumn("local_id", F.concat(F.lit("K"), "k", F.lit("."), "n")), "members")
 
 
 def request_lines(members: DataFrame) -> DataFrame:
@@ -165,7 +165,9 @@ def unwrapped(c: Column) -> Column:
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
-    """Adds groups: array of {cluster, summary, comments}. Broken JSON is salvaged item by item."""
+    """Adds groups: array of {cluster, summary, comments}. Broken JSON is salvaged item by item. The result is staged, so
+    that no later filter on groups parses the responses again."""
+    responses = spread(responses, "event_id", "batch")
     t = unwrapped(F.col("response"))
     body = F.regexp_extract(t, r"(?s)\{.*\}", 0)
     out = responses.withColumn("_t", t).withColumn("_a", F.from_json(body, ANSWER, LOOSE))
@@ -177,7 +179,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     heads = F.zip_with(names, texts, lambda a, b: F.struct(a.alias("cluster"), b.alias("summary"), no_items.alias("comments")))
     salvaged = F.concat(heads, F.array(F.struct(
         F.lit("").alias("cluster"), F.lit(None).cast("string").alias("summary"), items.alias("comments"))))
-    return out.withColumn("groups", F.coalesce(whole, salvaged)).drop("_t", "_a")
+    return cut(out.withColumn("groups", F.coalesce(whole, salvaged)).drop("_t", "_a"), "parsed")
 
 
 def decode(value: Column, codes: dict[str, str]) -> Column:

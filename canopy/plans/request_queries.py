@@ -9,6 +9,7 @@ from canopy.operators import tree
 from canopy.plans.cleaning_queries import STRICT_SQL
 from canopy.plans.tables import THREADS_SQL, Catalog, threads, with_
 from canopy.plans.tree_queries import ROOTS_SQL
+from canopy.session import cut
 
 catalog = Catalog()
 
@@ -28,7 +29,8 @@ pack AS (
 
 
 def built(spark, sf):
-    return rq.add_rule_noise(tree.build_threads(threads(spark, sf)).drop("parent_id"))
+    """Threads with rule noise, staged: several steps read them, and the noise rules are the dear part."""
+    return cut(rq.add_rule_noise(tree.build_threads(threads(spark, sf)).drop("parent_id")), "built")
 
 
 def built_text(spark, sf):

@@ -152,3 +152,18 @@ def test_chunks_are_read_at_any_size(spark):
     for chunk in (10, 1000):
         flat = tree.flatten_chunks(tree.nest(threads, chunk)).collect()
         assert {(r["event_id"], r["comment_id"]): (r["parent_id"], r["level"], r["text"]) for r in flat} == want and len(flat) == 85
+
+
+def test_request_steps_are_staged(spark, tmp_path):
+    from canopy.plans import request_queries as q
+
+    rows = [(c, t, "user", f"a sentence of turn {t} that says enough") for c in range(40) for t in range(5)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    t, _, m = q.members(spark, str(tmp_path))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    # What several steps read is computed once: noise rules, packing and the walk are in no later plan.
+    assert "Window" not in plan(t) and "Join" not in plan(t)
+    assert "FlatMapGroupsInPandas" not in plan(m) and "Window" not in plan(m)
+    parsed = requests.parse_responses(q.answers(m))
+    assert "from_json" not in plan(parsed) and "jsontostructs" not in plan(parsed)
+    assert m.count() == 200 and parsed.count() == m.select("event_id", "batch").distinct().count()
