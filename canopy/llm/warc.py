@@ -9,7 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canopy.session import cut
@@ -150,6 +150,9 @@ def deduplicate(pages: DataFrame, path: str, key: str = "page_id", url: str = "u
     files = max(2, math.ceil((headers.agg(F.sum("payload_bytes")).first()[0] or 0) / FILE_BYTES))
     place = F.concat_ws("|", F.col("payload_digest"), F.col("key").cast("string"))
     again = resolve_revisits(headers, "key", least).filter("record_type = 'revisit'").select(place.alias("place"), "refers_to").distinct()
-    rows = full.withColumn("place", place).repartition(files, "place").join(again.repartition(files, "place"), "place", "left")
+    # What headers were resolved to travels among the payloads: a join may deal them once more, in as many parts as other shuffles have.
+    both = full.withColumns({"place": place, "refers_to": F.lit(None).cast(headers.schema["key"].dataType), "page": F.lit(True)}).unionByName(
+        again.withColumn("page", F.lit(False)), allowMissingColumns=True).repartition(files, "place")
+    rows = both.withColumn("refers_to", F.max("refers_to").over(Window.partitionBy("place"))).filter("page")
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
     write_archives(rows.withColumn("record_type", kind), path, "key", "url")

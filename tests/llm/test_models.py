@@ -1,5 +1,6 @@
 """op2, op4, op5, op6 and op7 against brute force, round trips and held-out rows."""
 
+import re
 import base64
 import glob
 import gzip
@@ -300,3 +301,21 @@ def test_bands_follow_each_language(spark):
     labels = {x["doc_id"]: x["quality"] for x in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     low = [x for i, x in rows.items() if labels.get(i) == 0 and not x["base_failed"]]
     assert sum(not x["kept"] for x in low) >= len(low) / 4
+
+
+def test_payloads_are_dealt_once(spark, tmp_path, monkeypatch):
+    seen = []
+    write = warc.write_archives
+    monkeypatch.setattr(warc, "write_archives", lambda rows, *a: (seen.append(rows), write(rows, *a)))
+    pages = spark.createDataFrame([(1, "u", "x" * 40), (2, "u", "x" * 40), (2, "v", "y"), (None, "w", "x" * 40), (3, None, None)], "page_id long, url string, html string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        warc.deduplicate(pages, str(tmp_path / "w"))
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert len(re.findall(r"Exchange hashpartitioning\(place#\d+, \d+\)", plan)) == 1
+    got = {(x["record_id"], x["record_type"], x["refers_to_id"]) for x in warc.restore(warc.read_archives(spark, str(tmp_path / "w"))).collect()}
+    name = "<urn:record:{}>".format
+    assert got == {(name(1), "revisit", name(2)), (name(2), "response", None), (name("none"), "revisit", name(2)), (name(3), "response", None)}
