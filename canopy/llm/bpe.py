@@ -153,6 +153,16 @@ def _unpack(text: str | None, raw: bytes | None) -> Run | None:
     return Run(text, ids, starts.astype(np.int64), ends.astype(np.int64))
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Token ids in two bytes each where all fit (first byte 2), else in four."""
+    wide = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    return bytes([wide]) + ids.astype(np.uint16 if wide == 2 else np.int32).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if raw[0] == 2 else np.int32, offset=1).astype(np.int32)
+
+
 def _list_array(ids: list[np.ndarray]) -> pa.ListArray:
     offsets = np.zeros(len(ids) + 1, np.int32)
     np.cumsum([len(x) for x in ids], out=offsets[1:])
@@ -197,7 +207,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
             rows = []
             for digest, place, piece in zip(f["digest"], f["place"], f["piece"]):
                 p = encode_part(pieces, piece)
-                middle = (np.concatenate(p.middle) if p.middle else np.zeros(0, np.int32)).astype(np.int32).tobytes()
+                middle = _packed(np.concatenate(p.middle) if p.middle else np.zeros(0, np.int32))
                 rows.append((digest, place, middle, *_pack(p.head), *_pack(p.tail), p.whole))
             yield pd.DataFrame(rows, columns=["digest", "place", "middle", "head_text", "head", "tail_text", "tail", "whole"])
 
@@ -205,10 +215,18 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
         pieces = loaded(shipped.value, version)
         parts = []
         for r in f.sort_values("place").itertuples():
-            middle = np.frombuffer(r.middle, np.int32)
+            middle = _unpacked(r.middle)
             parts.append(Part(_unpack(r.head_text, r.head), [middle] if len(middle) else [], _unpack(r.tail_text, r.tail), bool(r.whole)))
-        whole = join_tree(pieces, parts).ids()
-        return pd.DataFrame({"digest": [f["digest"].iloc[0]], "ids": [whole], "decoded": [pieces.decode([whole])[0]]})
+        return pd.DataFrame({"digest": [f["digest"].iloc[0]], "ids": [_packed(join_tree(pieces, parts).ids())]})
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = loaded(shipped.value, version)
+        for batch in batches:
+            raw = batch.column(len(kept))
+            for a, b in chunks(pc.binary_length(raw).to_numpy(zero_copy_only=False), BATCH_BYTES // 8):
+                got = [_unpacked(x) for x in raw.slice(a, b - a).to_pylist()]
+                back = [pa.array(pieces.decode(got), pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(kept)], _list_array(got), *back], [*kept, *made])
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -221,9 +239,11 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     distinct = long.select(F.col("_digest").alias("digest"), content.alias("content")).dropDuplicates(["digest"])
     pieces_of = distinct.mapInPandas(cut, "digest binary, place int, piece string").repartition("digest", "place")
     parts = pieces_of.mapInPandas(encode_parts, PART_SCHEMA)
-    joined = parts.groupBy("digest").applyInPandas(join_text, "digest binary, ids array<int>, decoded string").toDF("_key", "_ids", "_text")
-    found = long.select(*[F.col(f"`{c}`") for c in kept], "_digest").join(joined, F.col("_digest") == F.col("_key"), "left")
-    long_ids = found.select(*[F.col(f"`{c}`") for c in kept], F.col("_ids").alias(ids), *([F.col("_text").alias(decoded)] if decoded else []))
+    joined = parts.groupBy("digest").applyInPandas(join_text, "digest binary, ids binary").toDF("_key", "_ids")
+    # Packed ids alone are moved to the rows; they become lists and text in the pass behind the join, which has one form
+    # at every size.
+    found = long.select(*[F.col(f"`{c}`") for c in kept], "_digest").join(joined.hint("merge"), F.col("_digest") == F.col("_key"))
+    long_ids = found.select(*[F.col(f"`{c}`") for c in kept], "_ids").mapInArrow(finish, schema)
     return short.unionByName(long_ids)
 
 

@@ -84,3 +84,18 @@ def test_round_trip_of_short_and_long_texts(spark):
     for i, t in enumerate(texts):
         ids = tok.encode(t or "", add_special_tokens=False).ids
         assert got[i] == (ids, tok.decode(ids, skip_special_tokens=False))
+
+
+def test_ids_of_long_texts_travel_packed(spark):
+    import numpy as np
+
+    for ids in ([], [0, 65535], [65536, 1, 2**31 - 1]):
+        packed = bpe._packed(np.array(ids, np.int32))
+        assert bpe._unpacked(packed).tolist() == ids and len(packed) == 1 + len(ids) * (2 if max(ids, default=0) < 65536 else 4)
+    docs = spark.createDataFrame([(1, "ab cd " * 9), (2, "ab cd " * 9), (3, None), (4, "x")], "doc_id long, text string")
+    coded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded="decoded", keep=["doc_id"], leaf=16)
+    got = {x["doc_id"]: (x["ids"], x["decoded"]) for x in coded.collect()}
+    assert got[1] == got[2] and len(got[1][0]) >= 18 and got[3] == ([], "")
+    # Neither lists nor decoded texts are shuffled: what the groups give is packed.
+    plan = coded._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert any("FlatMapGroupsInPandas" in x and x.rstrip().endswith("]") and ", ids#" in x and "decoded#" not in x for x in plan)
