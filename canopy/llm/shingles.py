@@ -1,4 +1,4 @@
-"""Near-duplicate groups of texts by the Jaccard similarity of their word shingles: an exact prefix-filtered join."""
+"""Near-duplicate groups of texts: SimHash groups, checked and completed by an exact prefix-filtered Jaccard join."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from canopy.llm.bpe import pa_fields
 from canopy.llm.components import components
 from canopy.llm.line_dedup import _level, _slot, _table
+from canopy.llm.simhash import near_duplicates
 from canopy.llm.tokenizer import chunks
 from canopy.operators.ordering import top_rows
 from canopy.session import cut, discard
@@ -126,12 +127,21 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -
     return found
 
 
+def _alike(rows: DataFrame, prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that SimHash's index groups together: each group's smallest node with its others."""
+    groups = near_duplicates(rows, "text", "row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("grp"))
+    member = cut(prints.select("row", "node").join(groups, "row").select("grp", "node").distinct(), "groups")
+    least = member.groupBy("grp").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return member.join(least, "grp").filter("node <> a").select("a", F.col("node").alias("b"))
+
+
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """docs with one row of each near-duplicate group: that with the smallest id (null ids last), of equal ids the first
     by content.
 
     Texts are linked if the sets of their shingles have a Jaccard similarity of 0.8 or more, and groups are what is
-    reachable over links; shingles are compared as 64-bit hashes. Equal sets are one node, so copies, however many, make
+    reachable over links. The groups of the SimHash operator come first, each member checked against its group's first;
+    as no distance of fingerprints tells a Jaccard similarity, the prefix filter then finds what they miss. Shingles are compared as 64-bit hashes. Equal sets are one node, so copies, however many, make
     no pairs; texts without words are one group. Every text's shingles are ordered alike, and similar sets share one of
     their first fifth (the prefix). Texts that share a prefix shingle are compared pair by pair in lists of up to LIGHT;
     in longer lists all meet the list's LEADERS first, and then only those that are not in one group yet meet each other.
@@ -159,7 +169,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     sizes = listed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     listed = cut(listed.join(sizes, "key"), "lists")
     light, heavy = listed.filter(F.col("size") <= LIGHT).drop("size"), listed.filter(F.col("size") > LIGHT).drop("size")
-    pairs = _pairs(light, light, F.col("node_a") < F.col("node_b"))
+    pairs = _pairs(light, light, F.col("node_a") < F.col("node_b")).unionByName(_alike(rows, prints))
     some = heavy.limit(1).count() > 0
     if some:
         pairs = pairs.unionByName(_pairs(top_rows(heavy, ["key"], ["node"], LEADERS), heavy, F.lit(True)))
@@ -176,7 +186,14 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     label = components(links)
     best = heads.join(label, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("at").alias("at"))
     best = cut(best.select(F.col("at.row").alias("_row")), "best")
-    kept = docs.withColumn("_row", F.xxhash64(doc_id, text)).join(best, "_row", "left_semi")
-    kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).filter("_n = 1").drop("_n", "_row")
+    # Rows that stay and have no copy need no join: a fixed-size table of the others' slots tells most of them.
+    single = prints.groupBy("row").agg(F.count("*").alias("n")).join(best.withColumnRenamed("_row", "row").withColumn("best", F.lit(True)), "row", "left")
+    other = single.filter("best is null or n > 1")
+    marks = _table(other.groupBy(_slot(F.col("row")).alias("slot")).agg(F.count("*").alias("n")))
+    marked = docs.withColumn("_row", F.xxhash64(doc_id, text)).withColumn("_t", marks.scalar())
+    marked = marked.withColumn("_some", _level("_t", F.col("_row")) > 1).drop("_t")
+    few = marked.filter("_some").join(best, "_row", "left_semi")
+    few = few.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).filter("_n = 1")
+    kept = marked.filter("not _some").select(*docs.columns).unionByName(few.select(*docs.columns))
     discard(prints, heads, nodes, listed)
     return kept

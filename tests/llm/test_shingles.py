@@ -59,3 +59,18 @@ def test_near_dedup_of_repeated_ids(spark):
     assert sorted((x["doc_id"] or 0, x["text"]) for x in got) == [(0, "alone"), (0, "x y z w"), (3, "p q r s"), (5, "other words are here")]
     none = spark.createDataFrame([], "doc_id long, text string")
     assert cp.near_dedup(spark, none, "").count() == 0
+
+
+def test_simhash_groups_come_first(spark, monkeypatch):
+    r = random.Random(3)
+    words = [f"w{r.randint(0, 9999)}" for _ in range(900)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["other"]), " ".join(f"v{r.randint(0, 9999)}" for _ in range(900))]
+    called, operator = [], shingles.near_duplicates
+    monkeypatch.setattr(shingles, "near_duplicates", lambda *a: called.append(a) or operator(*a))
+    found = []
+    check = shingles._verified
+    monkeypatch.setattr(shingles, "_verified", lambda pairs, *a: found.append(pairs.distinct().count()) or check(pairs, *a))
+    monkeypatch.setattr(shingles, "_pairs", lambda left, right, extra: left.select("node", "node").toDF("a", "b").limit(0))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # Without the prefix filter, the index alone names the pair of near copies.
+    assert sorted(x["doc_id"] for x in cp.near_dedup(spark, docs, "").collect()) == [0, 2] and len(called) == 1 and found[0] == 1
