@@ -123,12 +123,15 @@ def apply_mix(docs: DataFrame, weights: list[int], share: float = 1.5, limit: in
     columns = docs.columns
     sized = docs.select("doc_id", key.alias("key"), "source", word_count("text").alias("size"))
     _, plan = mix(sized, ["doc_id", "key"], weights, share, limit)
-    copy = lambda *more: F.row_number().over(Window.partitionBy("doc_id", "key", "source").orderBy(*more))
+    # One key, never null, for what tells rows apart: the join and the window by it need a single shuffle of the texts.
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    place = lambda k: F.unhex(F.sha2(F.concat_ws("|", named("doc_id"), k, named("source")), 256))
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    plan = plan.withColumn("copy", copy("start")).withColumn("times", times).filter("times > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("copy").alias("_copy"), "times")
-    own = docs.withColumn("key", key).withColumn("copy", copy("n_chars" if "n_chars" in columns else "doc_id"))
-    on = (F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & F.col("source").eqNullSafe(F.col("_source"))
-          & (F.col("copy") == F.col("_copy")))
-    found = own.join(plan, on).withColumn("_lap", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    each = F.transform(F.array_sort(F.collect_list(F.struct("start", times.alias("times")))), lambda x: x["times"])
+    plan = plan.groupBy(place(F.col("key")).alias("_plan")).agg(each.alias("_times")).filter(F.exists("_times", lambda n: n > 0))
+    found = docs.withColumn("_place", place(key)).join(plan, F.col("_place") == F.col("_plan"))
+    order = "n_chars" if "n_chars" in columns else "doc_id"
+    copy = F.row_number().over(Window.partitionBy("_place").orderBy(order))
+    found = found.withColumn("_due", F.get(F.col("_times"), copy - 1)).filter("_due > 0")
+    found = found.withColumn("_lap", F.explode(F.sequence(F.lit(1), F.col("_due"))))
     return found.select(*[F.col(c) for c in columns])

@@ -319,3 +319,19 @@ def test_payloads_are_dealt_once(spark, tmp_path, monkeypatch):
     got = {(x["record_id"], x["record_type"], x["refers_to_id"]) for x in warc.restore(warc.read_archives(spark, str(tmp_path / "w"))).collect()}
     name = "<urn:record:{}>".format
     assert got == {(name(1), "revisit", name(2)), (name(2), "response", None), (name("none"), "revisit", name(2)), (name(3), "response", None)}
+
+
+def test_mixed_texts_are_dealt_once(spark):
+    rows = [(1, "a b", "s", 3), (1, "a b", "s", 3), (None, "a b", "s", 3), (None, "a b", None, 3), (2, None, None, 0), (3, "c " * 9, "t", 18)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = mixing.apply_mix(docs, [3, 1, 2])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    # One exchange of the texts, for the join; the window needs no other.
+    assert plan.count("Exchange hashpartitioning(_place") == 1 and "Exchange hashpartitioning(doc_id" not in plan
+    got = Counter(tuple(x) for x in out.collect())
+    assert set(got) <= set(rows) and got[(2, None, None, 0)] == 1 and all(n <= 2 * rows.count(x) for x, n in got.items())
