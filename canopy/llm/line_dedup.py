@@ -14,6 +14,7 @@ TABLE = 20                # bits of the index of a table of marks
 OFTEN = 17                # bits of the index of the table that tells rare prefix words from others
 RARITY = 16               # bits of the index of the rarity table
 WIDE = 4                  # 64-bit sketches that candidates are compared by before their words
+LONG = 60                 # distinct words above which a line has them; one sketch tells shorter lines apart
 WORD_BITS = 31            # of a prefix word as a join key: words that share them only cost comparisons; up to 56 for huge corpora
 LIGHT = 256               # lines of one prefix word that are compared pair by pair
 LEADERS = 4               # lines, earliest and most frequent ones each, that all lines of a heavier word meet first
@@ -92,7 +93,14 @@ def _near(s: str, t: str) -> Column:
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(cid) of the classes that have an earlier similar one, from candidate pairs (a, b) of classes, either way round."""
     pairs = cut(pairs.distinct(), "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    # Wider sketches first: they rule out most pairs of long lines before any text moves.
+    wide = classes.filter("s0 is not null").select("cid", "n", *[f"s{i}" for i in range(WIDE)])
+    named = lambda s: wide.select(*[F.col(c).alias(f"{c}_{s}") for c in wide.columns]).withColumnRenamed(f"cid_{s}", s)
+    apart = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(WIDE)), F.lit(0))
+    total = F.col("n_a") + F.col("n_b")
+    close = F.coalesce(apart <= total - 2 * _ceil_div(total * OVER, OVER + UNDER), F.lit(True))
+    few = cut(pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").filter(close).select("a", "b"), "few")
+    ids = few.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     wanted = cut(classes.select("cid", *LINE).join(ids, "cid", "left_semi"), "wanted")
     # Only texts that may hold a wanted line are shuffled: a fixed-size table of their keys' slots tells.
     marks = _table(wanted.groupBy(_slot(F.col("text_key")).alias("slot")).agg(F.count("*").alias("n")))
@@ -104,15 +112,6 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     parts = found.select("doc_id", "text_key", F.split("text", "\n").alias("lines"), F.explode("x").alias("x"))
     at = F.struct("doc_id", "text_key", F.col("x.line_no").alias("line_no")).alias("at")
     sets = cut(parts.select(F.col("x.cid").alias("cid"), at, F.get(F.col("lines"), F.col("x.line_no")).alias("line")), "texts")
-    # Wider sketches first: they rule out most pairs of long lines before any words move.
-    hashed = sets.select("cid", F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)).alias("h"))
-    share = lambda i: F.filter("h", lambda h: F.pmod(h, F.lit(WIDE)) == i)
-    wide = hashed.select("cid", F.size("h").alias("n"), *[_sketch(share(i), 1).alias(f"s{i}") for i in range(WIDE)])
-    named = lambda s: wide.select(*[F.col(c).alias(f"{c}_{s}") for c in wide.columns]).withColumnRenamed(f"cid_{s}", s)
-    apart = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(WIDE)), F.lit(0))
-    total = F.col("n_a") + F.col("n_b")
-    few = pairs.join(named("a"), "a").join(named("b"), "b").filter(apart <= total - 2 * _ceil_div(total * OVER, OVER + UNDER)).select("a", "b")
-    few = cut(few, "few")
     side = lambda s: sets.select(F.col("cid").alias(s), F.col("at").alias(f"at_{s}"), words_of(F.col("line")).alias(f"words_{s}"))
     both = F.size(F.array_intersect("words_a", "words_b"))
     similar = both * UNDER >= (F.size("words_a") + F.size("words_b") - both) * OVER
@@ -139,13 +138,16 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     hashed = lines_of(docs).select(*LINE, F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit(""))).alias("h"))
     hashed = hashed.filter(F.size("h") >= min_words).withColumn("_t", rarity.scalar())
     number = lambda h: F.get(F.col("_t"), place(h).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
-    ordered = hashed.select(*LINE, _sketch(F.col("h")).alias("sketch"), F.sort_array(F.transform("h", number)).alias("s"))
+    share = lambda i: F.filter("h", lambda h: F.pmod(h, F.lit(WIDE)) == i)
+    wide = [f"s{i}" for i in range(WIDE)]
+    long = [F.when(F.size("h") > LONG, _sketch(share(i), 1)).alias(wide[i]) for i in range(WIDE)]
+    ordered = hashed.select(*LINE, _sketch(F.col("h")).alias("sketch"), *long, F.sort_array(F.transform("h", number)).alias("s"))
     size, short = F.size("s"), lambda x: x.bitwiseAND(F.lit(2**WORD_BITS - 1)).cast("int" if WORD_BITS < 32 else "long")
-    lines = cut(ordered.select(*LINE, F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), F.col("s")).alias("k2"), size.alias("n"), "sketch",
+    lines = cut(ordered.select(*LINE, F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), F.col("s")).alias("k2"), size.alias("n"), "sketch", *wide,
                                F.transform(F.slice("s", 1, size - _ceil_div(size * OVER, UNDER) + 1), short).alias("prefix")), "lines")
 
     # Lines with equal sets are one class, met by its first line; only prefixes of classes are joined.
-    grouped = lines.groupBy("k1", "k2").agg(F.min(F.struct(*LINE)).alias("at"), F.count("*").alias("times"), F.min(F.struct("n", "sketch", "prefix")).alias("x"))
+    grouped = lines.groupBy("k1", "k2").agg(F.min(F.struct(*LINE)).alias("at"), F.count("*").alias("times"), F.min(F.struct("n", "sketch", *wide, "prefix")).alias("x"))
     classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "at.*", "times", "x.*"), "classes")
     discard(rarity)
     # Sets too small to be similar to any other than their equals have no prefix words.

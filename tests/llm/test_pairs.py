@@ -185,3 +185,25 @@ def test_exact_top_k_of_large_numbers_and_nothing(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(tuple(x) for x in top_k.exact_top_k(df, F.col("vec_id") % 3 == 0, k=3).collect()) == sorted(brute_top(rows, 3))
     assert top_k.exact_top_k(df.limit(0), F.col("vec_id") % 3 == 0).count() == 0
+
+
+def test_only_lines_of_close_sketches_are_read(spark, monkeypatch):
+    r = random.Random(12)
+    word = lambda: f"w{r.randint(0, 700)}"
+    lines = [" ".join(dict.fromkeys(word() for _ in range(170))) for _ in range(60)]
+    lines += [x.replace(" w", " v", 3) for x in lines[:4]]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    kept, write = {}, line_dedup.cut
+
+    def keep(df, name):
+        out = write(df, name)
+        kept.setdefault(name, out)
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", keep)
+    monkeypatch.setattr(line_dedup, "discard", lambda *tables: None)
+    got = {x["doc_id"] for x in line_dedup.removed_lines(docs).collect()}
+    want = {d for d, _ in brute_lines(list(enumerate(lines)), 1)}
+    assert got == want == {60, 61, 62, 63}
+    # One sketch cannot tell such long lines apart, four can: their texts move for pairs that may be similar alone.
+    assert kept["candidates"].count() > 4 and kept["texts"].count() <= 2 * kept["few"].count() == 8
