@@ -217,16 +217,8 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
         for r in f.sort_values("place").itertuples():
             middle = _unpacked(r.middle)
             parts.append(Part(_unpack(r.head_text, r.head), [middle] if len(middle) else [], _unpack(r.tail_text, r.tail), bool(r.whole)))
-        return pd.DataFrame({"digest": [f["digest"].iloc[0]], "ids": [_packed(join_tree(pieces, parts).ids())]})
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = loaded(shipped.value, version)
-        for batch in batches:
-            raw = batch.column(len(kept))
-            for a, b in chunks(pc.binary_length(raw).to_numpy(zero_copy_only=False), BATCH_BYTES // 8):
-                got = [_unpacked(x) for x in raw.slice(a, b - a).to_pylist()]
-                back = [pa.array(pieces.decode(got), pa.string())] if decoded else []
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(kept)], _list_array(got), *back], [*kept, *made])
+        whole = join_tree(pieces, parts).ids()
+        return pd.DataFrame({"digest": [f["digest"].iloc[0]], "ids": [whole], "decoded": [pieces.decode([whole])[0]]})
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -236,14 +228,13 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
 
     short = plain.filter(~is_long).mapInArrow(encode_short, schema)
     long = plain.filter(is_long).withColumn("_digest", F.unhex(F.sha2(content, 256)))
-    distinct = long.select(F.col("_digest").alias("digest"), content.alias("content")).dropDuplicates(["digest"])
-    pieces_of = distinct.mapInPandas(cut, "digest binary, place int, piece string").repartition("digest", "place")
+    # Pieces are dealt once, and equal ones of equal texts meet there.
+    pieces_of = long.select(F.col("_digest").alias("digest"), content.alias("content")).mapInPandas(cut, "digest binary, place int, piece string")
+    pieces_of = pieces_of.dropDuplicates(["digest", "place"])
     parts = pieces_of.mapInPandas(encode_parts, PART_SCHEMA)
-    joined = parts.groupBy("digest").applyInPandas(join_text, "digest binary, ids binary").toDF("_key", "_ids")
-    # Packed ids alone are moved to the rows; they become lists and text in the pass behind the join, which has one form
-    # at every size.
-    found = long.select(*[F.col(f"`{c}`") for c in kept], "_digest").join(joined.hint("merge"), F.col("_digest") == F.col("_key"))
-    long_ids = found.select(*[F.col(f"`{c}`") for c in kept], "_ids").mapInArrow(finish, schema)
+    joined = parts.groupBy("digest").applyInPandas(join_text, "digest binary, ids array<int>, decoded string").toDF("_key", "_ids", "_text")
+    found = long.select(*[F.col(f"`{c}`") for c in kept], "_digest").join(joined, F.col("_digest") == F.col("_key"), "left")
+    long_ids = found.select(*[F.col(f"`{c}`") for c in kept], F.col("_ids").alias(ids), *([F.col("_text").alias(decoded)] if decoded else []))
     return short.unionByName(long_ids)
 
 

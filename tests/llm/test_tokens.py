@@ -86,7 +86,7 @@ def test_round_trip_of_short_and_long_texts(spark):
         assert got[i] == (ids, tok.decode(ids, skip_special_tokens=False))
 
 
-def test_ids_of_long_texts_travel_packed(spark):
+def test_ids_of_parts_travel_packed(spark):
     import numpy as np
 
     for ids in ([], [0, 65535], [65536, 1, 2**31 - 1]):
@@ -96,6 +96,11 @@ def test_ids_of_long_texts_travel_packed(spark):
     coded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded="decoded", keep=["doc_id"], leaf=16)
     got = {x["doc_id"]: (x["ids"], x["decoded"]) for x in coded.collect()}
     assert got[1] == got[2] and len(got[1][0]) >= 18 and got[3] == ([], "")
-    # Neither lists nor decoded texts are shuffled: what the groups give is packed.
-    plan = coded._jdf.queryExecution().optimizedPlan().toString().split("\n")
-    assert any("FlatMapGroupsInPandas" in x and x.rstrip().endswith("]") and ", ids#" in x and "decoded#" not in x for x in plan)
+
+
+def test_pieces_of_long_texts_are_dealt_once(spark):
+    docs = spark.createDataFrame([(i, "ab cd " * 9) for i in range(3)], "doc_id long, text string")
+    coded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), leaf=16)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(digest#") == 2 and "REPARTITION_BY_COL" not in plan  # pieces, then parts
+    assert len({tuple(x["ids"]) for x in coded.collect()}) == 1
