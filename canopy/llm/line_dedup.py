@@ -13,8 +13,9 @@ MIN_WORDS = 1             # distinct words; below four, 0.8 means equal sets
 TABLE = 20                # bits of the index of a table of marks
 OFTEN = 17                # bits of the index of the table that tells rare prefix words from others
 RARITY = 16               # bits of the index of the rarity table
-WIDE = 4                  # 64-bit sketches that candidates are compared by before their words
-LONG = 60                 # distinct words above which a line has them; one sketch tells shorter lines apart
+LONG = 80                 # distinct words above which a line has a second sketch, of half its words
+WIDE = 8                  # 64-bit sketches that candidates of still longer lines are compared by before their words
+LONGER = 200              # distinct words above which a line has them; two sketches tell shorter lines apart
 WORD_BITS = 31            # of a prefix word as a join key: words that share them only cost comparisons; up to 56 for huge corpora
 LIGHT = 256               # lines of one prefix word that are compared pair by pair
 LEADERS = 4               # lines, earliest and most frequent ones each, that all lines of a heavier word meet first
@@ -68,38 +69,35 @@ def _ceil_div(a: Column, b: int) -> Column:
     return F.floor((a + (b - 1)) / b).cast("int")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line_no, line) of every line; text_key tells apart texts that share an id."""
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-
-
 def _sketch(hashes: Column, part: int = 0) -> Column:
     """64 bits, each telling whether an odd number of words falls on it: two sets differ in at least as many words as
     their sketches in bits. Parts take other bits of the hashes, so their counts add up over the words split among them."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 20 + 6 * part), F.lit(64)).cast("int"))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 20 + 6 * part).bitwiseAND(F.lit(63).cast("long")).cast("int"))
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
 
 
 def _near(s: str, t: str) -> Column:
-    """Length, positional and sketch filters for two sets that share the words at these places of their orders."""
+    """Length, positional and sketch filters for two sets that share the words at these places of their orders. Where both
+    have a sketch of half their words, that half and the rest are counted apart."""
     n1, n2 = (F.shiftright(f"np_{x}", 32) for x in (s, t))
     p1, p2 = (F.col(f"np_{x}").bitwiseAND(F.lit((1 << 32) - 1)) for x in (s, t))
     need = _ceil_div((n1 + n2) * OVER, OVER + UNDER)
     fits = (n1 * UNDER >= n2 * OVER) & (n2 * UNDER >= n1 * OVER)
-    apart = F.bit_count(F.col(f"sketch_{s}").bitwiseXOR(F.col(f"sketch_{t}"))) <= n1 + n2 - 2 * need
-    return apart & fits & (1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= need)
+    every, half = (F.col(f"{c}_{s}").bitwiseXOR(F.col(f"{c}_{t}")) for c in ("sketch", "half"))
+    bits = F.when(half.isNull(), F.bit_count(every)).otherwise(F.bit_count(half) + F.bit_count(every.bitwiseXOR(half)))
+    return (bits <= n1 + n2 - 2 * need) & fits & (1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= need)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cid) of the classes that have an earlier similar one, from candidate pairs (a, b) of classes, either way round."""
-    pairs = cut(pairs.distinct(), "candidates")
-    # Wider sketches first: they rule out most pairs of long lines before any text moves.
+    """(cid) of the classes that have an earlier similar one, from candidate pairs (a, b) of classes, either way round, as they are met."""
+    pairs = cut(pairs, "candidates")
+    # Wider sketches first: they rule out most pairs of the longest lines before any text moves.
     wide = classes.filter("s0 is not null").select("cid", "n", *[f"s{i}" for i in range(WIDE)])
     named = lambda s: wide.select(*[F.col(c).alias(f"{c}_{s}") for c in wide.columns]).withColumnRenamed(f"cid_{s}", s)
     apart = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(WIDE)), F.lit(0))
     total = F.col("n_a") + F.col("n_b")
     close = F.coalesce(apart <= total - 2 * _ceil_div(total * OVER, OVER + UNDER), F.lit(True))
-    few = cut(pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").filter(close).select("a", "b"), "few")
+    few = cut(pairs.distinct().join(named("a"), "a", "left").join(named("b"), "b", "left").filter(close).select("a", "b"), "few")
     ids = few.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     wanted = cut(classes.select("cid", *LINE).join(ids, "cid", "left_semi"), "wanted")
     # Only texts that may hold a wanted line are shuffled: a fixed-size table of their keys' slots tells.
@@ -134,42 +132,46 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rarity = _rarities(words.filter("w <> ''").groupBy(place(F.xxhash64("w")).alias("slot")).agg(F.count("*").alias("n")))
 
     # A word is a number: its rarity above its hash, so that sorting numbers orders words by rarity.
-    hashes = F.transform(F.split(_spaced(F.lower("line")), " "), lambda w: F.xxhash64(w))
-    hashed = lines_of(docs).select(*LINE, F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit(""))).alias("h"))
-    hashed = hashed.filter(F.size("h") >= min_words).withColumn("_t", rarity.scalar())
+    hashes = lambda line: F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    # Lines are hashed in the generator: what stands behind it reads h often, and would hash them each time. The table's column
+    # is used once, so that it is read in place; it must not be written into rows, as it is larger than they are.
+    spaced = docs.select("doc_id", F.xxhash64("text").alias("text_key"), _spaced(F.lower("text")).alias("low"))
+    hashed = spaced.select("doc_id", "text_key", F.posexplode(F.transform(F.split("low", "\n"), hashes)).alias("line_no", "h")).withColumn("_t", rarity.scalar())
     number = lambda h: F.get(F.col("_t"), place(h).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
-    share = lambda i: F.filter("h", lambda h: F.pmod(h, F.lit(WIDE)) == i)
-    wide = [f"s{i}" for i in range(WIDE)]
-    long = [F.when(F.size("h") > LONG, _sketch(share(i), 1)).alias(wide[i]) for i in range(WIDE)]
+    share = lambda i, n: F.filter("h", lambda h: h.bitwiseAND(F.lit(n - 1).cast("long")) == i)
+    wide = ["half", *[f"s{i}" for i in range(WIDE)]]
+    long = [F.when(F.size("h") > LONG, _sketch(share(1, 2))).alias("half")]
+    long += [F.when(F.size("h") > LONGER, _sketch(share(i, WIDE), 1)).alias(f"s{i}") for i in range(WIDE)]
     ordered = hashed.select(*LINE, _sketch(F.col("h")).alias("sketch"), *long, F.sort_array(F.transform("h", number)).alias("s"))
     size, short = F.size("s"), lambda x: x.bitwiseAND(F.lit(2**WORD_BITS - 1)).cast("int" if WORD_BITS < 32 else "long")
     lines = cut(ordered.select(*LINE, F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), F.col("s")).alias("k2"), size.alias("n"), "sketch", *wide,
                                F.transform(F.slice("s", 1, size - _ceil_div(size * OVER, UNDER) + 1), short).alias("prefix")), "lines")
+    lines = lines.filter(F.col("n") >= min_words)
 
     # Lines with equal sets are one class, met by its first line; only prefixes of classes are joined.
     grouped = lines.groupBy("k1", "k2").agg(F.min(F.struct(*LINE)).alias("at"), F.count("*").alias("times"), F.min(F.struct("n", "sketch", *wide, "prefix")).alias("x"))
     classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "at.*", "times", "x.*"), "classes")
     discard(rarity)
     # Sets too small to be similar to any other than their equals have no prefix words.
-    heads = classes.filter(F.col("n") * (UNDER - OVER) >= OVER).select("cid", "n", "sketch", F.posexplode("prefix").alias("p", "word")).select(
-        "word", "cid", (F.col("n").cast("long") * F.lit(1 << 32) + F.col("p")).alias("np"), "sketch")
+    heads = classes.filter(F.col("n") * (UNDER - OVER) >= OVER).select("cid", "n", "sketch", "half", F.posexplode("prefix").alias("p", "word")).select(
+        "word", "cid", (F.col("n").cast("long") * F.lit(1 << 32) + F.col("p")).alias("np"), "sketch", "half")
+    carried = ["cid", "np", "sketch", "half"]
 
     often = _table(heads.groupBy(_slot(F.col("word"), OFTEN).alias("slot")).agg(F.count("*").alias("n")), OFTEN)
     bound = 1 + int(2 * (LIGHT.bit_length() - 1))
-    marked = heads.withColumn("_t", often.scalar()).select("word", "cid", "np", "sketch", (_level("_t", F.col("word"), OFTEN) >= bound).alias("maybe"))
+    marked = heads.withColumn("_t", often.scalar()).select("word", *carried, (_level("_t", F.col("word"), OFTEN) >= bound).alias("maybe"))
     heavy = cut(marked.filter("maybe").groupBy("word").agg(F.count("*").alias("lines")).filter(F.col("lines") > LIGHT).select("word"), "heavy")
     some = heavy.limit(1).count() > 0
-    light = marked.filter("not maybe").unionByName(marked.filter("maybe").join(heavy, "word", "left_anti")).select("word", "cid", "np", "sketch") if some else heads
-    side = lambda df, s: df.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "np", "sketch")])
+    light = marked.filter("not maybe").unionByName(marked.filter("maybe").join(heavy, "word", "left_anti")).select("word", *carried) if some else heads
+    side = lambda df, s, *more: df.select("word", *[F.col(c).alias(f"{c}_{s}") for c in (*carried, *more)])
     near = _near("a", "b")
     pairs = side(light, "a").join(side(light, "b"), "word").filter((F.col("cid_a") < F.col("cid_b")) & near)
     pairs = pairs.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
     if some:
         at = classes.select("cid", F.struct(*LINE).alias("at"), "times")
-        dense = cut(marked.filter("maybe").join(heavy, "word", "left_semi").select("word", "cid", "np", "sketch").join(at, "cid"), "dense")
+        dense = cut(marked.filter("maybe").join(heavy, "word", "left_semi").select("word", *carried).join(at, "cid"), "dense")
         lead = top_rows(dense, ["word"], ["at", "cid"], LEADERS).unionByName(top_rows(dense, ["word"], [F.desc("times"), F.col("at"), F.col("cid")], LEADERS))
-        earlier = lambda x, y: x.select("word", F.col("at").alias("at_a"), F.col("cid").alias("cid_a"), F.col("np").alias("np_a"), F.col("sketch").alias("sketch_a")).join(
-            y.select("word", F.col("at").alias("at_b"), F.col("cid").alias("cid_b"), F.col("np").alias("np_b"), F.col("sketch").alias("sketch_b")), "word").filter(
+        earlier = lambda x, y: side(x, "a", "at").join(side(y, "b", "at"), "word").filter(
             (F.col("at_a") < F.col("at_b")) & near).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
         lost = _verified(pairs.unionByName(earlier(lead.distinct(), dense)), classes, docs)
         lost = lost.unionByName(_verified(earlier(dense, dense.join(lost, "cid", "left_anti")), classes, docs)).distinct()

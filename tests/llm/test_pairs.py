@@ -207,3 +207,27 @@ def test_only_lines_of_close_sketches_are_read(spark, monkeypatch):
     assert got == want == {60, 61, 62, 63}
     # One sketch cannot tell such long lines apart, four can: their texts move for pairs that may be similar alone.
     assert kept["candidates"].count() > 4 and kept["texts"].count() <= 2 * kept["few"].count() == 8
+
+
+def test_long_lines_meet_by_two_sketches(spark, monkeypatch):
+    r = random.Random(13)
+    word = lambda: f"w{r.randint(0, 700)}"
+    lines = [" ".join(dict.fromkeys(word() for _ in range(n))) for n in (170, 90, 60) for _ in range(50)]
+    lines += [x.replace(" w", " v", 3) for x in (lines[0], lines[50], lines[100])]
+    lines += [" ".join(x.split()[:80]) for x in lines[50:100]]   # of one sketch, beside lines of two
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    kept, write = {}, line_dedup.cut
+
+    def keep(df, name):
+        out = write(df, name)
+        kept.setdefault(name, out)
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", keep)
+    monkeypatch.setattr(line_dedup, "discard", lambda *tables: None)
+    got = {x["doc_id"] for x in line_dedup.removed_lines(docs).collect()}
+    want = {d for d, _ in brute_lines(list(enumerate(lines)), 1)}
+    assert got == want and {150, 151, 152} <= got
+    # Pairs of long lines that are not similar do not even become candidates.
+    similar_pairs = kept["few"].count()
+    assert kept["candidates"].distinct().count() <= similar_pairs + 3
