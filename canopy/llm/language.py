@@ -21,6 +21,7 @@ RATE = 0.15
 SPAN = 64              # words of a training sequence
 PIECE = 1024           # words of a text that are scored in one sweep
 KEPT = 200_000         # words whose emissions a worker keeps
+BATCH_BYTES = 1_000_000  # of texts that are labelled at once: several vectors per word are held
 
 
 def _slot(kind: int, *chars: np.ndarray) -> np.ndarray:
@@ -220,7 +221,7 @@ def identify(docs: DataFrame, learn: Column, keep: list[str] | None = None, **bo
                     emit[i] = e
             for i, e in zip(fresh, new):
                 if often[i] and len(kept) < KEPT and len(distinct[i]) < 64:
-                    kept[distinct[i]] = e
+                    kept[distinct[i]] = e.copy()   # e is a view that would hold all new ones
             post, _, _ = marginals(emit[codes], offsets, np.exp(m.trans - m.trans.max()))
             full = np.flatnonzero(counts)
             mean = np.add.reduceat(post, offsets[:-1][full], axis=0) / counts[full][:, None]
@@ -235,4 +236,4 @@ def identify(docs: DataFrame, learn: Column, keep: list[str] | None = None, **bo
         return [pa.array(pred, pa.string()), pa.array(best), pa.array(counts.astype(np.int64)), pa.array(switches)]
 
     plain = docs.drop("lang_pred", "score", "n_words", "n_switches")
-    return map_texts(plain, "text", score, "lang_pred string, score double, n_words long, n_switches long", keep)
+    return map_texts(plain, "text", score, "lang_pred string, score double, n_words long, n_switches long", keep, BATCH_BYTES)

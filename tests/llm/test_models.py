@@ -335,3 +335,21 @@ def test_mixed_texts_are_dealt_once(spark):
     assert plan.count("Exchange hashpartitioning(_place") == 1 and "Exchange hashpartitioning(doc_id" not in plan
     got = Counter(tuple(x) for x in out.collect())
     assert set(got) <= set(rows) and got[(2, None, None, 0)] == 1 and all(n <= 2 * rows.count(x) for x, n in got.items())
+
+
+def test_language_batches_hold_little_memory(spark, monkeypatch):
+    import inspect
+
+    seen = {}
+
+    def spy(df, text, score, added, keep=None, batch_bytes=4_000_000):
+        seen.update(score=score, size=batch_bytes)
+        return df
+
+    monkeypatch.setattr(language, "map_texts", spy)
+    rows = [(i, ("der hund und die katze " if i % 2 else "the dog and the cat ") * 5, "de" if i % 2 else "en") for i in range(20)]
+    language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert seen["size"] <= 1_000_000   # vectors of all words of a batch are held at once
+    seen["score"](None, ["the dog and the cat and the dog", "der hund und der hund"])
+    kept = inspect.getclosurevars(seen["score"]).nonlocals["kept"]
+    assert kept and all(v.base is None for v in kept.values())   # a view would hold the emissions of its whole batch
