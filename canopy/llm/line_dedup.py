@@ -150,11 +150,16 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     # Lines with equal sets are one class, met by its first line; only prefixes of classes are joined.
     grouped = lines.groupBy("k1", "k2").agg(F.min(F.struct(*LINE)).alias("at"), F.count("*").alias("times"), F.min(F.struct("n", "sketch", *wide, "prefix")).alias("x"))
-    classes = cut(grouped.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "at.*", "times", "x.*"), "classes")
+    # Numbered in the order of their first lines, so that a number is all that pairs need to know which line is earlier.
+    ranked = grouped.select("k1", "k2", "at.*", "times", "x.*").sort(*LINE)
+    classes = cut(ranked.select(F.monotonically_increasing_id().alias("cid"), *ranked.columns), "classes")
     discard(rarity)
     # Sets too small to be similar to any other than their equals have no prefix words.
-    heads = classes.filter(F.col("n") * (UNDER - OVER) >= OVER).select("cid", "n", "sketch", "half", F.posexplode("prefix").alias("p", "word")).select(
-        "word", "cid", (F.col("n").cast("long") * F.lit(1 << 32) + F.col("p")).alias("np"), "sketch", "half")
+    large = classes.filter(F.col("n") * (UNDER - OVER) >= OVER)
+    entry = (F.col("n").cast("long") * F.lit(1 << 32) + F.col("p")).alias("np")
+    heads_of = lambda some, *more: some.select("cid", "n", "sketch", "half", *more, F.posexplode("prefix").alias("p", "word")).select(
+        "word", "cid", entry, "sketch", "half", *more)
+    heads = heads_of(large)
     carried = ["cid", "np", "sketch", "half"]
 
     often = _table(heads.groupBy(_slot(F.col("word"), OFTEN).alias("slot")).agg(F.count("*").alias("n")), OFTEN)
@@ -163,16 +168,15 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     heavy = cut(marked.filter("maybe").groupBy("word").agg(F.count("*").alias("lines")).filter(F.col("lines") > LIGHT).select("word"), "heavy")
     some = heavy.limit(1).count() > 0
     light = marked.filter("not maybe").unionByName(marked.filter("maybe").join(heavy, "word", "left_anti")).select("word", *carried) if some else heads
-    side = lambda df, s, *more: df.select("word", *[F.col(c).alias(f"{c}_{s}") for c in (*carried, *more)])
+    side = lambda df, s: df.select("word", *[F.col(c).alias(f"{c}_{s}") for c in carried])
     near = _near("a", "b")
-    pairs = side(light, "a").join(side(light, "b"), "word").filter((F.col("cid_a") < F.col("cid_b")) & near)
-    pairs = pairs.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
+    earlier = lambda x, y: side(x, "a").join(side(y, "b"), "word").filter((F.col("cid_a") < F.col("cid_b")) & near).select(
+        F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
+    pairs = earlier(light, light)
     if some:
-        at = classes.select("cid", F.struct(*LINE).alias("at"), "times")
-        dense = cut(marked.filter("maybe").join(heavy, "word", "left_semi").select("word", *carried).join(at, "cid"), "dense")
-        lead = top_rows(dense, ["word"], ["at", "cid"], LEADERS).unionByName(top_rows(dense, ["word"], [F.desc("times"), F.col("at"), F.col("cid")], LEADERS))
-        earlier = lambda x, y: side(x, "a", "at").join(side(y, "b", "at"), "word").filter(
-            (F.col("at_a") < F.col("at_b")) & near).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
+        dense = cut(marked.filter("maybe").join(heavy, "word", "left_semi").select("word", *carried), "dense")
+        copied = heads_of(large.filter("times > 1"), "times").join(heavy, "word", "left_semi")
+        lead = top_rows(dense, ["word"], ["cid"], LEADERS).unionByName(top_rows(copied, ["word"], [F.desc("times"), F.col("cid")], LEADERS).select("word", *carried))
         lost = _verified(pairs.unionByName(earlier(lead.distinct(), dense)), classes, docs)
         lost = lost.unionByName(_verified(earlier(dense, dense.join(lost, "cid", "left_anti")), classes, docs)).distinct()
         discard(dense)
