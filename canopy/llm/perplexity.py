@@ -234,7 +234,8 @@ def judge(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lan
     name = next(c for c in (f"_limits{'_' * i}" for i in range(1 + len(columns))) if c not in columns)
     both = scored.join(F.broadcast(packed.withColumnRenamed("_limits", name)), same(F.col(lang), F.col(f"{name}.of")), "left")
     limit = F.col(name)
-    width = F.nullif(F.sqrt(limit["fixed"] + limit["by_length"] / F.col("n_words")), F.lit(0.0))
+    words = F.nullif(F.col("n_words"), F.lit(0).cast("long"))   # worked out for texts without words too
+    width = F.nullif(F.sqrt(limit["fixed"] + limit["by_length"] / words), F.lit(0.0))
     place = F.coalesce((F.col("log_perplexity") - limit["middle"]) / width, F.lit(0.0))
     inside = (place >= limit["low"]) & (place <= limit["high"])
     return both.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop(name)
